@@ -40,11 +40,18 @@ def id_remainder(doc_id: Column, modulus: int = 5) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % modulus, F.lit(0))
 
 
-def words_of(text: Column) -> Column:
-    """Array of words; empty for null and blank texts."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
-
 
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z only, whatever the locale and the other letters."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once for each row, also where lambdas refer to it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def split_words(text: Column) -> Column:
+    """Array of words of a text that is not null, without empty ones."""
+    trimmed = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE))

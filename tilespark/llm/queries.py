@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, token_counts, toxicity
+from . import fingerprints, language_id, line_dedup, mixing, token_counts, toxicity
 from .common import id_remainder, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +46,43 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs.filter(learn), labels.filter(learn))
     held = (id_remainder(F.col("doc_id")) == 0).alias("held_out")
     return toxicity.score(docs, model).select("doc_id", held, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_edits(read(spark, sf_dir, "documents"))
+
+
+@query
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.drop_recurring_lines(read(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.col("n_lines_").alias("n_lines"), F.col("n_dropped_").alias("n_dropped"), F.sha2("kept_text_", 256).alias("kept_sha256"))
+
+
+ORACLE["op3_line_dedup"] = """
+WITH lines AS (
+  SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents),
+parsed AS (
+  SELECT doc_id, line_no, line, list_transform(list_filter(regexp_split_to_array(line, '[\\x20\\x09-\\x0D]+'), lambda t: t <> ''),
+    lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tokens FROM lines),
+kept AS (SELECT *, len(tokens) AS n, list_slice(tokens, 1, 4) AS lead FROM parsed WHERE len(tokens) >= 5),
+exact AS (SELECT tokens, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM kept GROUP BY tokens),
+exact_drop AS (SELECT k.doc_id, k.line_no FROM kept k JOIN exact e USING (tokens) WHERE k.doc_id > e.first_doc),
+single AS (SELECT k.* FROM kept k JOIN exact e USING (tokens) WHERE e.first_doc = e.last_doc),
+leaves AS (SELECT n, lead FROM single GROUP BY n, lead HAVING min(doc_id) < max(doc_id)),
+opened AS (SELECT s.doc_id, s.line_no, s.n, s.lead, unnest(range(1, s.n + 1)) AS place, unnest(s.tokens) AS token FROM single s JOIN leaves USING (n, lead)),
+fixed AS (SELECT n, lead, place, token FROM opened GROUP BY ALL HAVING min(doc_id) < max(doc_id)),
+marked AS (
+  SELECT o.doc_id, o.line_no, o.n, o.lead, count(f.place) AS n_fixed,
+    list(CASE WHEN f.place IS NULL THEN '<*>' ELSE o.token END ORDER BY o.place) AS template
+  FROM opened o LEFT JOIN fixed f ON o.n = f.n AND o.lead = f.lead AND o.place = f.place AND o.token = f.token
+  GROUP BY o.doc_id, o.line_no, o.n, o.lead),
+general AS (SELECT * FROM marked WHERE n_fixed < n AND n_fixed >= 0.8 * n),
+firsts AS (SELECT template, min(doc_id) AS first_doc FROM general GROUP BY template HAVING min(doc_id) < max(doc_id)),
+drops AS (SELECT * FROM exact_drop UNION SELECT g.doc_id, g.line_no FROM general g JOIN firsts f USING (template) WHERE g.doc_id > f.first_doc),
+rest AS (
+  SELECT l.doc_id, count(*) AS n_lines, count(d.line_no) AS n_dropped, coalesce(string_agg(l.line, chr(10) ORDER BY l.line_no) FILTER (WHERE d.line_no IS NULL), '') AS kept_text
+  FROM lines l LEFT JOIN drops d ON l.doc_id = d.doc_id AND l.line_no = d.line_no GROUP BY l.doc_id)
+SELECT t.doc_id, CAST(coalesce(r.n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(r.n_dropped, 0) AS BIGINT) AS n_dropped, sha256(r.kept_text) AS kept_sha256
+FROM documents t LEFT JOIN rest r ON t.doc_id = r.doc_id
+"""
