@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language_id, line_dedup, mixing, token_counts, toxicity
+from . import embedding_dedup, fingerprints, language_id, line_dedup, mixing, simhash_dedup, token_counts, toxicity
 from .common import id_remainder, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,14 @@ rest AS (
 SELECT t.doc_id, CAST(coalesce(r.n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(r.n_dropped, 0) AS BIGINT) AS n_dropped, sha256(r.kept_text) AS kept_sha256
 FROM documents t LEFT JOIN rest r ON t.doc_id = r.doc_id
 """
+
+
+@query
+def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash_dedup.near_duplicates(read(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
