@@ -41,7 +41,7 @@ def best_pairs(u: np.ndarray, x: np.ndarray, k: int) -> pd.DataFrame:
     return pd.DataFrame({"u": u[i[good]], "v": u[j[good]], "s": s[i[good], j[good]]})
 
 
-def by_run(keys: list[str], work: Callable[[pd.DataFrame], pd.DataFrame], most: int = RUN, overlap: int = 0):
+def by_run(keys: list[str], work: Callable[[pd.DataFrame], pd.DataFrame], most: int = RUN):
     """Calls ``work`` on every run of equal keys in sorted rows, long runs in parts of ``most``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -53,8 +53,8 @@ def by_run(keys: list[str], work: Callable[[pd.DataFrame], pd.DataFrame], most:
             out, stop = [], len(cuts) - 1 if last or cuts[-1] - cuts[-2] >= 8 * most else len(cuts) - 2
             for s, t in zip(cuts[:stop], cuts[1 : stop + 1]):
                 for at in range(s, t, most):
-                    if t - max(s, at - overlap) > 1:
-                        out.append(work(rows.iloc[max(s, at - overlap) : min(t, at + most)]))
+                    if min(t, at + most) - at > 1:
+                        out.append(work(rows.iloc[at : min(t, at + most)]))
             return out, rows.iloc[cuts[stop] :] if cuts[stop] < len(rows) else None
 
         for rows in batches:
@@ -88,9 +88,12 @@ def plant(points: DataFrame, trees: range, bits: int, k: int, seed: int) -> Data
                     yield pd.DataFrame({"u": part["u"], "space": part["space"], "vec": part["vec"], "leaf": leaf + (t << 32)})
 
     rows = points.select("u", "space", "vec").mapInPandas(leaves, "u long, space long, vec array<float>, leaf long")
-    # the salt parts the vectors of a large leaf among tasks; such a leaf is dense, and later rounds join its parts
-    near = rows.withColumn("salt", F.pmod(F.xxhash64("u", "leaf"), F.lit(4))).repartition("space", "leaf", "salt").sortWithinPartitions("space", "leaf", "salt", "u")
-    return near.mapInPandas(by_run(["space", "leaf", "salt"], lambda r: best_pairs(r["u"].to_numpy(), matrix(r["vec"]), k), overlap=RUN // 4), "u long, v long, s double")
+    # a salt parts the vectors of a large leaf among tasks; such a leaf is dense, and later rounds join its parts
+    sizes = rows.groupBy("space", "leaf").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > 2 * RUN)
+    large = shared_checkpoint(sizes.select(F.col("space").alias("space_"), F.col("leaf").alias("leaf_"), F.ceil(F.col("m") / RUN).alias("parts")))
+    near = rows.join(large, (F.col("space") == F.col("space_")) & (F.col("leaf") == F.col("leaf_")), "left").withColumn("salt", F.pmod(F.xxhash64("u", "leaf"), F.coalesce("parts", F.lit(1))))
+    near = near.select("u", "space", "leaf", "salt", "vec").repartition("space", "leaf", "salt").sortWithinPartitions("space", "leaf", "salt", "u")
+    return near.mapInPandas(by_run(["space", "leaf", "salt"], lambda r: best_pairs(r["u"].to_numpy(), matrix(r["vec"]), k), most=2 * RUN), "u long, v long, s double")
 
 
 def nearest(found: DataFrame, k: int) -> DataFrame:
@@ -108,7 +111,8 @@ def refine(lists: DataFrame, points: DataFrame, k: int) -> DataFrame:
 
 
 def audit(points: DataFrame, links: DataFrame, threshold: float, queries: int) -> float:
-    """Share of the true links of ``queries`` vectors (picked by a hash of the id) that are among ``links`` (u, v)."""
+    """Mean share of the true links found among ``links`` (u, v), over the vectors with links among ``queries`` picked by a
+    hash of the id."""
     picked = points.orderBy(F.xxhash64("u"), "u").limit(queries).select("u", "space", "vec").collect()
     if not picked:
         return 1.0
@@ -125,8 +129,9 @@ def audit(points: DataFrame, links: DataFrame, threshold: float, queries: int) -
                     yield pd.DataFrame({"u": a[a != b], "v": b[a != b]})
 
     true = points.select("u", "space", "vec").mapInPandas(count, "u long, v long")
-    seen = true.join(links.select("u", "v", F.lit(1).alias("hit")), ["u", "v"], "left").agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("hits")).first()
-    return seen["hits"] / seen["n"] if seen["n"] else 1.0
+    seen = true.join(links.select("u", "v", F.lit(1).alias("hit")), ["u", "v"], "left").groupBy("u").agg((F.count("hit") / F.count(F.lit(1))).alias("share"))
+    recall = seen.agg(F.avg("share")).first()[0]
+    return 1.0 if recall is None else recall
 
 
 def reached_links(points: DataFrame, members: DataFrame, threshold: float, part_rows: int = 256) -> DataFrame:
@@ -152,7 +157,7 @@ def reached_links(points: DataFrame, members: DataFrame, threshold: float, part_
 
 
 def near_duplicates(
-    rows: DataFrame, *, threshold: float = 0.93, k: int = 10, trees: int = 4, rounds: int = 2, target: float = 0.98, audits: int = 256, most_tries: int = 4,
+    rows: DataFrame, *, threshold: float = 0.93, k: int = 10, trees: int = 8, rounds: int = 2, target: float = 0.98, audits: int = 256, most_tries: int = 4,
     leaf_rows: int = 64, seed: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) per row of ``rows``.
