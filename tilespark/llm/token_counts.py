@@ -36,42 +36,52 @@ def load_pieces(path: str) -> dict[str, float]:
 
 
 class ForwardTrie:
-    """Prefix tree with a forward score at every node."""
+    """Prefix tree with a forward score at every node. Edges lie in one table, from node and character to node."""
 
     def __init__(self, pieces: dict[str, float]):
-        self.pieces, self.longest = pieces, max(map(len, pieces), default=1)
+        #: every suffix of a piece, with the score of those that are pieces: a search backwards ends at the first miss
+        self.suffixes: dict[str, float | None] = {p[i:]: None for p in pieces for i in range(len(p))} | pieces
         self.worst = min(pieces.values(), default=0.0) - 10.0
-        self.children: list[dict[str, int]] = [{}]
+        self.edges: dict[int, int] = {}
         self.score, self.tokens, self.terminal = [0.0], [0], {}
 
+    def clear(self) -> None:
+        self.edges, self.score, self.tokens, self.terminal = {}, [0.0], [0], {}
+
     def insert(self, word: str) -> int:
         """Walk down, scoring only nodes that are new; the count of the word, kept for later."""
-        if word in self.terminal:
-            return self.terminal[word]
-        path, node = [0], 0
-        for depth, ch in enumerate(word, 1):
-            child = self.children[node].get(ch)
+        edges, scores, tokens, suffixes = self.edges, self.score, self.tokens, self.suffixes
+        path, node, depth = [0], 0, 0
+        for ch in word:
+            depth += 1
+            edge = node << 21 | ord(ch)
+            child = edges.get(edge)
             if child is None:
-                best, count = self.score[node] + self.worst * (n := len(ch.encode("utf-8", "surrogatepass"))), self.tokens[node] + n
-                for start in range(max(0, depth - self.longest), depth):
-                    piece = self.pieces.get(word[start:depth])
-                    if piece is not None and (s := self.score[path[start]] + piece) > best:
-                        best, count = s, self.tokens[path[start]] + 1
-                child = len(self.children)
-                self.children[node][ch] = child
-                self.children.append({})
-                self.score.append(best)
-                self.tokens.append(count)
+                n = 1 if ch < "\x80" else len(ch.encode("utf-8", "surrogatepass"))
+                best, count = scores[node] + self.worst * n, tokens[node] + n
+                start = depth
+                while start:
+                    start -= 1
+                    piece = suffixes.get(word[start:depth], 0)
+                    if piece == 0:
+                        break
+                    if piece is not None:
+                        s = scores[path[start]] + piece
+                        if s > best:
+                            best, count = s, tokens[path[start]] + 1
+                child = edges[edge] = len(scores)
+                scores.append(best)
+                tokens.append(count)
             node = child
             path.append(node)
-        self.terminal[word] = self.tokens[node]
-        return self.tokens[node]
+        self.terminal[word] = tokens[node]
+        return tokens[node]
 
     def __len__(self) -> int:
-        return len(self.children)
+        return len(self.score)
 
 
-def token_counts(docs: DataFrame, vocabulary: str, *, max_nodes: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_counts(docs: DataFrame, vocabulary: str, *, max_nodes: int = 400_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_pretokens, n_distinct, n_tokens) per row of ``docs``; no shuffle.
 
     Pre-tokens are the runs between ASCII white space, each with a word mark before it. Null and blank texts have zero
@@ -80,14 +90,13 @@ def token_counts(docs: DataFrame, vocabulary: str, *, max_nodes: int = 200_000,
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pieces = load_pieces(vocabulary)
-        trie = ForwardTrie(pieces)
+        trie = ForwardTrie(load_pieces(vocabulary))
         for rows in batches:
             out = []
             for text in rows["text"]:
                 words = Counter((text or "").encode("utf-8", "surrogatepass").split())
                 if len(trie) > max_nodes:
-                    trie = ForwardTrie(pieces)
+                    trie.clear()
                 known, total = trie.terminal, 0
                 for word, n in words.items():
                     count = known.get(word)
