@@ -12,52 +12,67 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, shared_checkpoint, split_words
+from .common import SPACE, let, shared_checkpoint
 
 FIELD = "<*>"
 #: A token that holds a digit. Begins only where a token begins, so it never scans a token twice.
 VARIABLE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
+#: Words of the bitmap that tells which leaves may be open; its size is the same for any input.
+FILTER_WORDS = 1 << 18
 
 
-def line_tokens(line: Column) -> Column:
-    """The tokens of a line, those with a digit replaced."""
-    return split_words(F.when(line.rlike("[0-9]"), F.regexp_replace(line, VARIABLE, FIELD)).otherwise(line))
+def masked(line: Column) -> Column:
+    """The tokens of a line with single blanks between them, those with a digit replaced."""
+    fields = F.btrim(F.regexp_replace(line, VARIABLE, FIELD), F.lit(" \t\n\x0b\x0c\r"))
+    irregular = line.rlike(r"[0-9\x09\x0B-\x0D]") | line.contains("  ") | line.startswith(" ") | line.endswith(" ")
+    return F.when(irregular, F.regexp_replace(fields, SPACE, " ")).otherwise(line)
 
 
-def lines_of(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
-    """(doc_id, row_id, line_no, leaf, template, tokens) of the lines long enough to have a template. row_id tells rows
-    with equal ids but other texts apart."""
-    lines = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_id"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    parsed = lines.select("doc_id", "row_id", "line_no", line_tokens(F.col("line")).alias("tokens")).filter(F.size("tokens") >= min_tokens)
-    leaf = F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth))
-    return parsed.select("doc_id", "row_id", "line_no", leaf.alias("leaf"), F.xxhash64("tokens").alias("template"), "tokens")
+def place_in_tree(docs: DataFrame, depth: int, min_tokens: int, with_line: bool = False) -> DataFrame:
+    """(doc_id, row_id, line_no, leaf, template) of the lines long enough to have a template, and on demand the masked line.
+    row_id tells rows with equal ids but other texts apart. Each line is parsed once, within the array of its text."""
 
+    def parse(line: Column) -> Column:
+        count = F.when(line == "", 0).otherwise(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
+        kept = [line.alias("line")] * with_line
+        return F.struct(count.alias("n"), F.xxhash64(count, F.substring_index(line, " ", depth)).alias("leaf"), F.xxhash64(line).alias("template"), *kept)
 
-def recurring(rows: DataFrame) -> DataFrame:
-    """Rows (doc_id, template, ...) whose template also occurs in a document with a smaller id."""
-    known = rows.groupBy("template").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).filter("first_doc < last_doc")
-    return rows.join(known.select("template", "first_doc"), "template").filter("doc_id > first_doc")
+    parsed = F.transform(F.split("text", "\n", -1), lambda raw: let(masked(raw), parse))
+    rows = docs.select("doc_id", "row_id", F.posexplode(parsed).alias("line_no", "p")).filter(F.col("p.n") >= min_tokens)
+    return rows.select("doc_id", "row_id", "line_no", "p.leaf", "p.template", *["p.line"] * with_line)
 
 
-def dropped_lines(docs: DataFrame, *, depth: int = 4, min_tokens: int = 5, constant_share: float = 0.8) -> DataFrame:
-    """(row_id, line_no) of the lines to drop."""
-    parsed = lines_of(docs, depth, min_tokens)
-    keys = shared_checkpoint(parsed.drop("tokens"))
-    exact = recurring(keys).select("row_id", "line_no")
+def exact_drops(keys: DataFrame, templates: DataFrame) -> DataFrame:
+    """(row_id, line_no) of the lines whose template occurs in an earlier document."""
+    known = shared_checkpoint(templates.filter("first_doc < last_doc").select("template", "first_doc"))
+    return keys.join(known, "template").filter("doc_id > first_doc").select("row_id", "line_no")
 
-    # Templates of one document, in leaves that hold such templates of several documents
-    single = keys.groupBy("leaf", "template").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last_doc")).filter("doc_id = last_doc")
-    leaves = single.groupBy("leaf").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("leaf")
-    wanted = single.join(leaves, "leaf").select("template")
-    open_lines = shared_checkpoint(parsed.join(wanted, "template", "left_semi"))
-    places = open_lines.select("leaf", "doc_id", "row_id", "line_no", F.posexplode("tokens").alias("place", "token"))
-    constant = places.groupBy("leaf", "place", "token").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("leaf", "place", "token", F.lit(True).alias("fixed"))
-    marked = places.join(constant, ["leaf", "place", "token"], "left").groupBy("doc_id", "row_id", "line_no", "leaf").agg(
-        F.count(F.lit(1)).alias("n"), F.count("fixed").alias("n_fixed"),
-        F.sum(F.xxhash64("place", F.when(F.col("fixed"), F.col("token")).otherwise(FIELD)).cast("decimal(38,0)")).alias("parts"),
-    )
-    general = marked.filter((F.col("n_fixed") < F.col("n")) & (F.col("n_fixed") >= constant_share * F.col("n"))).select("doc_id", "row_id", "line_no", F.xxhash64("leaf", "parts").alias("template"))
-    return exact.unionByName(recurring(general).select("row_id", "line_no"))
+
+def generalised_drops(docs: DataFrame, templates: DataFrame, *, depth: int, min_tokens: int, constant_share: float) -> DataFrame:
+    """(row_id, line_no) of lines that recur once the tokens that no other document has are variable fields.
+
+    Only lines are open whose template is of one document, in a leaf that holds such templates of several documents. A
+    bitmap of fixed size over the open leaves is broadcast, so that of all other lines few travel; a fuller bitmap lets
+    more lines pass, and the join that follows is exact.
+    """
+    single = templates.filter("first_doc = last_doc")
+    leaves = single.groupBy("leaf").agg(F.min("first_doc").alias("a"), F.max("first_doc").alias("b")).filter("a < b").select("leaf")
+    wanted = shared_checkpoint(single.join(leaves, "leaf").select("leaf", "template"))
+    word, bit = F.pmod(F.col("leaf"), F.lit(FILTER_WORDS)), F.expr("shiftleft(1L, cast(shiftrightunsigned(leaf, 20) & 63 as int))")
+    bitmap = wanted.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))  # FILTER_WORDS rows at most
+    parsed = place_in_tree(docs, depth, min_tokens, with_line=True).withColumn("word", word).withColumn("bit", bit)
+    may_be_open = parsed.join(F.broadcast(bitmap), "word").filter(F.col("bits").bitwiseAND(F.col("bit")) != 0)
+    # an inner join: Spark would move a semi join below the broadcast, and all lines would travel
+    lines = may_be_open.join(wanted, ["leaf", "template"]).select("doc_id", "row_id", "line_no", "leaf", F.split("line", " ").alias("tokens"))
+    lines = shared_checkpoint(lines.withColumn("line_id", F.xxhash64("row_id", "line_no")))
+    places = lines.select("doc_id", "line_id", "leaf", F.posexplode("tokens").alias("place", "token")).select("doc_id", "line_id", F.xxhash64("leaf", "place", "token").alias("token"))
+    constant = shared_checkpoint(places.groupBy("token").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("token", F.lit(True).alias("fixed")))
+    marked = places.join(constant, "token", "left").groupBy("line_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count("fixed").alias("n_fixed"), F.sum(F.when(F.col("fixed"), F.col("token")).cast("decimal(20,0)")).alias("parts"))
+    marked = marked.filter((F.col("n_fixed") < F.col("n")) & (F.col("n_fixed") >= constant_share * F.col("n"))).select("line_id", "parts")
+    general = shared_checkpoint(lines.drop("tokens").join(marked, "line_id").select("doc_id", "row_id", "line_no", F.xxhash64("leaf", "parts").alias("template")))
+    first = shared_checkpoint(general.groupBy("template").agg(F.min("doc_id").alias("first_doc")))
+    return general.join(first, "template").filter("doc_id > first_doc").select("row_id", "line_no")
 
 
 def drop_recurring_lines(docs: DataFrame, *, depth: int = 4, min_tokens: int = 5, constant_share: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -68,11 +83,15 @@ def drop_recurring_lines(docs: DataFrame, *, depth: int = 4, min_tokens: int = 5
     Rows with equal ids count as one document; a null id counts as larger than any other.
     """
     key = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
-    small = docs.select(key.alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    drops = dropped_lines(small, depth=depth, min_tokens=min_tokens, constant_share=constant_share).groupBy("row_id").agg(F.collect_set("line_no").alias("drops_"))
+    small = docs.select(key.alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("row_id", F.xxhash64("doc_id", "text"))
+    keys = shared_checkpoint(place_in_tree(small, depth, min_tokens))
+    templates = shared_checkpoint(keys.groupBy("leaf", "template").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")))
+    exact = exact_drops(keys.drop("leaf"), templates)
+    more = generalised_drops(small, templates, depth=depth, min_tokens=min_tokens, constant_share=constant_share)
+    drops = exact.unionByName(more).groupBy(F.col("row_id").alias("row_id_")).agg(F.collect_set("line_no").alias("drops_"))
     lines = F.split(F.col(text_col), "\n", -1)
     kept = let(lines, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("drops_")), lambda i: F.get(x, i)), "\n"))
-    joined = docs.withColumn("row_id_", F.xxhash64(key, F.col(text_col))).join(drops.withColumnRenamed("row_id", "row_id_"), "row_id_", "left")
+    joined = docs.withColumn("row_id_", F.xxhash64(key, F.col(text_col).cast("string"))).join(drops, "row_id_", "left")
     return joined.withColumns({
         "kept_text_": F.when(F.col("drops_").isNull(), F.col(text_col)).otherwise(kept),
         "n_lines_": F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long"),
