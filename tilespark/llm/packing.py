@@ -1,6 +1,6 @@
 """Operator 6: pack documents into token sequences along a Hilbert curve.
 
-A document's hashed word counts, of length one, are projected to three normal directions; the place on the Hilbert curve
+A document's counts of hashed byte 4-grams, of length one, are projected to three normal directions; the place on the Hilbert curve
 through that cube is its key. Documents are range-partitioned and sorted by the key and laid end to end along the curve, so
 neighbours of like content share sequences. A sequence is full at ``length`` tokens; the tokens left at the end of a
 partition fill sequences of falling powers of two, which need no padding.
@@ -9,8 +9,9 @@ partition fill sequences of falling powers of two, which need no padding.
 from __future__ import annotations
 
 import os
-import re
+import string
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,8 @@ from .common import shuffle_partitions, small_batches
 AXES, BITS, HASHED = 3, 10, 4096
 PIECE = "doc_id long, start long, length long, token_bytes binary, doc_tokens long, sequence_id long, offset long, curve_key long"
 #: White space for str.split() but not for the tokenizer.
-ODD_SPACE = re.compile("[\x1c-\x1f]")
+ODD_SPACE = "\x1c\x1d\x1e\x1f"
+HEAD_MARKS = string.punctuation.replace("'", "")
 
 
 def hilbert_key(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -54,15 +56,28 @@ def directions(seed: int) -> np.ndarray:
     return np.random.default_rng(seed).normal(size=(HASHED, AXES))
 
 
+def hashed_counts(text: str | None, block: int = 1 << 20) -> np.ndarray | None:
+    """Counts of the hashed byte 4-grams of a whole text; None if it has none."""
+    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    if len(raw) < 4:
+        return None
+    counts = np.zeros(HASHED)
+    for at in range(0, len(raw) - 3, block):
+        part = raw[at : at + block + 3].astype(np.uint32)
+        gram = part[:-3] | part[1:-2] << np.uint32(8) | part[2:-1] << np.uint32(16) | part[3:] << np.uint32(24)
+        gram *= np.uint32(2654435761)
+        gram >>= np.uint32(20)
+        counts += np.bincount(gram, minlength=HASHED)
+    return counts
+
+
 def curve_keys(texts: list[str | None], doc_ids: list[int | None], table: np.ndarray) -> np.ndarray:
     """Hilbert key of each text, above 31 bits of a hash of the id that tells equal texts apart."""
     points = np.zeros((len(texts), AXES))
     for row, text in enumerate(texts):
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        if words:
-            counts = np.bincount(np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % HASHED, minlength=HASHED)
-            used = np.flatnonzero(counts)
-            points[row] = counts[used] @ table[used] / np.linalg.norm(counts[used])
+        counts = hashed_counts(text)
+        if counts is not None:
+            points[row] = counts @ table / np.linalg.norm(counts)
     share = 0.5 * (1 + np.tanh(0.79788456 * (points + 0.044715 * points**3)))  # close to the normal distribution function
     cells = np.clip(share * (1 << BITS), 0, (1 << BITS) - 1)
     ties = np.fromiter((zlib.crc32(str(d).encode()) >> 1 for d in doc_ids), np.int64, len(doc_ids))
@@ -72,59 +87,78 @@ def curve_keys(texts: list[str | None], doc_ids: list[int | None], table: np.nda
 class WordTokenizer:
     """Ids of a ``tokenizers`` file whose pre-tokens never cross white space; remembers words.
 
-    A word is what lies between white space. Runs of letters are one pre-token each, so new ones are encoded many at once
-    and parted at the tokens that end a word; a mark after a letter always starts a pre-token of its own. Texts that hold
-    special tokens or odd control characters are encoded whole.
+    A word is what lies between white space. A run of letters is one pre-token, and so is the run of ASCII marks before or
+    after it (but for an apostrophe before letters). Runs of Latin letters, which lower-casing maps one to one, go straight
+    to the model; all other new words go through the whole tokenizer. Texts that hold special tokens or odd control
+    characters are encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 350_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         vocabulary = self.model.get_vocab(with_added_tokens=True)
         self.kind = np.dtype("<u2") if max(vocabulary.values()) < 1 << 16 else np.dtype("<u4")
-        self.ends = {i for token, i in vocabulary.items() if token.endswith("</w>")}
-        self.special = re.compile("|".join(re.escape(t.content) for t in self.model.get_added_tokens_decoder().values()) or r"(?!)")
+        # byte-level alphabet: printable bytes stand for themselves, the others for the characters from 256 on
+        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        self.alphabet = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
+        self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
+        self.marks = {"": b""}
         self.known: dict[str, bytes] = {}
+        self.letters: dict[str, bytes] = {}
         self.most = most
 
-    def encode(self, text: str) -> list[int]:
-        return self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids
+    def packed(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, words: set[str]) -> None:
-        known, pack = self.known, lambda ids: np.array(ids, self.kind).tobytes()
-        if len(known) > self.most:
-            self.known = known = {w: v for w, v in known.items() if len(w) <= 5}
-        plain: dict[str, list[tuple[str, str]]] = {}
+        known, letters, marks, tokenize = self.known, self.letters, self.marks, self.model.model.tokenize
         for w in words:
-            if w not in known:
-                body, mark = (w[:-1], w[-1]) if len(w) > 1 and w[-1] in ".,;:!?" and w[-2].isalpha() else (w, "")
-                if body.isalpha():
-                    plain.setdefault(body, []).append((w, mark))
-                else:
-                    known[w] = pack(self.encode(w))
-        bodies = list(plain)
-        for at in range(0, len(bodies), 2000):
-            part, found, ids = bodies[at : at + 2000], [], []
-            for i in self.encode(" ".join(part)):
-                ids.append(i)
-                if i in self.ends:
-                    found.append(ids)
-                    ids = []
-            if len(found) != len(part) or ids:  # a letter that the tokenizer takes for something else
-                found = [self.encode(w) for w in part]
-            for body, ids in zip(part, found):
-                for w, mark in plain[body]:
-                    known[w] = pack(ids + self.encode(mark) if mark else ids)
+            head = mark = ""
+            body = w
+            if not w.isalpha():
+                body = w.rstrip(string.punctuation)
+                mark, size = w[len(body) :], len(body)
+                body = body.lstrip(HEAD_MARKS)
+                head = w[: size - len(body)]
+                if not body.isalpha():
+                    known[w] = self.packed([w])[0]
+                    continue
+            if not body.isascii() and max(body) >= "\u0130":
+                known[w] = self.packed([w])[0]
+                continue
+            body = body.lower()
+            ids = letters.get(body)
+            if ids is None:
+                plain = body if body.isascii() else body.encode().decode("latin-1").translate(self.alphabet)
+                ids = letters[body] = array(self.kind.char, [t.id for t in tokenize(plain)]).tobytes()
+            if mark or head:
+                for x in (mark, head):
+                    if x not in marks:
+                        marks[x] = self.packed([x])[0]
+                known[w] = marks[head] + ids + marks[mark]
+            else:
+                known[w] = ids
+
+    def encode(self, text: str | None) -> bytes:
+        """The packed ids of a text."""
+        if not text:
+            return b""
+        if any(c in text for c in ODD_SPACE) or any(t in text for t in self.special):
+            return self.packed([text])[0]
+        words = text.split()
+        if new := set(words).difference(self.known):
+            if len(self.known) > self.most:  # the short words are the frequent ones
+                self.known = {w: v for w, v in self.known.items() if len(w) <= 5}
+                self.letters = {w: v for w, v in self.letters.items() if len(w) <= 5} if len(self.letters) > self.most else self.letters
+                self.marks = {"": b""}
+                new = set(words).difference(self.known)
+            self.learn(new)
+        return b"".join(map(self.known.__getitem__, words))
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
-        """The packed ids of each text."""
-        whole = [bool(t and (ODD_SPACE.search(t) or self.special.search(t))) for t in texts]
-        split = [[] if odd or not t else t.split() for t, odd in zip(texts, whole)]
-        self.learn({w for words in split for w in words})
-        known = self.known.__getitem__
-        return [np.array(self.encode(t), self.kind).tobytes() if odd else b"".join(map(known, words)) for t, odd, words in zip(texts, whole, split)]
+        return list(map(self.encode, texts))
 
 
 def pack_partition(end_id: int, length: int, kind: str):
