@@ -35,8 +35,9 @@ def merge(a: Column, b: Column, k: int = K) -> Column:
 
 
 def resemblance(a: Column, b: Column, k: int = K) -> Column:
-    """Jaccard similarity, 0 to 1; two empty sets are alike."""
-    return let(merge(a, b, k), lambda u: F.when(F.size(u) == 0, 1.0).otherwise(F.size(F.array_intersect(F.array_intersect(u, a), b)) / F.size(u)))
+    """Jaccard similarity, 0 to 1; two empty sets are alike. Exact where neither sketch is full."""
+    union = F.when((F.size(a) < k) & (F.size(b) < k), F.array_union(a, b)).otherwise(merge(a, b, k))
+    return let(union, lambda u: F.when(F.size(u) == 0, 1.0).otherwise(F.size(F.array_intersect(F.array_intersect(u, a), b)) / F.size(u)))
 
 
 def distinct_count(a: Column, k: int = K) -> Column:
