@@ -234,8 +234,9 @@ def pack(docs: DataFrame, tokenizer: str, *, length: int = 4096, end_id: int = 2
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = directions(seed)
         for rows in batches:
-            ids = [None if pd.isna(d) else int(d) for d in rows["doc_id"]]
-            yield pd.DataFrame({"curve_key": curve_keys(list(rows["text"]), ids, table)})
+            texts, ids = list(rows["text"]), [None if pd.isna(d) else int(d) for d in rows["doc_id"]]
+            # long texts weigh more, so that ranges hold like amounts of text
+            yield pd.DataFrame({"curve_key": np.repeat(curve_keys(texts, ids, table), [1 + len(t or "") // 4096 for t in texts])})
 
     found = docs.mapInPandas(keys, "curve_key long").agg(F.percentile_approx("curve_key", [i / n for i in range(1, n)] or [0.5], max(10_000, 20 * n))).first()[0]
     bounds = np.array(sorted(set(found or [])), np.int64)
