@@ -55,6 +55,15 @@ def segments_meet(a: Point, b: Point, c: Point, d: Point) -> bool:
     return False
 
 
+def _clash(points: list[Point], i: int, j: int, n: int) -> bool:
+    """Whether the sides i and j of a ring share more than they may."""
+    gap = (j - i) % n
+    if gap in (1, n - 1):  # neighbours share a corner; folding back would share more
+        a, b, c = (points[i], points[i + 1], points[(i + 2) % n]) if gap == 1 else (points[j], points[j + 1], points[(j + 2) % n])
+        return _side(*a, *b, *c) == 0 and (b[0] - a[0]) * (c[0] - b[0]) + (b[1] - a[1]) * (c[1] - b[1]) < 0
+    return segments_meet(points[i], points[i + 1], points[j], points[j + 1])
+
+
 def valid_ring(points: list[Point]) -> bool:
     """Closed, finite, at least three distinct corners, area above zero, and no two sides that meet but at their corner."""
     if len(points) < 4 or points[0] != points[-1] or not all(math.isfinite(c) for p in points for c in p):
@@ -63,6 +72,12 @@ def valid_ring(points: list[Point]) -> bool:
     n = len(points) - 1
     if n < 3 or len(set(points[:-1])) != n:
         return False
+    if n <= 12:  # the same test, without the setting up of arrays
+        for i in range(n):
+            for j in range(i + 1, n):
+                if _clash(points, i, j, n):
+                    return False
+        return ring_area([(x - points[0][0], y - points[0][1]) for x, y in points]) != 0
     p = np.array(points)
     low, high = np.minimum(p[:-1], p[1:]), np.maximum(p[:-1], p[1:])
     order = np.argsort(low[:, 0], kind="stable")
@@ -72,12 +87,7 @@ def valid_ring(points: list[Point]) -> bool:
         for j in order[rank + 1 : stop].tolist():
             if low[j, 1] > high[i, 1] or high[j, 1] < low[i, 1]:
                 continue
-            gap = (j - i) % n
-            if gap in (1, n - 1):  # neighbours share a corner; folding back would share more
-                a, b, c = (points[i], points[i + 1], points[(i + 2) % n]) if gap == 1 else (points[j], points[j + 1], points[(j + 2) % n])
-                if _side(*a, *b, *c) == 0 and (b[0] - a[0]) * (c[0] - b[0]) + (b[1] - a[1]) * (c[1] - b[1]) < 0:
-                    return False
-            elif segments_meet(points[i], points[i + 1], points[j], points[j + 1]):
+            if _clash(points, i, j, n):
                 return False
     x, y = p[:-1, 0] - p[0, 0], p[:-1, 1] - p[0, 1]
     return bool(abs(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1))) > 0)
@@ -239,16 +249,38 @@ def _inside(p: tuple, ring: list[tuple]) -> bool:
     return odd
 
 
+class _Cells:
+    """Boxes by the cells of a coarse lattice that they touch."""
+
+    def __init__(self, boxes: list[tuple]):
+        spread = sum(max(x1 - x0, y1 - y0) for x0, x1, y0, y1 in boxes)
+        self.size = max(1, math.ceil(spread / max(1, len(boxes))))
+        self.members: dict[tuple[int, int], list[int]] = defaultdict(list)
+        for i, box in enumerate(boxes):
+            for cell in self.over(*box):
+                self.members[cell].append(i)
+
+    def over(self, x0, x1, y0, y1) -> Iterator[tuple[int, int]]:
+        for cx in range(math.floor(x0 / self.size), math.floor(x1 / self.size) + 1):
+            for cy in range(math.floor(y0 / self.size), math.floor(y1 / self.size) + 1):
+                yield cx, cy
+
+    def near(self, x0, x1, y0, y1) -> set[int]:
+        return {i for cell in self.over(x0, x1, y0, y1) for i in self.members.get(cell, ())}
+
+
 def _union(rings: list[list[tuple]]) -> list[list[tuple]]:
     sides = [(k, a, b) for k, r in enumerate(rings) for a, b in zip(r, r[1:])]
     spans = [(min(a[0], b[0]), max(a[0], b[0]), min(a[1], b[1]), max(a[1], b[1])) for _, a, b in sides]
     boxes = [(min(p[0] for p in r), max(p[0] for p in r), min(p[1] for p in r), max(p[1] for p in r)) for r in rings]
+    side_cells, ring_cells = _Cells(spans), _Cells(boxes)
     pieces: dict[tuple, list[set]] = {}  # (low, high) -> rings with their inside to the left, to the right
     for (k, a, b), (x0, x1, y0, y1) in zip(sides, spans):
         on = {a, b}
-        for (_, c, d), (u0, u1, v0, v1) in zip(sides, spans):
+        for i in side_cells.near(x0, x1, y0, y1):
+            u0, u1, v0, v1 = spans[i]
             if u0 <= x1 and x0 <= u1 and v0 <= y1 and y0 <= v1:
-                on.update(_cuts(a, b, c, d))
+                on.update(_cuts(a, b, sides[i][1], sides[i][2]))
         chain = sorted(on, key=lambda p: (p[0] - a[0]) * (b[0] - a[0]) + (p[1] - a[1]) * (b[1] - a[1]))
         for p, q in zip(chain, chain[1:]):
             key = (min(p, q), max(p, q))
@@ -258,7 +290,8 @@ def _union(rings: list[list[tuple]]) -> list[list[tuple]]:
         if bool(left) == bool(right):
             continue
         mx, my = Fraction(p[0] + q[0]) / 2, Fraction(p[1] + q[1]) / 2
-        if any(x0 <= mx <= x1 and y0 <= my <= y1 and k not in left and k not in right and _inside((mx, my), rings[k]) for k, (x0, x1, y0, y1) in enumerate(boxes)):
+        over = (k for k in ring_cells.near(mx, mx, my, my) if k not in left and k not in right)
+        if any(boxes[k][0] <= mx <= boxes[k][1] and boxes[k][2] <= my <= boxes[k][3] and _inside((mx, my), rings[k]) for k in over):
             continue
         start, end = (p, q) if left else (q, p)
         leaving[start].append(end)
@@ -329,11 +362,12 @@ def simplify_shape(points: list[Point], layer: str, lod: int, epsilon: float, sn
         points = [*points, points[0]]
     if not valid_ring(points):
         return None
+    before = len(points)
     if lod > 0:
         points = simplify_preserve(points, epsilon, True)
     if layer == "building" and snap_m > 0:
-        points = snap_ring(points, snap_m)
-    return points if points is not None and valid_ring(points) else None
+        return snap_ring(points, snap_m)
+    return points if len(points) == before or valid_ring(points) else None
 
 
 @F.pandas_udf(SHAPE)
