@@ -184,8 +184,9 @@ def ring_area(points: list) -> Fraction | float:
 def union_rings(rings: list[list[Point]], grid: float) -> list[list[Point]]:
     """Outer rings of the union of valid rings whose corners lie on the grid; holes are filled.
 
-    In units of the grid all corners are integers, so crossings are exact fractions. Every side is cut where it meets
-    others; a piece belongs to the boundary if the union covers one of its sides only. The pieces are walked with the
+    In units of the grid all corners are integers, so crossings are exact fractions. Regions are merged two by two, halves
+    of the plane first, so that what lies inside is gone before it meets the rest. In a merge every side is cut where it
+    meets others; a piece belongs to the boundary if the union covers one of its sides only. The pieces are walked with the
     union on their left and parted where a walk meets itself.
     """
     whole = []
@@ -194,10 +195,18 @@ def union_rings(rings: list[list[Point]], grid: float) -> list[list[Point]]:
         whole.append(r if ring_area(r) > 0 else r[::-1])
     out: list[list[tuple]] = []
     for group in _touching(whole):
-        out += [group[0]] if len(group) == 1 else _union(group)
+        out += [r for r in _merge_all([[r] for r in sorted(group)]) if ring_area(r) > 0]
     return [[(float(x * Fraction(grid)), float(y * Fraction(grid))) for x, y in ring] for ring in out]
 
 
+def _merge_all(regions: list[list[list[tuple]]]) -> list[list[tuple]]:
+    """The rings (holes run clockwise) of the union of regions."""
+    if len(regions) == 1:
+        return regions[0]
+    half = len(regions) // 2
+    return _merge(_merge_all(regions[:half]), _merge_all(regions[half:]))
+
+
 def _touching(rings: list[list[tuple]]) -> list[list[list[tuple]]]:
     """Groups of rings whose boxes are linked by overlaps."""
     boxes = [(min(p[0] for p in r), min(p[1] for p in r), max(p[0] for p in r), max(p[1] for p in r)) for r in rings]
@@ -240,11 +249,11 @@ def _cuts(a: tuple, b: tuple, c: tuple, d: tuple) -> list[tuple]:
     return [p for p in (c, d) if inside(p)]
 
 
-def _inside(p: tuple, ring: list[tuple]) -> bool:
-    """Whether a point that is not on the ring lies within it."""
-    odd = False
-    for a, b in zip(ring, ring[1:]):
-        if (a[1] > p[1]) != (b[1] > p[1]) and ((p[0] - a[0]) * (b[1] - a[1]) < (p[1] - a[1]) * (b[0] - a[0])) == (b[1] > a[1]):
+def _inside(twice: tuple, ring: list[tuple]) -> bool:
+    """Whether a point that is not on the ring lies within it; given by twice its coordinates, to stay with integers."""
+    odd, (x, y) = False, twice
+    for (ax, ay), (bx, by) in zip(ring, ring[1:]):
+        if (2 * ay > y) != (2 * by > y) and ((x - 2 * ax) * (by - ay) < (y - 2 * ay) * (bx - ax)) == (by > ay):
             odd = not odd
     return odd
 
@@ -269,12 +278,18 @@ class _Cells:
         return {i for cell in self.over(x0, x1, y0, y1) for i in self.members.get(cell, ())}
 
 
-def _union(rings: list[list[tuple]]) -> list[list[tuple]]:
-    sides = [(k, a, b) for k, r in enumerate(rings) for a, b in zip(r, r[1:])]
-    spans = [(min(a[0], b[0]), max(a[0], b[0]), min(a[1], b[1]), max(a[1], b[1])) for _, a, b in sides]
-    boxes = [(min(p[0] for p in r), max(p[0] for p in r), min(p[1] for p in r), max(p[1] for p in r)) for r in rings]
+def _box(points: list[tuple]) -> tuple:
+    xs, ys = [p[0] for p in points], [p[1] for p in points]
+    return min(xs), max(xs), min(ys), max(ys)
+
+
+def _merge(first: list[list[tuple]], second: list[list[tuple]]) -> list[list[tuple]]:
+    """The rings of the union of two regions."""
+    rings = [(k, r) for k, region in enumerate((first, second)) for r in region]
+    sides = [(k, a, b) for k, r in rings for a, b in zip(r, r[1:])]
+    spans, boxes = [_box((a, b)) for _, a, b in sides], [_box(r) for _, r in rings]
     side_cells, ring_cells = _Cells(spans), _Cells(boxes)
-    pieces: dict[tuple, list[set]] = {}  # (low, high) -> rings with their inside to the left, to the right
+    pieces: dict[tuple, list[set]] = {}  # (low, high) -> regions with their inside to the left, to the right
     for (k, a, b), (x0, x1, y0, y1) in zip(sides, spans):
         on = {a, b}
         for i in side_cells.near(x0, x1, y0, y1):
@@ -289,16 +304,24 @@ def _union(rings: list[list[tuple]]) -> list[list[tuple]]:
     for (p, q), (left, right) in pieces.items():
         if bool(left) == bool(right):
             continue
-        mx, my = Fraction(p[0] + q[0]) / 2, Fraction(p[1] + q[1]) / 2
-        over = (k for k in ring_cells.near(mx, mx, my, my) if k not in left and k not in right)
-        if any(boxes[k][0] <= mx <= boxes[k][1] and boxes[k][2] <= my <= boxes[k][3] and _inside((mx, my), rings[k]) for k in over):
-            continue
+        other = {0, 1} - left - right
+        if other:
+            twice = (p[0] + q[0], p[1] + q[1])
+            mx, my = twice[0] / 2, twice[1] / 2  # a hint for the search only; the test is exact
+            around = (rings[i][1] for i in ring_cells.near(mx - 1, mx + 1, my - 1, my + 1) if rings[i][0] in other)
+            if sum(_inside(twice, r) for r in around) % 2:
+                continue
         start, end = (p, q) if left else (q, p)
         leaving[start].append(end)
-    rings_out = []
+    return _walks(leaving)
+
+
+def _walks(leaving: dict[tuple, list[tuple]]) -> list[list[tuple]]:
+    """Rings from directed pieces by their start."""
+    out = []
     while leaving:
-        start = next(iter(leaving))
-        walk = [start]
+        walk = [next(iter(leaving))]
+        at = {walk[0]: 0}
         while True:
             ends = leaving[walk[-1]]
             if len(ends) > 1 and len(walk) > 1:  # the sharpest left turn stays with the same part of the union
@@ -308,15 +331,17 @@ def _union(rings: list[list[tuple]]) -> list[list[tuple]]:
             if not ends:
                 del leaving[walk[-1]]
             walk.append(end)
-            if end in walk[:-1]:  # part off what is closed
-                at = walk.index(end)
-                ring = walk[at:]
-                walk = walk[: at + 1]
-                if ring_area(ring) > 0:
-                    rings_out.append(_straight(ring))
+            if end in at:  # part off what is closed
+                ring, walk = walk[at[end] :], walk[: at[end] + 1]
+                for p in ring[1:-1]:
+                    del at[p]
+                if ring_area(ring) != 0:
+                    out.append(_straight(ring))
                 if len(walk) == 1:
                     break
-    return rings_out
+            else:
+                at[end] = len(walk) - 1
+    return out
 
 
 def _straight(ring: list[tuple]) -> list[tuple]:
