@@ -10,6 +10,7 @@ from tilespark.api import bake, extract_features, read_index, read_layer, read_o
 from tilespark.operators.tiling import selected_tiles
 from tilespark.plans.bake import bake_layers, nested_tiles
 from tilespark.functions.lod import lod_table
+from tilespark.streaming.viewport import drawn, lod_or_last
 from tilespark.schema import OSM_NODE, OSM_RELATION, OSM_WAY
 from tilespark.sources.osm import encode_pbf
 
@@ -77,6 +78,16 @@ def test_nested(spark, elements):
     assert sum(len(lod["roads"]) for r in rows for lod in r["lods"]) == layers["roads"].count()
 
 
+def test_drawing(spark, elements):
+    scan = scan_bounds(elements["node"], 500)
+    layers = bake_layers(extract_features(elements["node"], elements["way"], elements["relation"]), scan.grid, lod_table(spark, 2))
+    rows = drawn(layers, scan.grid, 0).collect()
+    assert {r["layer"] for r in rows} == {"areas", "buildings", "roads", "pois"} and {r["color"] for r in rows if r["layer"] == "areas"} == {103268, 73416}
+    assert all(r["radius"] == 18.0 and r["x0"] == r["x1"] for r in rows if r["layer"] == "pois")
+    nested = nested_tiles(layers).select(lod_or_last(F.col("lods"), F.lit(9))["lod"].alias("lod")).collect()
+    assert {r["lod"] for r in nested} <= {0, 1}
+
+
 def test_pbf_round_trip(spark, tmp_path):
     nodes, ways, relations = town()
     path = tmp_path / "town.osm.pbf"

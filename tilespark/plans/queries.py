@@ -20,7 +20,7 @@ from ..functions.project import box_area, box_diagonal, centimetres, mercator_x,
 from ..operators import manifest, resolve, tiling
 from ..operators.dissolve import dissolve_dense, with_bucket
 from ..operators.simplify import at_levels, simplify_buildings
-from ..schema import DENSE_BUILDINGS, LOD_DISTANCES_M, LOD_TOLERANCES_M, PLACES, ROAD_CLASS, ROAD_HIGHWAYS, ROAD_LAST_LOD, ROAD_WIDTH_M, TERRAIN, TERRAIN_PRIORITY, TERRAIN_TAGS
+from ..schema import DENSE_BUILDINGS, LOD_DISTANCES_M, LOD_TOLERANCES_M, PLACES, ROAD_CLASS, ROAD_COLOR, ROAD_HIGHWAYS, ROAD_LAST_LOD, ROAD_WIDTH_M, TERRAIN, TERRAIN_COLOR, TERRAIN_PRIORITY, TERRAIN_TAGS
 from ..sources import osm, tiles
 from ..sources.views import LAT, LON, VIEWS, view, with_views
 from ..streaming import viewport
@@ -526,18 +526,24 @@ def layer_report(spark, sf_dir):
     return entities(spark, sf_dir).groupBy("layer").agg(F.count(F.lit(1)).alias("n"))
 
 
-#: red, green and blue in hundredths
-ROAD_COLORS = {"Motorway": (75, 29, 18), "Primary": (82, 47, 18), "Secondary": (90, 73, 35), "Local": (18, 18, 19), "Service": (30, 30, 33), "Track": (47, 42, 28)}
-_COLOR_CASE = case([(f"road_class = {ROAD_CLASS[n]}", r * 10000 + g * 100 + b) for n, (r, g, b) in ROAD_COLORS.items()])
+_COLOR_CASE = case([(f"road_class = {ROAD_CLASS[n]}", viewport.color_code(c)) for n, c in ROAD_COLOR.items()])
+_TERRAIN_COLOR_CASE = case([(f"terrain = {TERRAIN[n]}", viewport.color_code(c)) for n, c in TERRAIN_COLOR.items()])
 
 
 @query(with_views("road_pt", "road", more=f"""{_CLASSED}, p AS (SELECT way_id, pos, {cm(mx('lon'))} AS x0, {cm(my('lat'))} AS y0 FROM road_pt),
 s AS (SELECT *, lead(x0) OVER w AS x1, lead(y0) OVER w AS y1 FROM p WINDOW w AS (PARTITION BY way_id ORDER BY pos))""") + f"""
 SELECT s.way_id, pos, x0, y0, x1, y1, {_COLOR_CASE} AS color FROM s JOIN cls c ON c.way_id = s.way_id WHERE x1 IS NOT NULL AND road_class IS NOT NULL""")
 def segments(spark, sf_dir):
-    color = F.coalesce(*(F.when(F.col("road_class") == ROAD_CLASS[n], r * 10000 + g * 100 + b) for n, (r, g, b) in ROAD_COLORS.items()))
     drawn = viewport.segments(points(spark, sf_dir, "road_pt"), ["way_id"]).join(classed_roads(spark, sf_dir), "way_id")
-    return drawn.select("way_id", "pos", *(centimetres(F.col(c)).alias(c) for c in ("x0", "y0", "x1", "y1")), color.alias("color"))
+    return drawn.select("way_id", "pos", *(centimetres(F.col(c)).alias(c) for c in ("x0", "y0", "x1", "y1")), viewport.road_color(F.col("road_class")).alias("color"))
+
+
+@query(with_views("area_pt", "area_tag", more=f"""{_BEST}, p AS (SELECT way_id, pos, {cm(mx('lon'))} AS x0, {cm(my('lat'))} AS y0 FROM area_pt),
+s AS (SELECT *, lead(x0) OVER w AS x1, lead(y0) OVER w AS y1 FROM p WINDOW w AS (PARTITION BY way_id ORDER BY pos))""") + f"""
+SELECT s.way_id, pos, x0, y0, x1, y1, {_TERRAIN_COLOR_CASE} AS color FROM s JOIN best b ON b.way_id = s.way_id WHERE x1 IS NOT NULL AND terrain IS NOT NULL""")
+def area_outlines(spark, sf_dir):
+    drawn = viewport.segments(points(spark, sf_dir, "area_pt"), ["way_id"]).join(terrain_best(spark, sf_dir).filter(F.col("terrain").isNotNull()), "way_id")
+    return drawn.select("way_id", "pos", *(centimetres(F.col(c)).alias(c) for c in ("x0", "y0", "x1", "y1")), viewport.terrain_color(F.col("terrain")).alias("color"))
 
 
 # ---------------------------------------------------------------- viewer
@@ -555,6 +561,15 @@ def viewport_tiles(spark, sf_dir):
 
 
 _DISTANCES = [v.distance_m for v in LEVELS]
+_LOD_CASE = case([(f"scale * 1280 * 0.5e0 <= {d!r}", i) for i, d in enumerate(_DISTANCES)], str(N_LODS - 1))
+
+
+@query(_CAMERA + ", " + _VISIBLE + f""", n AS (SELECT event_id, count(*) AS n FROM vis GROUP BY event_id)
+SELECT cam.event_id, concat_ws(chr(10), 'Region: region', printf('Player: %.0f, %.0f', x, y), printf('Scale: %.4f', scale), printf('LOD: %d', {_LOD_CASE}), printf('Loaded tiles: %d', coalesce(n, 0))) AS status
+FROM cam LEFT JOIN n ON n.event_id = cam.event_id""")
+def debug_status(spark, sf_dir):
+    rows = viewport.with_view(cameras(spark, sf_dir), GRID, _DISTANCES)
+    return rows.select("event_id", viewport.status_text(F.lit("region"), F.col("x"), F.col("y"), F.col("scale"), F.col("lod"), F.size("visible")).alias("status"))
 
 
 @query(with_views("camera") + " SELECT event_id, " + case([(f"scale * 16 * 1280 * 0.5e0 <= {d!r}", i) for i, d in enumerate(_DISTANCES)], str(N_LODS - 1)) + " AS lod FROM camera")

@@ -75,3 +75,10 @@ DENSE_BUILDINGS = {2: 12, 3: 10, 4: 8, 5: 6, 6: 4}
 PLACES = ["city", "town", "village"]
 
 MOVE_SPEED, ZOOM_LERP, ZOOM_WHEEL, PRELOAD_TILES, VIEW_WIDTH_M, FIT_PADDING = 900.0, 8.0, 0.25, 1, 800.0, 1.08
+
+#: red, green and blue in hundredths
+TERRAIN_COLOR = {
+    "Unknown": (18, 18, 20), "Water": (10, 32, 68), "Grass": (27, 53, 23), "Forest": (7, 34, 16), "Urban": (47, 43, 40), "Farmland": (60, 54, 22), "Sand": (80, 75, 52), "Road": (16, 16, 17),
+}
+ROAD_COLOR = {"Motorway": (75, 29, 18), "Primary": (82, 47, 18), "Secondary": (90, 73, 35), "Local": (18, 18, 19), "Service": (30, 30, 33), "Track": (47, 42, 28)}
+BUILDING_COLOR, POI_COLOR, POI_RADIUS = (69, 63, 57), (92, 16, 16), 18.0

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.grid import Grid
 from ..functions.lod import lod_for_radius
-from ..schema import FIT_PADDING, MOVE_SPEED, PRELOAD_TILES, VIEW_WIDTH_M, ZOOM_LERP, ZOOM_WHEEL
+from ..functions.project import to_world
+from ..schema import BUILDING_COLOR, FIT_PADDING, MOVE_SPEED, POI_COLOR, POI_RADIUS, PRELOAD_TILES, ROAD_CLASS, ROAD_COLOR, TERRAIN, TERRAIN_COLOR, VIEW_WIDTH_M, ZOOM_LERP, ZOOM_WHEEL
 
 
 def scale_for_width(window: Column, view_m: Column) -> Column:
@@ -101,3 +102,50 @@ def segments(points: DataFrame, key: list[str], order: str = "pos") -> DataFrame
     after = Window.partitionBy(*key).orderBy(order)
     rows = points.select(*key, F.col(order), F.col("x").alias("x0"), F.col("y").alias("y0"), F.lead("x").over(after).alias("x1"), F.lead("y").over(after).alias("y1"))
     return rows.filter(F.col("x1").isNotNull())
+
+
+def color_code(rgb: tuple[int, int, int]) -> int:
+    """Hundredths of red, green and blue in one number."""
+    return rgb[0] * 10_000 + rgb[1] * 100 + rgb[2]
+
+
+def _by_code(code: Column, codes: dict[str, int], colors: dict[str, tuple]) -> Column:
+    return F.coalesce(*(F.when(code == codes[n], color_code(c)) for n, c in colors.items()))
+
+
+def terrain_color(code: Column) -> Column:
+    return _by_code(code, TERRAIN, TERRAIN_COLOR)
+
+
+def road_color(code: Column) -> Column:
+    return _by_code(code, ROAD_CLASS, ROAD_COLOR)
+
+
+def drawn(layers: dict[str, DataFrame], grid: Grid, lod: int) -> DataFrame:
+    """(tile_id, layer, x0, y0, x1, y1, radius, color): a line for each pair of consecutive vertices and a circle for each
+    point of interest of baked layers at a level."""
+    left, bottom = grid.origin_of(F.col("tile_id"))
+    colors = {"areas": terrain_color(F.col("kind")), "buildings": F.lit(color_code(BUILDING_COLOR)), "roads": road_color(F.col("class")), "pois": F.lit(color_code(POI_COLOR))}
+    lines = {"areas": F.flatten(F.transform("rings", _pairs)), "buildings": _pairs(F.col("footprint")), "roads": _pairs(F.col("points")), "pois": F.array(F.struct(F.col("point").alias("a"), F.col("point").alias("b")))}
+    out = None
+    for name, pairs in lines.items():
+        rows = layers[name].filter(F.col("lod") == lod).select("tile_id", F.lit(name).alias("layer"), colors[name].alias("color"), F.explode(pairs).alias("p"))
+        ends = {f"{c}{i}": to_world(F.col(f"p.{e}.{c}"), origin) for i, e in enumerate("ab") for c, origin in (("x", left), ("y", bottom))}
+        rows = rows.withColumns(ends).select("tile_id", "layer", "x0", "y0", "x1", "y1", F.lit(POI_RADIUS if name == "pois" else None).cast("double").alias("radius"), "color")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _pairs(points: Column) -> Column:
+    """Array of consecutive vertices (a, b); empty below two."""
+    steps = F.when(F.size(points) >= 2, F.sequence(F.lit(0), F.size(points) - 2)).otherwise(F.array().cast("array<int>"))
+    return F.transform(steps, lambda i: F.struct(F.get(points, i).alias("a"), F.get(points, i + 1).alias("b")))
+
+
+def lod_or_last(lods: Column, lod: Column) -> Column:
+    """The level of a nested tile, or its last one; null for a tile without levels."""
+    return F.coalesce(F.get(lods, lod), F.try_element_at(lods, F.lit(-1)))
+
+
+def status_text(region: Column, x: Column, y: Column, scale: Column, lod: Column, loaded: Column) -> Column:
+    return F.format_string("Region: %s\nPlayer: %.0f, %.0f\nScale: %.4f\nLOD: %d\nLoaded tiles: %d", region, x, y, scale, lod, loaded)
