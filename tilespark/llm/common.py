@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +37,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def worker_cache() -> dict:
+    """A dictionary that lives as long as the Python process: what one task has built there, the next one finds."""
+    return sys.modules.setdefault("tilespark_worker_cache", types.ModuleType("tilespark_worker_cache")).__dict__
+
+
 def id_remainder(doc_id: Column, modulus: int = 5) -> Column:
     """crc32 of the id as text, modulo; a null id counts as remainder 0 (held out, never learned from)."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % modulus, F.lit(0))

@@ -9,6 +9,7 @@ partition fill sequences of falling powers of two, which need no padding.
 from __future__ import annotations
 
 import os
+import re
 import string
 import zlib
 from array import array
@@ -19,12 +20,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, small_batches
+from .common import shuffle_partitions, small_batches, worker_cache
 
 AXES, BITS, HASHED = 3, 10, 4096
 PIECE = "doc_id long, start long, length long, token_bytes binary, doc_tokens long, sequence_id long, offset long, curve_key long"
 #: White space for str.split() but not for the tokenizer.
 ODD_SPACE = "\x1c\x1d\x1e\x1f"
+#: A point or comma that does not stand between a letter or number and white space.
+LOOSE_MARK = re.compile(r"[.,](?:(?<![^\W_].)|(?!\s|\Z))")
 HEAD_MARKS = string.punctuation.replace("'", "")
 
 
@@ -93,7 +96,7 @@ class WordTokenizer:
     characters are encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 350_000):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -106,14 +109,13 @@ class WordTokenizer:
         self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
         self.marks = {"": b""}
         self.known: dict[str, bytes] = {}
-        self.letters: dict[str, bytes] = {}
         self.most = most
 
     def packed(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, words: set[str]) -> None:
-        known, letters, marks, tokenize = self.known, self.letters, self.marks, self.model.model.tokenize
+        known, marks, tokenize = self.known, self.marks, self.model.model.tokenize
         for w in words:
             head = mark = ""
             body = w
@@ -129,17 +131,16 @@ class WordTokenizer:
                 known[w] = self.packed([w])[0]
                 continue
             body = body.lower()
-            ids = letters.get(body)
+            ids = known.get(body)
             if ids is None:
                 plain = body if body.isascii() else body.encode().decode("latin-1").translate(self.alphabet)
-                ids = letters[body] = array(self.kind.char, [t.id for t in tokenize(plain)]).tobytes()
+                ids = known[body] = array(self.kind.char, [t.id for t in tokenize(plain)]).tobytes()
             if mark or head:
                 for x in (mark, head):
                     if x not in marks:
                         marks[x] = self.packed([x])[0]
-                known[w] = marks[head] + ids + marks[mark]
-            else:
-                known[w] = ids
+                ids = marks[head] + ids + marks[mark]
+            known[w] = ids
 
     def encode(self, text: str | None) -> bytes:
         """The packed ids of a text."""
@@ -147,12 +148,11 @@ class WordTokenizer:
             return b""
         if any(c in text for c in ODD_SPACE) or any(t in text for t in self.special):
             return self.packed([text])[0]
-        words = text.split()
+        # in most prose every point and comma ends a word: there they are words of their own, and fewer words are new
+        words = (text if LOOSE_MARK.search(text) else text.replace(".", " .").replace(",", " ,")).split()
         if new := set(words).difference(self.known):
             if len(self.known) > self.most:  # the short words are the frequent ones
-                self.known = {w: v for w, v in self.known.items() if len(w) <= 5}
-                self.letters = {w: v for w, v in self.letters.items() if len(w) <= 5} if len(self.letters) > self.most else self.letters
-                self.marks = {"": b""}
+                self.known, self.marks = {w: v for w, v in self.known.items() if len(w) <= 6}, {"": b""}
                 new = set(words).difference(self.known)
             self.learn(new)
         return b"".join(map(self.known.__getitem__, words))
@@ -242,7 +242,8 @@ def pack(docs: DataFrame, tokenizer: str, *, length: int = 4096, end_id: int = 2
     bounds = np.array(sorted(set(found or [])), np.int64)
 
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, words = directions(seed), WordTokenizer(tokenizer)
+        table, kept, name = directions(seed), worker_cache(), f"words of {tokenizer}"
+        words = kept[name] = kept.get(name) or WordTokenizer(tokenizer)
         for rows in batches:
             texts, ids = list(rows["text"]), [None if pd.isna(d) else int(d) for d in rows["doc_id"]]
             key = curve_keys(texts, ids, table)
