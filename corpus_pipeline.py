@@ -29,7 +29,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Recurring lines go, documents stay: one that loses all its lines has an empty text. n_chars follows the text."""
-    rows = line_dedup.drop_recurring_lines(docs).withColumn("text", F.col("kept_text_"))
+    rows = line_dedup.drop_recurring_lines(docs, all_templates=True).withColumn("text", F.col("kept_text_"))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.col("n_dropped_") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
     return rows.select(docs.columns)

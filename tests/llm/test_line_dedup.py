@@ -38,6 +38,30 @@ def test_tree_depth_and_share(spark):
     assert kept(spark, ["q b c d e f g h i j", "a b c d e f g h i j"])[1] == "a b c d e f g h i j"  # leading tokens part them
 
 
+def test_variants_of_recurring_templates(spark):
+    line = "user said that it is fine and {} will pay for it soon".format
+    # a variant beside a line that recurs exactly, and variants that all occur in two documents
+    assert [t for t in kept(spark, [line("Alice"), line("Alice"), line("Robert")], all_templates=True).values() if t] == [line("Alice")]
+    texts = [line(n) for n in ("Alice", "Alice", "Robert", "Robert", "Carol", "Carol")]
+    assert [t for t in kept(spark, texts, all_templates=True).values() if t] == texts[:1]
+    # lines that differ in more than a fifth stay, and so does what no other document has
+    other = "user said that it was bad but nobody did pay at all today"
+    assert kept(spark, [line("Alice"), line("Alice"), other], all_templates=True)[2] == other
+
+
+def test_a_recurring_template_takes_nothing_away(spark):
+    texts = [f"user said that it is fine and {a} will pay for it {b}" for a, b in [("Alice", "soon"), ("Alice", "soon"), ("Alice", "later"), ("Robert", "later")]]
+    assert kept(spark, texts)[3] == "" and kept(spark, texts, all_templates=True)[3] == ""
+
+
+def test_pipeline_generalises_recurring_templates(spark):
+    import corpus_pipeline
+
+    line = "user said that it is fine and {} will pay for it soon".format
+    docs = spark.createDataFrame([(i, line(n), "en", "s", 0) for i, n in enumerate(["Alice", "Alice", "Robert", "Robert"])], DOCS)
+    assert sorted(r["text"] for r in corpus_pipeline.drop_lines(spark, docs, SF).collect()) == ["", "", "", line("Alice")]
+
+
 def test_equals_duckdb(spark):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")

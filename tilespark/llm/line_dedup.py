@@ -48,6 +48,36 @@ def exact_drops(keys: DataFrame, templates: DataFrame) -> DataFrame:
     return keys.join(known, "template").filter("doc_id > first_doc").select("row_id", "line_no")
 
 
+def lines_of_leaves(docs: DataFrame, wanted: DataFrame, depth: int, min_tokens: int) -> DataFrame:
+    """The parsed lines that may lie in a leaf of ``wanted``, by a broadcast bitmap; a few others pass too."""
+    word, bit = F.pmod(F.col("leaf"), F.lit(FILTER_WORDS)), F.expr("shiftleft(1L, cast(shiftrightunsigned(leaf, 20) & 63 as int))")
+    bitmap = wanted.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))  # FILTER_WORDS rows at most
+    parsed = place_in_tree(docs, depth, min_tokens, with_line=True).withColumn("word", word).withColumn("bit", bit)
+    return parsed.join(F.broadcast(bitmap), "word").filter(F.col("bits").bitwiseAND(F.col("bit")) != 0)
+
+
+def variant_cuts(docs: DataFrame, templates: DataFrame, *, depth: int, min_tokens: int, constant_share: float) -> DataFrame:
+    """(template, cut) of the templates that recur once the tokens that no other template of the leaf has are variable
+    fields; cut is the first document that has any of the variants.
+
+    Templates that recur exactly take part like all others, each as one row, so that more copies of a variant never part
+    it from the others.
+    """
+    leaves = templates.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.min("first_doc").alias("a"), F.max("last_doc").alias("b")).filter("n > 1 and a < b").select("leaf")
+    wanted = shared_checkpoint(templates.join(leaves, "leaf").select("leaf", "template", "first_doc", "last_doc"))
+    lines = lines_of_leaves(docs, wanted, depth, min_tokens).groupBy("template").agg(F.max("line").alias("line"))
+    lines = shared_checkpoint(lines.join(wanted, "template").select("template", "leaf", "first_doc", "last_doc", F.split("line", " ").alias("tokens")))
+    places = lines.select("template", "leaf", "first_doc", "last_doc", F.posexplode("tokens").alias("place", "token")).withColumn("token", F.xxhash64("leaf", "place", "token"))
+    constant = places.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("first_doc").alias("a"), F.max("last_doc").alias("b")).filter("n > 1 and a < b")
+    constant = shared_checkpoint(constant.select("token", F.lit(True).alias("fixed")))
+    marked = places.select("template", "leaf", "first_doc", "last_doc", "token").join(constant, "token", "left").groupBy("template", "leaf", "first_doc", "last_doc").agg(
+        F.count(F.lit(1)).alias("n"), F.count("fixed").alias("n_fixed"), F.sum(F.when(F.col("fixed"), F.col("token")).cast("decimal(20,0)")).alias("parts"))
+    marked = marked.filter((F.col("n_fixed") < F.col("n")) & (F.col("n_fixed") >= constant_share * F.col("n")))
+    general = shared_checkpoint(marked.select("template", "last_doc", "first_doc", F.xxhash64("leaf", "parts").alias("general")))
+    cuts = shared_checkpoint(general.groupBy("general").agg(F.min("first_doc").alias("cut")))
+    return general.join(cuts, "general").filter("last_doc > cut").select("template", "cut")
+
+
 def generalised_drops(docs: DataFrame, templates: DataFrame, *, depth: int, min_tokens: int, constant_share: float) -> DataFrame:
     """(row_id, line_no) of lines that recur once the tokens that no other document has are variable fields.
 
@@ -58,10 +88,7 @@ def generalised_drops(docs: DataFrame, templates: DataFrame, *, depth: int, min_
     single = templates.filter("first_doc = last_doc")
     leaves = single.groupBy("leaf").agg(F.min("first_doc").alias("a"), F.max("first_doc").alias("b")).filter("a < b").select("leaf")
     wanted = shared_checkpoint(single.join(leaves, "leaf").select("leaf", "template"))
-    word, bit = F.pmod(F.col("leaf"), F.lit(FILTER_WORDS)), F.expr("shiftleft(1L, cast(shiftrightunsigned(leaf, 20) & 63 as int))")
-    bitmap = wanted.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))  # FILTER_WORDS rows at most
-    parsed = place_in_tree(docs, depth, min_tokens, with_line=True).withColumn("word", word).withColumn("bit", bit)
-    may_be_open = parsed.join(F.broadcast(bitmap), "word").filter(F.col("bits").bitwiseAND(F.col("bit")) != 0)
+    may_be_open = lines_of_leaves(docs, wanted, depth, min_tokens)
     # an inner join: Spark would move a semi join below the broadcast, and all lines would travel
     lines = may_be_open.join(wanted, ["leaf", "template"]).select("doc_id", "row_id", "line_no", "leaf", F.split("line", " ").alias("tokens"))
     lines = shared_checkpoint(lines.withColumn("line_id", F.xxhash64("row_id", "line_no")))
@@ -75,20 +102,28 @@ def generalised_drops(docs: DataFrame, templates: DataFrame, *, depth: int, min_
     return general.join(first, "template").filter("doc_id > first_doc").select("row_id", "line_no")
 
 
-def drop_recurring_lines(docs: DataFrame, *, depth: int = 4, min_tokens: int = 5, constant_share: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, *, depth: int = 4, min_tokens: int = 5, constant_share: float = 0.8, id_col: str = "doc_id", text_col: str = "text", all_templates: bool = False) -> DataFrame:
     """All rows and columns of ``docs``, with ``kept_text_``, ``n_lines_`` and ``n_dropped_`` added.
 
     Lines end at line feeds and are compared by their tokens. Lines of fewer than ``min_tokens`` tokens never drop. A null
     text stays null, with no lines; an empty text has one empty line. A text may lose all its lines and becomes empty then.
-    Rows with equal ids count as one document; a null id counts as larger than any other.
+    Rows with equal ids count as one document; a null id counts as larger than any other. With ``all_templates`` the
+    templates that recur exactly are generalised as well; without it, as in the SQL of the registered query, only those
+    of one document are.
     """
     key = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
     small = docs.select(key.alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("row_id", F.xxhash64("doc_id", "text"))
     keys = shared_checkpoint(place_in_tree(small, depth, min_tokens))
     templates = shared_checkpoint(keys.groupBy("leaf", "template").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")))
-    exact = exact_drops(keys.drop("leaf"), templates)
-    more = generalised_drops(small, templates, depth=depth, min_tokens=min_tokens, constant_share=constant_share)
-    drops = exact.unionByName(more).groupBy(F.col("row_id").alias("row_id_")).agg(F.collect_set("line_no").alias("drops_"))
+    rule = {"depth": depth, "min_tokens": min_tokens, "constant_share": constant_share}
+    known = templates
+    if all_templates:
+        cuts = variant_cuts(small, templates, **rule).withColumnRenamed("template", "template_")
+        early = F.least("first_doc", "cut")  # of two values the one that is not null
+        known = templates.join(cuts, F.col("template") == F.col("template_"), "left").select("template", early.alias("first_doc"), "last_doc")
+    # both passes count: what is variable among templates of one document may be constant among all
+    found = exact_drops(keys.drop("leaf"), known).unionByName(generalised_drops(small, templates, **rule))
+    drops = found.groupBy(F.col("row_id").alias("row_id_")).agg(F.collect_set("line_no").alias("drops_"))
     lines = F.split(F.col(text_col), "\n", -1)
     kept = let(lines, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("drops_")), lambda i: F.get(x, i)), "\n"))
     joined = docs.withColumn("row_id_", F.xxhash64(key, F.col(text_col).cast("string"))).join(drops, "row_id_", "left")
