@@ -58,3 +58,13 @@ def test_audit_measures_recall(spark, rows):
 def test_empty(spark, rows):
     assert E.near_duplicates(spark.createDataFrame([], ROW)).count() == 0
     assert E.near_duplicates(spark.createDataFrame(rows[-9:-1], ROW)).count() == 8
+
+
+def test_links_across_dense_groups(spark):
+    """Two balls whose members have all their nearest in their own ball, with links across."""
+    rng, n = np.random.default_rng(9), 40
+    centers = np.zeros((2, 64))
+    centers[:, 0], centers[0, 1], centers[1, 1] = 1, 0.17, -0.17
+    rows = [(2 * i + c, [float(x) for x in centers[c] + rng.normal(size=64) * 0.004], 0, "clash", 1) for c in (0, 1) for i in range(n)]
+    got = sorted(map(tuple, E.near_duplicates(spark.createDataFrame(rows, ROW), k=5, trees=1, audits=1).collect()))
+    assert got == brute(sorted(rows)) and sum(r[3] for r in got) == 1

@@ -3,7 +3,7 @@
 Equal vectors of a label count once, with a multiplicity. Every vector keeps a list of its nearest known neighbours among
 the vectors of its label. The lists start from a few random-hyperplane trees and are refined in rounds: around each vector
 its neighbours, and the vectors that have it as a neighbour, are compared with one another. Lists that are full of links
-are saturated: they are enlarged to everything that the links reach from them, compared in bounded tiles. An audit compares
+are saturated: everything that the links reach from them is compared with all vectors of its label, in bounded tiles. An audit compares
 a bounded set of vectors with all others and starts further rounds, with longer lists and other trees, while recall is
 below its target. Only links at or above the threshold are kept, by cosine in double precision.
 """
@@ -134,16 +134,37 @@ def audit(points: DataFrame, links: DataFrame, threshold: float, queries: int) -
     return 1.0 if recall is None else recall
 
 
-def reached_links(points: DataFrame, members: DataFrame, threshold: float, part_rows: int = 256) -> DataFrame:
-    """(u, links): for the vectors of ``members`` (u, component), links to vectors of the same component, weighed by
-    multiplicity. Components are cut into parts and compared part by part; pairs are counted, not kept."""
-    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("size")).select(F.col("component").alias("c_"), F.ceil(F.col("size") / part_rows).cast("int").alias("parts"))
-    sizes = shared_checkpoint(sizes)
-    rows = members.join(sizes, F.col("component") == F.col("c_")).join(points.select("u", "vec", "n"), "u")
-    part = F.pmod(F.xxhash64("u"), F.col("parts")).cast("int")
-    tile = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct((F.least(F.col("part"), q).cast("long") * F.col("parts") + F.greatest(F.col("part"), q)).alias("tile"), (F.col("part") > q).cast("int").alias("side")))
-    rows = rows.withColumn("part", part).withColumn("t", F.explode(tile)).withColumn("self", F.col("t.tile") == F.col("part").cast("long") * F.col("parts") + F.col("part"))
-    rows = rows.select("component", "t.tile", "t.side", "self", "u", "n", "vec").repartition("component", "tile").sortWithinPartitions("component", "tile", "side", "u")
+def forest(linked: np.ndarray) -> np.ndarray:
+    """For each row the row it was reached from, or -1: links enough to join whatever the matrix joins."""
+    parent, todo = np.full(len(linked), -1), linked.any(axis=1)
+    for root in range(len(linked)):
+        front, todo[root] = [root] * int(todo[root]), False
+        while front:
+            i = front.pop()
+            new = np.flatnonzero(linked[i] & todo)
+            todo[new], parent[new] = False, i
+            front.extend(new.tolist())
+    return parent
+
+
+def exact_links(points: DataFrame, members: DataFrame, threshold: float, part_rows: int = 1024) -> DataFrame:
+    """(u, links, v): every vector of ``members`` (u) is compared with all of its space. Rows of members count all their
+    links, rows of others those to members, weighed by multiplicity; the sum over a u's rows is exact. Pairs are counted,
+    not kept; of them v, null or a linked vector, joins what the pairs join.
+
+    Members and others are cut into parts, and every pair of parts that holds members is a tile.
+    """
+    flagged = points.select("space", "u", "n", "vec").join(members.select(F.col("u").alias("m_")), F.col("u") == F.col("m_"), "left").withColumn("inside", F.col("m_").isNotNull()).drop("m_")
+    parts = lambda inside: F.ceil(F.count(F.when(F.col("inside") == inside, 1)) / part_rows).cast("long")
+    sizes = flagged.groupBy("space").agg(parts(True).alias("a"), parts(False).alias("b")).filter("a > 0")
+    sizes = shared_checkpoint(sizes.withColumnRenamed("space", "s_"))
+    rows = flagged.join(sizes, F.col("space") == F.col("s_"))
+    part = F.when(F.col("inside"), F.expr("pmod(xxhash64(u), a)")).otherwise(F.expr("a + pmod(xxhash64(u), b)"))
+    others = F.expr("explode(sequence(0L, if(inside, a + b, a) - 1))")
+    rows = rows.withColumn("part", part).select("space", "u", "n", "vec", "a", "b", "part", others.alias("q"))
+    tile = F.least("part", "q") * (F.col("a") + F.col("b")) + F.greatest("part", "q")
+    rows = rows.select("space", tile.alias("tile"), F.expr("cast(part > q as int)").alias("side"), (F.col("part") == F.col("q")).alias("self"), "u", "n", "vec")
+    rows = rows.repartition("space", "tile").sortWithinPartitions("space", "tile", "side", "u")
 
     def work(r: pd.DataFrame) -> pd.DataFrame:
         u, n, x, side = r["u"].to_numpy(), r["n"].to_numpy(), matrix(r["vec"]), r["side"].to_numpy()
@@ -151,9 +172,13 @@ def reached_links(points: DataFrame, members: DataFrame, threshold: float, part_
         np.fill_diagonal(linked, False)
         if not r["self"].iloc[0]:
             linked &= side[:, None] != side[None, :]
-        return pd.DataFrame({"u": u, "links": linked @ n})
+        linked |= linked.T
+        parent = forest(linked)
+        out = pd.DataFrame({"u": u, "links": linked @ n, "v": pd.array(np.where(parent < 0, 0, u[parent]), dtype="Int64")})
+        out.loc[parent < 0, "v"] = pd.NA
+        return out[out["links"] > 0]
 
-    return rows.mapInPandas(by_run(["component", "tile"], work, most=1 << 30), "u long, links long").groupBy("u").agg(F.sum("links").alias("links"))
+    return rows.mapInPandas(by_run(["space", "tile"], work, most=1 << 30), "u long, links long, v long")
 
 
 def near_duplicates(
@@ -170,7 +195,7 @@ def near_duplicates(
     points = shared_checkpoint(points)
     sizes = points.groupBy("space").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
     bits = int(np.clip(np.ceil(np.log2(max(2, sizes / leaf_rows))), 1, 24))
-    lists = None
+    lists, ever_full = None, None
     for attempt in range(most_tries):
         size = k << attempt
         grown = plant(points, range(attempt * trees, (attempt + 1) * trees), bits, size, seed)
@@ -179,18 +204,24 @@ def near_duplicates(
             lists = shared_checkpoint(refine(shared_checkpoint(lists), points, size))
         near = lists.filter(F.col("s") >= threshold)
         links = shared_checkpoint(near.select("u", "v").unionByName(near.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-        named = shared_checkpoint(connected_components(links.select(F.col("u").alias("a"), F.col("v").alias("b"))))
-        # saturated lists: what their links reach is compared whole
+        named = connected_components(links.select(F.col("u").alias("a"), F.col("v").alias("b")))
+        named = shared_checkpoint(named)
+        # a list loses links only when it is full of them: such vectors, and all that their links reach, are compared with
+        # their whole space below. A list that was full before its size grew may have lost links then.
         full = near.groupBy("u").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") >= size).select(F.col("u").alias("node"))
-        dense = shared_checkpoint(full.join(named, "node").select("component").distinct())
-        inside = named.join(dense, "component", "left_semi").select(F.col("node").alias("u"), "component")
-        reached = shared_checkpoint(inside)
-        # in the audit two vectors of such a component count as found: they are compared below
+        ever_full = shared_checkpoint(full if ever_full is None else full.unionByName(ever_full).distinct())
+        dense = shared_checkpoint(ever_full.join(named, "node").select("component").distinct())
+        reached = shared_checkpoint(named.join(dense, "component", "left_semi").select(F.col("node").alias("u"), "component"))
         if audited(points, links, reached, threshold, audits) >= target:
             break
-    exact = reached_links(points, reached, threshold)
-    sparse = links.join(reached.select("u"), "u", "left_anti").join(points.select(F.col("u").alias("v"), "n"), "v").groupBy("u").agg(F.sum("n").alias("links"))
-    counted = shared_checkpoint(exact.unionByName(sparse))
+    members = reached.select("u")
+    exact = shared_checkpoint(exact_links(points, members, threshold))
+    joins = links.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(exact.filter("v is not null").select(F.col("u").alias("a"), F.col("v").alias("b")))
+    named = shared_checkpoint(connected_components(joins))
+    # the links of members, and of others to members, are counted above; those among others come from the lists
+    among = links.join(members, "u", "left_anti").join(members.select(F.col("u").alias("v")), "v", "left_anti")
+    sparse = among.join(points.select(F.col("u").alias("v"), "n"), "v").select("u", F.col("n").alias("links"))
+    counted = shared_checkpoint(exact.select("u", "links").unionByName(sparse).groupBy("u").agg(F.sum("links").alias("links")))
     summary = points.select("u", "label", "vec", "n").join(counted, "u", "left").join(named.withColumnRenamed("node", "u"), "u", "left")
     summary = summary.select("label", "vec", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "u").alias("component"))
     own = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).alias("vec"))
@@ -202,7 +233,7 @@ def near_duplicates(
 
 
 def audited(points: DataFrame, links: DataFrame, reached: DataFrame, threshold: float, audits: int) -> float:
-    """Recall of the audit, with the pairs inside saturated components as links."""
+    """Recall of the audit; the links of ``reached`` are compared exactly and count as found."""
     sample = points.orderBy(F.xxhash64("u"), "u").limit(audits).select("u")
     inside = sample.join(reached, "u").join(reached.withColumnRenamed("u", "v"), "component").filter("u <> v").select("u", "v")
     return audit(points, links.join(sample, "u", "left_semi").unionByName(inside).distinct(), threshold, audits)
