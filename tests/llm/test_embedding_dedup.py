@@ -68,3 +68,14 @@ def test_links_across_dense_groups(spark):
     rows = [(2 * i + c, [float(x) for x in centers[c] + rng.normal(size=64) * 0.004], 0, "clash", 1) for c in (0, 1) for i in range(n)]
     got = sorted(map(tuple, E.near_duplicates(spark.createDataFrame(rows, ROW), k=5, trees=1, audits=1).collect()))
     assert got == brute(sorted(rows)) and sum(r[3] for r in got) == 1
+
+
+def test_exact_where_the_target_is_not_met(spark, rows):
+    """With a target that no audit can meet every link is found, however poor the lists are."""
+    got = E.near_duplicates(spark.createDataFrame(rows, ROW), k=1, trees=1, rounds=0, most_tries=1, leaf_rows=1, target=1.1)
+    assert sorted(map(tuple, got.collect())) == brute(rows)
+
+
+def test_depth_follows_each_label(spark):
+    points = spark.createDataFrame([(i, 1, [1.0]) for i in range(4000)] + [(9000 + i, 2, [1.0]) for i in range(100)], "u long, space long, vec array<float>")
+    assert {r["space"]: r["bits"] for r in E.sized(points, 64).collect()} == {1: 6, 2: 1}

@@ -5,7 +5,7 @@ the vectors of its label. The lists start from a few random-hyperplane trees and
 its neighbours, and the vectors that have it as a neighbour, are compared with one another. Lists that are full of links
 are saturated: everything that the links reach from them is compared with all vectors of its label, in bounded tiles. An audit compares
 a bounded set of vectors with all others and starts further rounds, with longer lists and other trees, while recall is
-below its target. Only links at or above the threshold are kept, by cosine in double precision.
+below its target; where it stays below, all vectors are compared. Only links at or above the threshold are kept, by cosine in double precision.
 """
 
 from __future__ import annotations
@@ -75,19 +75,28 @@ def usable(rows: DataFrame, id_col: str, vector_col: str, label_col: str) -> Dat
     return clean.groupBy("label", "vec").agg(F.min("id").alias("u"), F.count(F.lit(1)).alias("n"))
 
 
-def plant(points: DataFrame, trees: range, bits: int, k: int, seed: int) -> DataFrame:
-    """Neighbours (u, v, s) within the leaves of random-hyperplane trees."""
+def sized(points: DataFrame, leaf_rows: int) -> DataFrame:
+    """``points`` with the depth of the trees for the size of each one's own space, so that a hot label splits no other."""
+    points = shared_checkpoint(points)
+    bits = F.least(F.lit(24), F.greatest(F.lit(1), F.ceil(F.log2(F.col("size") / leaf_rows)))).cast("long")
+    sizes = shared_checkpoint(points.groupBy("space").agg(F.count(F.lit(1)).alias("size")).select(F.col("space").alias("s_"), bits.alias("bits")))
+    return shared_checkpoint(points.join(sizes, F.col("space") == F.col("s_")).drop("s_"))
+
+
+def plant(points: DataFrame, trees: range, k: int, seed: int) -> DataFrame:
+    """Neighbours (u, v, s) within the leaves of random-hyperplane trees, as deep as the ``bits`` of each vector's space."""
 
     def leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for dims, part in rows.groupby(rows["vec"].map(len)):
                 x = matrix(part["vec"])
                 for t in trees:
-                    planes = np.random.default_rng((seed, t, dims)).normal(size=(dims, bits))
-                    leaf = ((x @ planes) > 0) @ (1 << np.arange(bits))
+                    bits = part["bits"].to_numpy()
+                    planes = np.random.default_rng((seed, t, dims)).normal(size=(bits.max(), dims)).T
+                    leaf = (((x @ planes) > 0) @ (1 << np.arange(bits.max()))) & ((1 << bits) - 1)
                     yield pd.DataFrame({"u": part["u"], "space": part["space"], "vec": part["vec"], "leaf": leaf + (t << 32)})
 
-    rows = points.select("u", "space", "vec").mapInPandas(leaves, "u long, space long, vec array<float>, leaf long")
+    rows = points.select("u", "space", "vec", "bits").mapInPandas(leaves, "u long, space long, vec array<float>, leaf long")
     # a salt parts the vectors of a large leaf among tasks; such a leaf is dense, and later rounds join its parts
     sizes = rows.groupBy("space", "leaf").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > 2 * RUN)
     large = shared_checkpoint(sizes.select(F.col("space").alias("space_"), F.col("leaf").alias("leaf_"), F.ceil(F.col("m") / RUN).alias("parts")))
@@ -192,13 +201,11 @@ def near_duplicates(
     """
     small_batches(rows.sparkSession)
     points = usable(rows, id_col, vector_col, label_col).withColumn("space", F.xxhash64("label", F.size("vec")))
-    points = shared_checkpoint(points)
-    sizes = points.groupBy("space").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
-    bits = int(np.clip(np.ceil(np.log2(max(2, sizes / leaf_rows))), 1, 24))
+    points = sized(points, leaf_rows)
     lists, ever_full = None, None
     for attempt in range(most_tries):
         size = k << attempt
-        grown = plant(points, range(attempt * trees, (attempt + 1) * trees), bits, size, seed)
+        grown = plant(points, range(attempt * trees, (attempt + 1) * trees), size, seed)
         lists = nearest(grown if lists is None else lists.unionByName(grown), size)
         for _ in range(rounds):
             lists = shared_checkpoint(refine(shared_checkpoint(lists), points, size))
@@ -214,6 +221,8 @@ def near_duplicates(
         reached = shared_checkpoint(named.join(dense, "component", "left_semi").select(F.col("node").alias("u"), "component"))
         if audited(points, links, reached, threshold, audits) >= target:
             break
+    else:  # the target is not met: everything is compared
+        reached = points.select("u")
     members = reached.select("u")
     exact = shared_checkpoint(exact_links(points, members, threshold))
     joins = links.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(exact.filter("v is not null").select(F.col("u").alias("a"), F.col("v").alias("b")))
