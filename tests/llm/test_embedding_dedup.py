@@ -79,3 +79,16 @@ def test_exact_where_the_target_is_not_met(spark, rows):
 def test_depth_follows_each_label(spark):
     points = spark.createDataFrame([(i, 1, [1.0]) for i in range(4000)] + [(9000 + i, 2, [1.0]) for i in range(100)], "u long, space long, vec array<float>")
     assert {r["space"]: r["bits"] for r in E.sized(points, 64).collect()} == {1: 6, 2: 1}
+
+
+def test_evidence_in_every_size_class(spark):
+    """Rare links in a class of small labels, beside a large label without any."""
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=16).tolist(), 0, "clash", 1) for i in range(600)] + [(600 + i, rng.normal(size=16).tolist(), 1, "clash", 1) for i in range(20)]
+    rows[-1] = (619, rows[-2][1][:15] + [rows[-2][1][15] + 0.01], 1, "clash", 1)
+    points = E.sized(E.usable(spark.createDataFrame(rows, ROW), "vec_id", "embedding", "label").selectExpr("*", "xxhash64(label, size(vec)) AS space"), 64)
+    large, small = (points.filter(f"label = {x}").first()["cls"] for x in (0, 1))
+    true, unproven = E.evidence(points, 0.93, 4, 2, 100)
+    assert sorted(map(tuple, true.collect())) == [(618, 619, small), (619, 618, small)] and unproven == {large}
+    nothing, none = spark.createDataFrame([], "u long, v long"), spark.createDataFrame([], "u long")
+    assert E.missed(true, nothing, none, 0.98) == {small} and E.missed(true, true, none, 0.98) == set()

@@ -4,8 +4,9 @@ Equal vectors of a label count once, with a multiplicity. Every vector keeps a l
 the vectors of its label. The lists start from a few random-hyperplane trees and are refined in rounds: around each vector
 its neighbours, and the vectors that have it as a neighbour, are compared with one another. Lists that are full of links
 are saturated: everything that the links reach from them is compared with all vectors of its label, in bounded tiles. An audit compares
-a bounded set of vectors with all others and starts further rounds, with longer lists and other trees, while recall is
-below its target; where it stays below, all vectors are compared. Only links at or above the threshold are kept, by cosine in double precision.
+sampled vectors of each size class of labels with all others, until enough of them have links, and starts further rounds,
+with longer lists and other trees, while recall of a class is below its target. A class that stays below, or where too few
+links show, is compared whole. Only links at or above the threshold are kept, by cosine in double precision.
 """
 
 from __future__ import annotations
@@ -76,10 +77,11 @@ def usable(rows: DataFrame, id_col: str, vector_col: str, label_col: str) -> Dat
 
 
 def sized(points: DataFrame, leaf_rows: int) -> DataFrame:
-    """``points`` with the depth of the trees for the size of each one's own space, so that a hot label splits no other."""
+    """``points`` with the depth of the trees and the class for the size of each one's own space."""
     points = shared_checkpoint(points)
     bits = F.least(F.lit(24), F.greatest(F.lit(1), F.ceil(F.log2(F.col("size") / leaf_rows)))).cast("long")
-    sizes = shared_checkpoint(points.groupBy("space").agg(F.count(F.lit(1)).alias("size")).select(F.col("space").alias("s_"), bits.alias("bits")))
+    cls = F.floor(F.log2("size") / 2).cast("long")  # sizes within a factor of four
+    sizes = shared_checkpoint(points.groupBy("space").agg(F.count(F.lit(1)).alias("size")).select(F.col("space").alias("s_"), bits.alias("bits"), cls.alias("cls")))
     return shared_checkpoint(points.join(sizes, F.col("space") == F.col("s_")).drop("s_"))
 
 
@@ -119,30 +121,61 @@ def refine(lists: DataFrame, points: DataFrame, k: int) -> DataFrame:
     return nearest(lists.unionByName(new), k)
 
 
-def audit(points: DataFrame, links: DataFrame, threshold: float, queries: int) -> float:
-    """Mean share of the true links found among ``links`` (u, v), over the vectors with links among ``queries`` picked by a
-    hash of the id."""
-    picked = points.orderBy(F.xxhash64("u"), "u").limit(queries).select("u", "space", "vec").collect()
-    if not picked:
-        return 1.0
-    ids, spaces, vectors = [r["u"] for r in picked], np.array([r["space"] for r in picked]), [r["vec"] for r in picked]
+def true_links(points: DataFrame, picked: list, threshold: float) -> DataFrame:
+    """All links (u, v) of the ``picked`` rows, each compared with its whole space."""
+    ids, spaces = np.array([r["u"] for r in picked]), np.array([r["space"] for r in picked])
+    vectors = {space: matrix(pd.Series([picked[i]["vec"] for i in np.flatnonzero(spaces == space)])) for space in set(spaces.tolist())}
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for space, part in rows.groupby("space"):
-                own = np.flatnonzero(spaces == space)
-                if len(own):
-                    s = matrix(pd.Series([vectors[i] for i in own])) @ matrix(part["vec"]).T
-                    i, j = np.nonzero(s >= threshold)
-                    a, b = np.array(ids)[own[i]], part["u"].to_numpy()[j]
+                if space in vectors:
+                    i, j = np.nonzero(vectors[space] @ matrix(part["vec"]).T >= threshold)
+                    a, b = ids[spaces == space][i], part["u"].to_numpy()[j]
                     yield pd.DataFrame({"u": a[a != b], "v": b[a != b]})
 
-    true = points.select("u", "space", "vec").mapInPandas(count, "u long, v long")
-    seen = true.join(links.select("u", "v", F.lit(1).alias("hit")), ["u", "v"], "left").groupBy("u").agg((F.count("hit") / F.count(F.lit(1))).alias("share"))
-    recall = seen.agg(F.avg("share")).first()[0]
+    return points.select("u", "space", "vec").mapInPandas(count, "u long, v long")
+
+
+def shares(true: DataFrame, links: DataFrame) -> DataFrame:
+    """(u, share): how many of the true links of each u are among ``links`` (u, v)."""
+    return true.join(links.select("u", "v", F.lit(1).alias("hit")), ["u", "v"], "left").groupBy("u").agg((F.count("hit") / F.count(F.lit(1))).alias("share"))
+
+
+def audit(points: DataFrame, links: DataFrame, threshold: float, queries: int) -> float:
+    """Mean share of the true links found among ``links`` (u, v), over the vectors with links among ``queries`` picked by a
+    hash of the id; 1.0 when none of them has any, which says something only if all were picked."""
+    picked = points.orderBy(F.xxhash64("u"), "u").limit(queries).select("u", "space", "vec").collect()
+    recall = shares(true_links(points, picked, threshold), links).agg(F.avg("share")).first()[0] if picked else None
     return 1.0 if recall is None else recall
 
 
+def evidence(points: DataFrame, threshold: float, queries: int, linked: int, most: int) -> tuple[DataFrame, set[int]]:
+    """True links (u, v, cls) of sampled vectors, and the size classes whose sample proves nothing.
+
+    In each class about ``queries`` vectors are sampled by a hash of the id, then four times as many, until ``linked`` of
+    them have links, all vectors of the class were compared, or more than ``most`` would be.
+    """
+    totals = {r["cls"]: r["n"] for r in points.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).collect()}
+    open_, found, unproven = dict.fromkeys(totals, queries), None, set()
+    while open_:
+        some = F.lit(False)
+        for cls, wanted in open_.items():
+            below = min(1 << 30, int(np.ceil((1 << 30) * wanted / totals[cls])))
+            some |= (F.col("cls") == cls) & (F.pmod(F.xxhash64("u", F.lit(17)), F.lit(1 << 30)) < below)
+        picked = points.filter(some).select("u", "space", "vec").collect()
+        true = true_links(points.filter(F.col("cls").isin(list(open_))), picked, threshold)
+        true = shared_checkpoint(true.join(points.select("u", "cls"), "u"))
+        counts = {r["cls"]: r["n"] for r in true.groupBy("cls").agg(F.count_distinct("u").alias("n")).collect()}
+        enough = {c for c, wanted in open_.items() if counts.get(c, 0) >= linked or wanted >= totals[c]}
+        spent = {c for c, wanted in open_.items() if c not in enough and 4 * wanted > most and totals[c] > most}
+        unproven |= spent
+        done = true.filter(F.col("cls").isin(list(enough)))
+        found = done if found is None else found.unionByName(done)
+        open_ = {c: min(4 * wanted, most) if totals[c] > most else 4 * wanted for c, wanted in open_.items() if c not in enough | spent}
+    return found, unproven
+
+
 def forest(linked: np.ndarray) -> np.ndarray:
     """For each row the row it was reached from, or -1: links enough to join whatever the matrix joins."""
     parent, todo = np.full(len(linked), -1), linked.any(axis=1)
@@ -192,7 +225,7 @@ def exact_links(points: DataFrame, members: DataFrame, threshold: float, part_ro
 
 def near_duplicates(
     rows: DataFrame, *, threshold: float = 0.93, k: int = 10, trees: int = 8, rounds: int = 2, target: float = 0.98, audits: int = 256, most_tries: int = 4,
-    leaf_rows: int = 64, seed: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
+    audit_linked: int = 64, audit_most: int = 8192, leaf_rows: int = 64, seed: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) per row of ``rows``.
 
@@ -202,6 +235,7 @@ def near_duplicates(
     small_batches(rows.sparkSession)
     points = usable(rows, id_col, vector_col, label_col).withColumn("space", F.xxhash64("label", F.size("vec")))
     points = sized(points, leaf_rows)
+    true, unproven = evidence(points, threshold, audits, audit_linked, audit_most)
     lists, ever_full = None, None
     for attempt in range(most_tries):
         size = k << attempt
@@ -219,10 +253,11 @@ def near_duplicates(
         ever_full = shared_checkpoint(full if ever_full is None else full.unionByName(ever_full).distinct())
         dense = shared_checkpoint(ever_full.join(named, "node").select("component").distinct())
         reached = shared_checkpoint(named.join(dense, "component", "left_semi").select(F.col("node").alias("u"), "component"))
-        if audited(points, links, reached, threshold, audits) >= target:
+        failing = unproven if true is None else unproven | missed(true, links, reached, target)
+        if failing <= unproven:
             break
-    else:  # the target is not met: everything is compared
-        reached = points.select("u")
+    # of classes that miss the target, or where it could not be shown to be met, all vectors are compared
+    reached = reached.select("u").unionByName(points.filter(F.col("cls").isin(list(failing))).select("u")).distinct() if failing else reached
     members = reached.select("u")
     exact = shared_checkpoint(exact_links(points, members, threshold))
     joins = links.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(exact.filter("v is not null").select(F.col("u").alias("a"), F.col("v").alias("b")))
@@ -241,8 +276,10 @@ def near_duplicates(
     return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
 
 
-def audited(points: DataFrame, links: DataFrame, reached: DataFrame, threshold: float, audits: int) -> float:
-    """Recall of the audit; the links of ``reached`` are compared exactly and count as found."""
-    sample = points.orderBy(F.xxhash64("u"), "u").limit(audits).select("u")
-    inside = sample.join(reached, "u").join(reached.withColumnRenamed("u", "v"), "component").filter("u <> v").select("u", "v")
-    return audit(points, links.join(sample, "u", "left_semi").unionByName(inside).distinct(), threshold, audits)
+def missed(true: DataFrame, links: DataFrame, reached: DataFrame, target: float) -> set[int]:
+    """The size classes whose recall is below the target. Links of ``reached`` are compared exactly and count as found."""
+    exact = reached.select("u")
+    true = true.join(exact.withColumn("in_", F.lit(True)), "u", "left").join(exact.select(F.col("u").alias("v"), F.lit(True).alias("also_")), "v", "left")
+    seen = true.filter("in_ is not null or also_ is not null").select("u", "v")
+    recall = shares(true.select("u", "v"), links.select("u", "v").unionByName(seen).distinct()).join(true.select("u", "cls").distinct(), "u").groupBy("cls").agg(F.avg("share").alias("r"))
+    return {r["cls"] for r in recall.filter(F.col("r") < target).collect()}
