@@ -81,3 +81,8 @@ def test_awkward(awkward, nothing):
 @pytest.mark.parametrize("line, masked", [("a  b", "a b"), (" a1b c", "<*> c"), ("x\ty", "x y"), ("plain line", "plain line"), ("12", "<*>"), ("\r", "")])
 def test_masking(spark, line, masked):
     assert spark.createDataFrame([(line,)], "l string").select(L.masked(F.col("l"))).first()[0] == masked
+
+
+def test_lines_of_numbers_are_not_equal(spark):
+    texts = ["12 34 56 78 90", "7 1 2019 3 44", "Berlin 12 34 56 78", "Berlin 1 2 3 4", "12  34 56 78 90"]
+    assert kept(spark, texts) == dict(enumerate(texts[:4] + [""]))

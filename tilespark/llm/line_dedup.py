@@ -1,7 +1,7 @@
 """Operator 3: drop recurring lines by a tree of log templates, by DataFrame functions alone.
 
 A line falls down a tree of fixed depth: by its number of tokens, then by its leading tokens. A token with a digit is a
-variable field, ``<*>``. Lines of a leaf that have the same tokens and fields share a template. What remains in a leaf is
+variable field, ``<*>``, unless more than half of the line's tokens have one. Lines of a leaf that have the same tokens and fields share a template. What remains in a leaf is
 generalised further: a token that no other document has at that place of the leaf is a variable field too, if no more than
 a fifth of the line is variable. A template that occurs in two or more documents recurs: its lines stay in the document
 with the smallest id and are dropped from all others.
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, let, shared_checkpoint
+from .common import SPACE, WORD, let, shared_checkpoint
 
 FIELD = "<*>"
 #: A token that holds a digit. Begins only where a token begins, so it never scans a token twice.
@@ -23,11 +23,22 @@ FILTER_WORDS = 1 << 18
 
 def masked(line: Column) -> Column:
     """The tokens of a line with single blanks between them, those with a digit replaced."""
-    fields = F.btrim(F.regexp_replace(line, VARIABLE, FIELD), F.lit(" \t\n\x0b\x0c\r"))
+    return single_blanks(line, F.regexp_replace(line, VARIABLE, FIELD))
+
+
+def single_blanks(line: Column, fields: Column) -> Column:
+    fields = F.btrim(fields, F.lit(" \t\n\x0b\x0c\r"))
     irregular = line.rlike(r"[0-9\x09\x0B-\x0D]") | line.contains("  ") | line.startswith(" ") | line.endswith(" ")
     return F.when(irregular, F.regexp_replace(fields, SPACE, " ")).otherwise(line)
 
 
+def comparable(line: Column) -> Column:
+    """The masked line, or the line itself with single blanks where more than half of its tokens have a digit: such lines
+    would be equal with little or nothing in common."""
+    few = F.regexp_count(line, F.lit(VARIABLE)) * 2 <= F.regexp_count(line, F.lit(WORD))
+    return F.when(~line.rlike("[0-9]") | few, masked(line)).otherwise(single_blanks(line, line))
+
+
 def place_in_tree(docs: DataFrame, depth: int, min_tokens: int, with_line: bool = False) -> DataFrame:
     """(doc_id, row_id, line_no, leaf, template) of the lines long enough to have a template, and on demand the masked line.
     row_id tells rows with equal ids but other texts apart. Each line is parsed once, within the array of its text."""
@@ -37,7 +48,7 @@ def place_in_tree(docs: DataFrame, depth: int, min_tokens: int, with_line: bool
         kept = [line.alias("line")] * with_line
         return F.struct(count.alias("n"), F.xxhash64(count, F.substring_index(line, " ", depth)).alias("leaf"), F.xxhash64(line).alias("template"), *kept)
 
-    parsed = F.transform(F.split("text", "\n", -1), lambda raw: let(masked(raw), parse))
+    parsed = F.transform(F.split("text", "\n", -1), lambda raw: let(comparable(raw), parse))
     rows = docs.select("doc_id", "row_id", F.posexplode(parsed).alias("line_no", "p")).filter(F.col("p.n") >= min_tokens)
     return rows.select("doc_id", "row_id", "line_no", "p.leaf", "p.template", *["p.line"] * with_line)
 
