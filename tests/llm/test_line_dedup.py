@@ -18,7 +18,20 @@ def kept(spark, texts, **kw):
 def test_exact_lines_stay_in_the_first_document(spark):
     line = "this very line recurs in many documents"
     got = kept(spark, [f"{line}\nown words of the first one", f"second has other words here\n{line}", f"{line}\n{line}", "short line\nshort line", "short line"])
-    assert got == {0: f"{line}\nown words of the first one", 1: "second has other words here", 2: "", 3: "short line\nshort line", 4: "short line"}
+    assert got == {0: f"{line}\nown words of the first one", 1: "second has other words here", 2: "", 3: "short line\nshort line", 4: ""}
+
+
+def test_short_lines_recur_too(spark):
+    notice = "All rights reserved."
+    got = kept(spark, [f"{notice}\nfirst text", f"second text\n{notice}\n\n", f"{notice}\nLes.", "Les.\n \n12", "12\n99"])
+    assert got == {0: f"{notice}\nfirst text", 1: "second text\n\n", 2: "Les.", 3: " \n12", 4: "99"}
+    assert kept(spark, ["Les. est", "Les. est"], min_tokens=3)[1] == "Les. est"
+
+
+def test_one_place_is_enough_whatever_else_recurs(spark):
+    line = "user said that it is fine and {} will pay for it {}".format
+    texts = [line(a, b) for a in ("Alice", "Robert") for b in ("soon", "later")]  # no token is rare here
+    assert kept(spark, texts) == {0: texts[0], 1: "", 2: "", 3: ""}
 
 
 def test_variable_fields(spark):
@@ -41,17 +54,12 @@ def test_tree_depth_and_share(spark):
 def test_variants_of_recurring_templates(spark):
     line = "user said that it is fine and {} will pay for it soon".format
     # a variant beside a line that recurs exactly, and variants that all occur in two documents
-    assert [t for t in kept(spark, [line("Alice"), line("Alice"), line("Robert")], all_templates=True).values() if t] == [line("Alice")]
+    assert [t for t in kept(spark, [line("Alice"), line("Alice"), line("Robert")]).values() if t] == [line("Alice")]
     texts = [line(n) for n in ("Alice", "Alice", "Robert", "Robert", "Carol", "Carol")]
-    assert [t for t in kept(spark, texts, all_templates=True).values() if t] == texts[:1]
+    assert [t for t in kept(spark, texts).values() if t] == texts[:1]
     # lines that differ in more than a fifth stay, and so does what no other document has
     other = "user said that it was bad but nobody did pay at all today"
-    assert kept(spark, [line("Alice"), line("Alice"), other], all_templates=True)[2] == other
-
-
-def test_a_recurring_template_takes_nothing_away(spark):
-    texts = [f"user said that it is fine and {a} will pay for it {b}" for a, b in [("Alice", "soon"), ("Alice", "soon"), ("Alice", "later"), ("Robert", "later")]]
-    assert kept(spark, texts)[3] == "" and kept(spark, texts, all_templates=True)[3] == ""
+    assert kept(spark, [line("Alice"), line("Alice"), other])[2] == other
 
 
 def test_pipeline_generalises_recurring_templates(spark):
@@ -78,6 +86,12 @@ def test_awkward(awkward, nothing):
     assert L.drop_recurring_lines(nothing).count() == 0
 
 
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(0, "a line", 7, 8, 9), (1, "a line\nb", 7, 8, 9)], "doc_id long, text string, row_ long, drops_ long, n_lines_ long")
+    got = L.drop_recurring_lines(docs, kept_col="out").orderBy("doc_id").collect()
+    assert [(r["out"], r["row_"], r["drops_"], r["n_lines_"], r["n_dropped_"]) for r in got] == [("a line", 7, 8, 1, 0), ("b", 7, 8, 2, 1)]
+
+
 @pytest.mark.parametrize("line, masked", [("a  b", "a b"), (" a1b c", "<*> c"), ("x\ty", "x y"), ("plain line", "plain line"), ("12", "<*>"), ("\r", "")])
 def test_masking(spark, line, masked):
     assert spark.createDataFrame([(line,)], "l string").select(L.masked(F.col("l"))).first()[0] == masked

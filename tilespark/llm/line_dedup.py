@@ -1,24 +1,29 @@
 """Operator 3: drop recurring lines by a tree of log templates, by DataFrame functions alone.
 
 A line falls down a tree of fixed depth: by its number of tokens, then by its leading tokens. A token with a digit is a
-variable field, ``<*>``, unless more than half of the line's tokens have one. Lines of a leaf that have the same tokens and fields share a template. What remains in a leaf is
-generalised further: a token that no other document has at that place of the leaf is a variable field too, if no more than
-a fifth of the line is variable. A template that occurs in two or more documents recurs: its lines stay in the document
-with the smallest id and are dropped from all others.
+variable field, ``<*>``, unless more than half of the line's tokens have one. Lines of a leaf that have the same tokens and
+fields share a template. The templates of a leaf are generalised further, in two ways: templates that differ at one place
+only have a variable field there, and a token that no other template of the leaf has at its place is a variable field too,
+if no more than a fifth of the line is variable. A template that occurs in two or more documents recurs, whatever its
+length: its lines stay in the document with the smallest id and are dropped from all others.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, let, shared_checkpoint
+from .common import SPACE, WORD, let, shared_checkpoint, unused
 
 FIELD = "<*>"
 #: A token that holds a digit. Begins only where a token begins, so it never scans a token twice.
 VARIABLE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 #: Words of the bitmap that tells which leaves may be open; its size is the same for any input.
 FILTER_WORDS = 1 << 18
+TEMPLATE = ("template", "check")
+TEMPLATE_OF_P = tuple(f"p.{c}" for c in TEMPLATE)
 
 
 def masked(line: Column) -> Column:
@@ -39,107 +44,100 @@ def comparable(line: Column) -> Column:
     return F.when(~line.rlike("[0-9]") | few, masked(line)).otherwise(single_blanks(line, line))
 
 
-def place_in_tree(docs: DataFrame, depth: int, min_tokens: int, with_line: bool = False) -> DataFrame:
-    """(doc_id, row_id, line_no, leaf, template) of the lines long enough to have a template, and on demand the masked line.
-    row_id tells rows with equal ids but other texts apart. Each line is parsed once, within the array of its text."""
+def place_in_tree(docs: DataFrame, depth: int, min_tokens: int, open_from: int, with_line: bool = False) -> DataFrame:
+    """(doc_id, row_id, line_no, leaf, template, check) of the lines, and on demand the masked line. leaf is null below
+    ``open_from`` tokens, where no field can be generalised. row_id tells rows with equal ids but other texts apart;
+    template and check are 96 bits of hashes. Each line is parsed once, within the array of its text."""
 
     def parse(line: Column) -> Column:
-        count = F.when(line == "", 0).otherwise(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
-        kept = [line.alias("line")] * with_line
-        return F.struct(count.alias("n"), F.xxhash64(count, F.substring_index(line, " ", depth)).alias("leaf"), F.xxhash64(line).alias("template"), *kept)
+        tokens = F.when(line == "", 0).otherwise(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
+        leaf = F.when(tokens >= open_from, F.xxhash64(tokens, F.substring_index(line, " ", depth)))
+        return F.struct(tokens.alias("n"), leaf.alias("leaf"), F.xxhash64(line).alias("template"), F.hash(line).alias("check"), *[line.alias("line")] * with_line)
 
     parsed = F.transform(F.split("text", "\n", -1), lambda raw: let(comparable(raw), parse))
-    rows = docs.select("doc_id", "row_id", F.posexplode(parsed).alias("line_no", "p")).filter(F.col("p.n") >= min_tokens)
-    return rows.select("doc_id", "row_id", "line_no", "p.leaf", "p.template", *["p.line"] * with_line)
-
+    least = max(min_tokens, open_from if with_line else 1)
+    rows = docs.select("doc_id", "row_id", F.posexplode(parsed).alias("line_no", "p")).filter(F.col("p.n") >= least)
+    return rows.select("doc_id", "row_id", "line_no", "p.leaf", *TEMPLATE_OF_P, *["p.line"] * with_line)
 
-def exact_drops(keys: DataFrame, templates: DataFrame) -> DataFrame:
-    """(row_id, line_no) of the lines whose template occurs in an earlier document."""
-    known = shared_checkpoint(templates.filter("first_doc < last_doc").select("template", "first_doc"))
-    return keys.join(known, "template").filter("doc_id > first_doc").select("row_id", "line_no")
 
-
-def lines_of_leaves(docs: DataFrame, wanted: DataFrame, depth: int, min_tokens: int) -> DataFrame:
+def lines_of_leaves(docs: DataFrame, wanted: DataFrame, depth: int, min_tokens: int, open_from: int) -> DataFrame:
     """The parsed lines that may lie in a leaf of ``wanted``, by a broadcast bitmap; a few others pass too."""
     word, bit = F.pmod(F.col("leaf"), F.lit(FILTER_WORDS)), F.expr("shiftleft(1L, cast(shiftrightunsigned(leaf, 20) & 63 as int))")
     bitmap = wanted.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))  # FILTER_WORDS rows at most
-    parsed = place_in_tree(docs, depth, min_tokens, with_line=True).withColumn("word", word).withColumn("bit", bit)
+    parsed = place_in_tree(docs, depth, min_tokens, open_from, with_line=True).withColumn("word", word).withColumn("bit", bit)
     return parsed.join(F.broadcast(bitmap), "word").filter(F.col("bits").bitwiseAND(F.col("bit")) != 0)
 
 
-def variant_cuts(docs: DataFrame, templates: DataFrame, *, depth: int, min_tokens: int, constant_share: float) -> DataFrame:
-    """(template, cut) of the templates that recur once the tokens that no other template of the leaf has are variable
-    fields; cut is the first document that has any of the variants.
+def one_place_cuts(places: DataFrame) -> DataFrame:
+    """(template, check, cut) of templates that equal another one of the leaf in all places but one. Each template stands once
+    under every place, with a hash of the rest, so no pair of templates is formed."""
+    groups = places.groupBy("rest").agg(F.min("first_doc").alias("cut"), F.count(F.lit(1)).alias("m")).filter("m > 1")
+    groups = shared_checkpoint(groups.select("rest", "cut"))
+    return places.join(groups, "rest").filter("last_doc > cut").select(*TEMPLATE, "cut")
 
-    Templates that recur exactly take part like all others, each as one row, so that more copies of a variant never part
-    it from the others.
-    """
-    leaves = templates.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.min("first_doc").alias("a"), F.max("last_doc").alias("b")).filter("n > 1 and a < b").select("leaf")
-    wanted = shared_checkpoint(templates.join(leaves, "leaf").select("leaf", "template", "first_doc", "last_doc"))
-    lines = lines_of_leaves(docs, wanted, depth, min_tokens).groupBy("template").agg(F.max("line").alias("line"))
-    lines = shared_checkpoint(lines.join(wanted, "template").select("template", "leaf", "first_doc", "last_doc", F.split("line", " ").alias("tokens")))
-    places = lines.select("template", "leaf", "first_doc", "last_doc", F.posexplode("tokens").alias("place", "token")).withColumn("token", F.xxhash64("leaf", "place", "token"))
-    constant = places.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("first_doc").alias("a"), F.max("last_doc").alias("b")).filter("n > 1 and a < b")
+
+def rare_token_cuts(places: DataFrame, constant_share: float) -> DataFrame:
+    """(template, check, cut) of templates that are equal once the tokens that no other template of the leaf has at their
+    place are variable fields."""
+    constant = places.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("first_doc").alias("a"), F.max("last_doc").alias("b")).filter("m > 1 and a < b")
     constant = shared_checkpoint(constant.select("token", F.lit(True).alias("fixed")))
-    marked = places.select("template", "leaf", "first_doc", "last_doc", "token").join(constant, "token", "left").groupBy("template", "leaf", "first_doc", "last_doc").agg(
-        F.count(F.lit(1)).alias("n"), F.count("fixed").alias("n_fixed"), F.sum(F.when(F.col("fixed"), F.col("token")).cast("decimal(20,0)")).alias("parts"))
+    marked = places.join(constant, "token", "left").groupBy(*TEMPLATE, "leaf", "first_doc", "last_doc").agg(
+        F.count(F.lit(1)).alias("n"), F.count("fixed").alias("n_fixed"), F.bit_xor(F.when(F.col("fixed"), F.col("token"))).alias("parts"))
     marked = marked.filter((F.col("n_fixed") < F.col("n")) & (F.col("n_fixed") >= constant_share * F.col("n")))
-    general = shared_checkpoint(marked.select("template", "last_doc", "first_doc", F.xxhash64("leaf", "parts").alias("general")))
+    general = shared_checkpoint(marked.select(*TEMPLATE, "first_doc", "last_doc", F.xxhash64("leaf", "n", "parts").alias("general")))
     cuts = shared_checkpoint(general.groupBy("general").agg(F.min("first_doc").alias("cut")))
-    return general.join(cuts, "general").filter("last_doc > cut").select("template", "cut")
+    return general.join(cuts, "general").filter("last_doc > cut").select(*TEMPLATE, "cut")
 
 
-def generalised_drops(docs: DataFrame, templates: DataFrame, *, depth: int, min_tokens: int, constant_share: float) -> DataFrame:
-    """(row_id, line_no) of lines that recur once the tokens that no other document has are variable fields.
+def variant_cuts(docs: DataFrame, templates: DataFrame, *, depth: int, min_tokens: int, open_from: int, constant_share: float) -> DataFrame:
+    """(template, check, cut) of the templates that recur once fields are generalised; cut is the first document that has
+    any of the variants.
 
-    Only lines are open whose template is of one document, in a leaf that holds such templates of several documents. A
-    bitmap of fixed size over the open leaves is broadcast, so that of all other lines few travel; a fuller bitmap lets
-    more lines pass, and the join that follows is exact.
+    Templates that recur exactly take part like all others, each as one row, so that more copies of a variant never part
+    it from the others. A bitmap of fixed size over the open leaves is broadcast, so that of all other lines few travel; a
+    fuller bitmap lets more lines pass, and the join that follows is exact.
     """
-    single = templates.filter("first_doc = last_doc")
-    leaves = single.groupBy("leaf").agg(F.min("first_doc").alias("a"), F.max("first_doc").alias("b")).filter("a < b").select("leaf")
-    wanted = shared_checkpoint(single.join(leaves, "leaf").select("leaf", "template"))
-    may_be_open = lines_of_leaves(docs, wanted, depth, min_tokens)
-    # an inner join: Spark would move a semi join below the broadcast, and all lines would travel
-    lines = may_be_open.join(wanted, ["leaf", "template"]).select("doc_id", "row_id", "line_no", "leaf", F.split("line", " ").alias("tokens"))
-    lines = shared_checkpoint(lines.withColumn("line_id", F.xxhash64("row_id", "line_no")))
-    places = lines.select("doc_id", "line_id", "leaf", F.posexplode("tokens").alias("place", "token")).select("doc_id", "line_id", F.xxhash64("leaf", "place", "token").alias("token"))
-    constant = shared_checkpoint(places.groupBy("token").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("token", F.lit(True).alias("fixed")))
-    marked = places.join(constant, "token", "left").groupBy("line_id").agg(
-        F.count(F.lit(1)).alias("n"), F.count("fixed").alias("n_fixed"), F.sum(F.when(F.col("fixed"), F.col("token")).cast("decimal(20,0)")).alias("parts"))
-    marked = marked.filter((F.col("n_fixed") < F.col("n")) & (F.col("n_fixed") >= constant_share * F.col("n"))).select("line_id", "parts")
-    general = shared_checkpoint(lines.drop("tokens").join(marked, "line_id").select("doc_id", "row_id", "line_no", F.xxhash64("leaf", "parts").alias("template")))
-    first = shared_checkpoint(general.groupBy("template").agg(F.min("doc_id").alias("first_doc")))
-    return general.join(first, "template").filter("doc_id > first_doc").select("row_id", "line_no")
-
-
-def drop_recurring_lines(docs: DataFrame, *, depth: int = 4, min_tokens: int = 5, constant_share: float = 0.8, id_col: str = "doc_id", text_col: str = "text", all_templates: bool = False) -> DataFrame:
-    """All rows and columns of ``docs``, with ``kept_text_``, ``n_lines_`` and ``n_dropped_`` added.
-
-    Lines end at line feeds and are compared by their tokens. Lines of fewer than ``min_tokens`` tokens never drop. A null
-    text stays null, with no lines; an empty text has one empty line. A text may lose all its lines and becomes empty then.
-    Rows with equal ids count as one document; a null id counts as larger than any other. With ``all_templates`` the
-    templates that recur exactly are generalised as well; without it, as in the SQL of the registered query, only those
-    of one document are.
+    leaves = templates.filter("leaf is not null").groupBy("leaf").agg(F.count(F.lit(1)).alias("m"), F.min("first_doc").alias("a"), F.max("last_doc").alias("b")).filter("m > 1 and a < b").select("leaf")
+    wanted = shared_checkpoint(templates.join(leaves, "leaf").select("leaf", *TEMPLATE, "first_doc", "last_doc"))
+    lines = lines_of_leaves(docs, wanted, depth, min_tokens, open_from).groupBy(*TEMPLATE).agg(F.max("line").alias("line"))
+    hashes = F.transform(F.split("line", " "), lambda token, place: F.xxhash64("leaf", place, token))
+    lines = lines.join(wanted, [*TEMPLATE]).select(*TEMPLATE, "leaf", "first_doc", "last_doc", hashes.alias("hashes"))
+    whole = F.aggregate("hashes", F.lit(0).cast("long"), lambda a, b: a.bitwiseXOR(b))
+    places = lines.withColumn("whole", whole).select(*TEMPLATE, "leaf", "first_doc", "last_doc", "whole", F.posexplode("hashes").alias("place", "token"))
+    places = shared_checkpoint(places.withColumn("rest", F.xxhash64("leaf", "place", F.col("whole").bitwiseXOR(F.col("token")))).drop("whole", "place"))
+    return one_place_cuts(places).unionByName(rare_token_cuts(places, constant_share)).groupBy(*TEMPLATE).agg(F.min("cut").alias("cut"))
+
+
+def drop_recurring_lines(
+    docs: DataFrame, *, depth: int = 4, min_tokens: int = 1, constant_share: float = 0.8, id_col: str = "doc_id", text_col: str = "text",
+    kept_col: str = "kept_text_", lines_col: str = "n_lines_", dropped_col: str = "n_dropped_",
+) -> DataFrame:
+    """All rows and columns of ``docs``, with ``kept_col``, ``lines_col`` and ``dropped_col`` added; input columns of these
+    names are replaced, all others stay whatever their names.
+
+    Lines end at line feeds and are compared by their tokens. A line without a token never drops; ``min_tokens`` may spare
+    short lines, and by default spares none. A null text stays null, with no lines; an empty text has one empty line. A
+    text may lose all its lines and becomes empty then. Rows with equal ids count as one document; a null id counts as
+    larger than any other. An empty table gives an empty table.
     """
     key = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
-    small = docs.select(key.alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("row_id", F.xxhash64("doc_id", "text"))
-    keys = shared_checkpoint(place_in_tree(small, depth, min_tokens))
-    templates = shared_checkpoint(keys.groupBy("leaf", "template").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")))
-    rule = {"depth": depth, "min_tokens": min_tokens, "constant_share": constant_share}
-    known = templates
-    if all_templates:
-        cuts = variant_cuts(small, templates, **rule).withColumnRenamed("template", "template_")
-        early = F.least("first_doc", "cut")  # of two values the one that is not null
-        known = templates.join(cuts, F.col("template") == F.col("template_"), "left").select("template", early.alias("first_doc"), "last_doc")
-    # both passes count: what is variable among templates of one document may be constant among all
-    found = exact_drops(keys.drop("leaf"), known).unionByName(generalised_drops(small, templates, **rule))
-    drops = found.groupBy(F.col("row_id").alias("row_id_")).agg(F.collect_set("line_no").alias("drops_"))
-    lines = F.split(F.col(text_col), "\n", -1)
-    kept = let(lines, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("drops_")), lambda i: F.get(x, i)), "\n"))
-    joined = docs.withColumn("row_id_", F.xxhash64(key, F.col(text_col).cast("string"))).join(drops, "row_id_", "left")
-    return joined.withColumns({
-        "kept_text_": F.when(F.col("drops_").isNull(), F.col(text_col)).otherwise(kept),
-        "n_lines_": F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long"),
-        "n_dropped_": F.coalesce(F.size("drops_"), F.lit(0)).cast("long"),
-    }).drop("row_id_", "drops_")
+    text = F.col(text_col).cast("string")
+    small = docs.select(key.alias("doc_id"), text.alias("text")).withColumn("row_id", F.xxhash64("doc_id", "text"))
+    open_from = next(n for n in count(2) if n - 1 >= constant_share * n)
+    keys = shared_checkpoint(place_in_tree(small, depth, min_tokens, open_from))
+    templates = shared_checkpoint(keys.groupBy("leaf", *TEMPLATE).agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")))
+    cuts = variant_cuts(small, templates, depth=depth, min_tokens=min_tokens, open_from=open_from, constant_share=constant_share)
+    early = F.least("first_doc", "cut")  # of two values the one that is not null
+    known = shared_checkpoint(templates.join(cuts, [*TEMPLATE], "left").select(*TEMPLATE, early.alias("early"), "last_doc").filter("last_doc > early"))
+    found = keys.drop("leaf").join(known, [*TEMPLATE]).filter("doc_id > early")
+    id_, row, drops = unused(docs, "id_", "row_", "drops_")
+    dropped = found.groupBy(F.col("doc_id").alias(id_), F.col("row_id").alias(row)).agg(F.collect_set("line_no").alias(drops))
+    lines = F.split(text, "\n", -1)
+    kept = let(lines, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(drops)), lambda i: F.get(x, i)), "\n"))
+    joined = docs.withColumns({id_: key, row: F.xxhash64(key, text)}).join(dropped, [id_, row], "left")
+    added = joined.withColumns({
+        kept_col: F.when(F.col(drops).isNull(), text).otherwise(kept),
+        lines_col: F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long"),
+        dropped_col: F.coalesce(F.size(drops), F.lit(0)).cast("long"),
+    })
+    return added.drop(id_, row, drops)

@@ -62,24 +62,28 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["op3_line_dedup"] = """
 WITH lines AS (
   SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents),
+words AS (SELECT doc_id, line_no, list_filter(regexp_split_to_array(line, '[\\x20\\x09-\\x0D]+'), lambda t: t <> '') AS words FROM lines),
 parsed AS (
-  SELECT doc_id, line_no, line, list_transform(list_filter(regexp_split_to_array(line, '[\\x20\\x09-\\x0D]+'), lambda t: t <> ''),
-    lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tokens FROM lines),
-kept AS (SELECT *, len(tokens) AS n, list_slice(tokens, 1, 4) AS lead FROM parsed WHERE len(tokens) >= 5),
-exact AS (SELECT tokens, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM kept GROUP BY tokens),
-exact_drop AS (SELECT k.doc_id, k.line_no FROM kept k JOIN exact e USING (tokens) WHERE k.doc_id > e.first_doc),
-single AS (SELECT k.* FROM kept k JOIN exact e USING (tokens) WHERE e.first_doc = e.last_doc),
-leaves AS (SELECT n, lead FROM single GROUP BY n, lead HAVING min(doc_id) < max(doc_id)),
-opened AS (SELECT s.doc_id, s.line_no, s.n, s.lead, unnest(range(1, s.n + 1)) AS place, unnest(s.tokens) AS token FROM single s JOIN leaves USING (n, lead)),
-fixed AS (SELECT n, lead, place, token FROM opened GROUP BY ALL HAVING min(doc_id) < max(doc_id)),
+  SELECT doc_id, line_no, CASE WHEN 2 * len(list_filter(words, lambda t: regexp_matches(t, '[0-9]'))) <= len(words)
+    THEN list_transform(words, lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) ELSE words END AS tokens FROM words WHERE len(words) > 0),
+exact AS (SELECT tokens, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM parsed GROUP BY tokens),
+numbered AS (SELECT row_number() OVER () AS id, tokens, len(tokens) AS n, list_slice(tokens, 1, 4) AS lead, first_doc, last_doc FROM exact),
+leaves AS (SELECT n, lead FROM numbered WHERE n - 1 >= 0.8 * n GROUP BY n, lead HAVING count(*) > 1 AND min(first_doc) < max(last_doc)),
+places AS (
+  SELECT t.id, t.n, t.lead, t.first_doc, t.last_doc, t.tokens, unnest(range(1, t.n + 1)) AS place, unnest(t.tokens) AS token FROM numbered t JOIN leaves USING (n, lead)),
+rests AS (SELECT id, first_doc, place, list_concat(list_slice(tokens, 1, place - 1), ['<*>'], list_slice(tokens, place + 1, n)) AS rest FROM places),
+one_place AS (
+  SELECT r.id, g.cut FROM rests r JOIN (SELECT place, rest, min(first_doc) AS cut FROM rests GROUP BY place, rest HAVING count(*) > 1) g ON r.place = g.place AND r.rest = g.rest),
+fixed AS (SELECT n, lead, place, token FROM places GROUP BY ALL HAVING count(*) > 1 AND min(first_doc) < max(last_doc)),
 marked AS (
-  SELECT o.doc_id, o.line_no, o.n, o.lead, count(f.place) AS n_fixed,
-    list(CASE WHEN f.place IS NULL THEN '<*>' ELSE o.token END ORDER BY o.place) AS template
-  FROM opened o LEFT JOIN fixed f ON o.n = f.n AND o.lead = f.lead AND o.place = f.place AND o.token = f.token
-  GROUP BY o.doc_id, o.line_no, o.n, o.lead),
-general AS (SELECT * FROM marked WHERE n_fixed < n AND n_fixed >= 0.8 * n),
-firsts AS (SELECT template, min(doc_id) AS first_doc FROM general GROUP BY template HAVING min(doc_id) < max(doc_id)),
-drops AS (SELECT * FROM exact_drop UNION SELECT g.doc_id, g.line_no FROM general g JOIN firsts f USING (template) WHERE g.doc_id > f.first_doc),
+  SELECT p.id, p.n, p.lead, p.first_doc, count(f.place) AS n_fixed, list(CASE WHEN f.place IS NOT NULL THEN p.token END ORDER BY p.place) AS template
+  FROM places p LEFT JOIN fixed f ON p.n = f.n AND p.lead = f.lead AND p.place = f.place AND p.token = f.token
+  GROUP BY p.id, p.n, p.lead, p.first_doc),
+general AS (SELECT id, template, first_doc FROM marked WHERE n_fixed < n AND n_fixed >= 0.8 * n),
+rare AS (SELECT id, min(first_doc) OVER (PARTITION BY template) AS cut FROM general),
+cuts AS (SELECT id, min(cut) AS cut FROM (SELECT * FROM one_place UNION ALL SELECT * FROM rare) GROUP BY id),
+known AS (SELECT tokens, least(first_doc, coalesce(cut, first_doc)) AS early FROM numbered LEFT JOIN cuts USING (id)),
+drops AS (SELECT p.doc_id, p.line_no FROM parsed p JOIN known k USING (tokens) WHERE p.doc_id > k.early),
 rest AS (
   SELECT l.doc_id, count(*) AS n_lines, count(d.line_no) AS n_dropped, coalesce(string_agg(l.line, chr(10) ORDER BY l.line_no) FILTER (WHERE d.line_no IS NULL), '') AS kept_text
   FROM lines l LEFT JOIN drops d ON l.doc_id = d.doc_id AND l.line_no = d.line_no GROUP BY l.doc_id)
