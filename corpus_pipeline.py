@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tilespark.llm import line_dedup, mixing, packing, simhash_dedup, toxicity
-from tilespark.llm.common import id_remainder, read
+from tilespark.llm.common import id_remainder, read, unused
 
 LEAST = -(1 << 63)
 
@@ -29,10 +29,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Recurring lines go, documents stay: one that loses all its lines has an empty text. n_chars follows the text."""
-    rows = line_dedup.drop_recurring_lines(docs, all_templates=True).withColumn("text", F.col("kept_text_"))
+    kept, lines, dropped = unused(docs, "kept_", "n_lines_", "n_dropped_")
+    rows = line_dedup.drop_recurring_lines(docs, kept_col=kept, lines_col=lines, dropped_col=dropped)
+    changed = {"text": F.col(kept)}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("n_dropped_") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return rows.select(docs.columns)
+        changed["n_chars"] = F.when(F.col(dropped) > 0, F.char_length(kept).cast("long")).otherwise(F.col("n_chars"))
+    return rows.withColumns(changed).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
