@@ -1,18 +1,28 @@
 """Operator 8: personal data by fixed patterns and a character-level bidirectional LSTM with a CRF, trained in numpy.
 
-The patterns find e-mail addresses, IPv4 addresses, card numbers and phone numbers; their spans always stay. The model
-learns from labelled spans of generated lines (such data beside dates, prices, hashes, versions and other numbers). Every
-text is scored wherever a digit or an at sign stands, since nothing else can be a span of these kinds: overlapping windows
-around such places are decoded, spans cut by a window's edge are left to its neighbour, and what the windows of a text say
-is reconciled over the whole text. A span of the model counts if it has the form of its kind and meets no other span.
+The patterns find e-mail addresses, IPv4 addresses, card numbers and phone numbers; their spans always stay. The model adds
+what the patterns have no form for: phones without a plus, cards of 13 to 15 digits, with other separators or beside other
+digits, addresses of hosts that are defanged or of version 6, mail addresses that are spelt out or have other letters. It
+learns from labelled spans of lines made of invented words, passages of texts and numbers that are no such data.
+
+Every text is scored wherever a digit, an at sign or a bracketed "at" stands, since nothing else can be a span of these
+kinds: overlapping windows around such places are decoded, spans cut by a window's edge are left to its neighbour, and what
+the windows of a text say is reconciled over the whole text. A span of the model counts if it passes the checks that a
+number or address of its kind must pass (a checksum, a range, an at and a dot) and meets no other span.
+
+Training takes minutes, so ``load`` reads weights that ``python -m tilespark.llm.pii TABLE`` has made from a table of texts
+and written beside this module; they are a few ten thousand numbers.
 """
 
 from __future__ import annotations
 
+import ipaddress
 import re
 import string
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -25,7 +35,9 @@ KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
 CHARS, OTHER, PAD = string.printable[:95], 95, 96
 
-DIGIT_OR_AT = re.compile("[0-9@]")
+#: Where a span can be.
+TRIGGER = re.compile(r"[0-9@]+|[\[({<]\x20?[aA][tT]\x20?[\])}>]")
+WEIGHTS = Path(__file__).with_name("pii_weights.npz")
 MAIL_LOCAL = frozenset(string.ascii_letters + string.digits + "._%+-")
 MAIL_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -79,55 +91,122 @@ def codes(text: str) -> np.ndarray:
 # ---------------------------------------------------------------- labelled spans
 
 
-def labelled_lines(n: int, width: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Generated lines of ``width`` characters and their tags."""
-    rng = np.random.default_rng(seed)
-    pick, digits = lambda xs: xs[rng.integers(len(xs))], lambda k: "".join(map(str, rng.integers(0, 10, k)))
-    word = lambda: "".join(rng.choice(list("aeionrstlhducmgb" + "é" * (rng.random() < 0.1)), rng.integers(2, 9)))
+class Draw:
+    """Generated pieces: a text and the spans (kind, start, end) in it."""
 
-    def card() -> str:
-        size = int(pick([15, 16, 16, 16, 19]))
-        body = digits(size - 1)
+    def __init__(self, seed):
+        self.rng = np.random.default_rng(seed)
+
+    def pick(self, xs):
+        return xs[self.rng.integers(len(xs))]
+
+    def digits(self, k: int) -> str:
+        return "".join(map(str, self.rng.integers(0, 10, k)))
+
+    def chars(self, alphabet: str, low: int, high: int) -> str:
+        return "".join(self.rng.choice(list(alphabet), self.rng.integers(low, high)))
+
+    def word(self) -> str:
+        word = self.chars("aeionrstlhducmgb" + "éñüèß" * (self.rng.random() < 0.2), 2, 9)
+        return word if self.rng.random() < 0.8 else self.pick([word.upper(), word.capitalize()])
+
+    def name(self) -> str:
+        return self.chars("aeionrstlhducmgb", 3, 10)
+
+    def card(self) -> str:
+        """A number with a right checksum."""
+        size = int(self.pick([13, 14, 15, 15, 16, 16, 16, 19]))
+        body = self.pick("3456") + self.digits(size - 2)
         number = next(body + c for c in "0123456789" if luhn(body + c))
-        cuts = pick([(4, 4, 4, 7), (4, 6, 9), ()]) if size != 16 else pick([(4, 4, 4, 4), ()])
-        if not cuts:
+        cuts = {15: (4, 6, 5), 14: (4, 6, 4), 13: (4, 3, 3, 3), 19: (4, 4, 4, 4, 3)}.get(size, (4, 4, 4, 4))
+        ends = np.cumsum(cuts)
+        sep = self.pick(["", " ", "-", ".", "  ", "\u00a0", "/"])
+        return sep.join(number[e - c : e] for c, e in zip(cuts, ends))
+
+    def phone(self) -> str:
+        d, sep = self.digits, self.pick([" ", "-", "."])
+        return self.pick([
+            lambda: f"+{d(1)} ({d(3)}) {d(3)}-{d(4)}", lambda: f"({d(3)}) {d(3)}-{d(4)}", lambda: f"{d(3)}{sep}{d(3)}{sep}{d(4)}", lambda: f"+{d(2)} {d(3)} {d(3)} {d(4)}", lambda: f"0{d(1)}{sep}{d(2)}{sep}{d(2)}{sep}{d(2)}{sep}{d(2)}",
+            lambda: f"({d(3)}){d(3)}-{d(4)}", lambda: f"1-{d(3)}-{d(3)}-{d(4)}", lambda: f"00{self.pick(['49', '33', '44', '1'])} {d(2)} {d(4)} {d(4)}", lambda: f"(0{d(2)}) {d(4)} {d(3)}", lambda: f"0{d(3)}/{d(3)} {d(3)}",
+        ])()
+
+    def email(self) -> str:
+        pick, name = self.pick, self.name
+        local = f"{name()}{pick(['', '.', '_'])}{pick(['', name(), self.digits(2)])}".rstrip("._")
+        host, top = f"{name()}{pick(['', self.digits(1)])}{pick(['', '-' + name()])}", pick(["com", "org", "net", "de", "fr", "es", "co.uk"])
+        if self.rng.random() < 0.35:
+            return f"{local}@{host}.{top}"
+        if self.rng.random() < 0.2:
+            accent = self.pick("éñüèß")
+            return f"{local}{accent}@{host}.{top}"
+        at, dot = pick([(" (at) ", " (dot) "), ("(at)", "(dot)"), (" [at] ", " [dot] "), ("[at]", "."), (" (at) ", "."), (" @ ", " . "), (" [AT] ", " [DOT] "), ("{at}", "{dot}"), (" @ ", ".")])
+        return local + at + host + dot + top.replace(".", dot)
+
+    def ip(self) -> str:
+        draw = self.rng.random()
+        if draw < 0.4:
+            return self.pick([".", ".", "[.]", "(.)", "[dot]", " . "]).join(str(x) for x in self.rng.integers(0, 256, 4))
+        groups = [self.chars("0123456789abcdef", 1, 5) for _ in range(8)]
+        return ":".join(groups) if draw < 0.7 else ":".join(groups[: self.rng.integers(1, 4)]) + "::" + ":".join(groups[5 : 5 + self.rng.integers(1, 3)])
+
+    def personal(self) -> tuple[str, list[tuple[int, int, int]]]:
+        k = int(self.rng.integers(len(KINDS)))
+        piece = getattr(self, KINDS[k])()
+        lead = self.digits(self.rng.integers(1, 3)) + " " if KINDS[k] == "card" and self.rng.random() < 0.15 else ""
+        return lead + piece, [(k, len(lead), len(lead) + len(piece))]
+
+    def other(self) -> str:
+        """Numbers and signs that are no personal data."""
+        rng, d, pick = self.rng, self.digits, self.pick
+
+        def wrong() -> str:
+            while luhn(digits_of(number := self.card())):
+                number = "".join(str(rng.integers(10)) if c.isdigit() else c for c in number)
+                if not luhn(digits_of(number)):
+                    return number
             return number
-        parts, at = [], 0
-        for c in cuts:
-            parts.append(number[at : at + c])
-            at += c
-        return pick([" ", "-"]).join(x for x in parts if x)
-
-    def phone() -> str:
-        sep = pick([" ", "-", "."])
+
         return pick([
-            f"+{digits(1)} ({digits(3)}) {digits(3)}-{digits(4)}", f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}{sep}{digits(3)}{sep}{digits(4)}",
-            f"+{digits(2)} {digits(3)} {digits(3)} {digits(4)}", f"0{digits(1)} {digits(2)} {digits(2)} {digits(2)} {digits(2)}", f"({digits(3)}){digits(3)}-{digits(4)}", f"1-{digits(3)}-{digits(3)}-{digits(4)}",
-        ])
-
-    mail = lambda: f"{word()}{pick(['', '.', '_'])}{digits(rng.integers(0, 3))}@{word()}{pick(['', digits(1)])}.{pick(['com', 'org', 'net', 'example.com', 'de'])}".replace("é", "e")
-    ip = lambda: ".".join(str(x) for x in rng.integers(0, 256, 4))
-    other = [
-        lambda: f"{rng.integers(1900, 2030)}-{rng.integers(1, 13):02d}-{rng.integers(1, 29):02d}", lambda: f"{rng.integers(1, 29)}/{rng.integers(1, 13)}/{rng.integers(1990, 2030)}", lambda: f"{rng.integers(0, 24)}:{rng.integers(0, 60):02d}",
-        lambda: f"${rng.integers(1, 999)}.{digits(2)}", lambda: f"{rng.integers(0, 9)}.{rng.integers(0, 30)}.{rng.integers(0, 9)}", lambda: "".join(rng.choice(list("0123456789abcdef"), rng.integers(12, 40))), lambda: f"#{digits(rng.integers(2, 9))}",
-        lambda: digits(rng.integers(1, 14)), lambda: "AKIA" + "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), 16)), lambda: f"{rng.integers(1, 99)}.", lambda: f"@{word()}", lambda: f"{digits(2)},{digits(3)}", lambda: f"password={digits(9)}{word()}",
-        lambda: f"978-{digits(1)}-{digits(5)}-{digits(3)}-{digits(1)}", lambda: f"{rng.integers(1990, 2030)}-{rng.integers(1990, 2030)}", lambda: f"{digits(3)} {digits(3)} {digits(3)}",
-    ]
-    make = {"email": mail, "ip": ip, "card": card, "phone": phone}
+            lambda: f"{rng.integers(1900, 2030)}-{rng.integers(1, 13):02d}-{rng.integers(1, 29):02d}", lambda: f"{rng.integers(1, 29)}{pick('/.')}{rng.integers(1, 13)}{pick('/.')}{rng.integers(1990, 2030)}", lambda: f"{rng.integers(0, 24)}:{rng.integers(0, 60):02d}{pick(['', ':' + d(2)])}",
+            lambda: f"${rng.integers(1, 999)}.{d(2)}", lambda: f"{rng.integers(0, 9)}.{rng.integers(0, 30)}.{rng.integers(0, 9)}", lambda: f"{rng.integers(0, 30)}.{rng.integers(0, 30)}", self.token, lambda: f"#{d(rng.integers(2, 9))}",
+            lambda: d(rng.integers(1, 14)), lambda: "AKIA" + self.chars("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16, 17), lambda: f"{rng.integers(1, 99)}.", lambda: f"@{self.word()}", lambda: f"{d(2)},{d(3)}", lambda: f"password={d(9)}{self.word()}",
+            lambda: f"978-{d(1)}-{d(5)}-{d(3)}-{d(1)}", lambda: f"{rng.integers(1990, 2030)}-{rng.integers(1990, 2030)}", lambda: f"{d(3)} {d(3)} {d(3)}", wrong, wrong, lambda: f'token = "{self.token()}"', lambda: f"({pick(['at', 'a', 'see', 'dot'])}) {self.word()}",
+            lambda: f"{self.word()} @ {d(2)}", lambda: f"({d(4)})", lambda: f"{d(1)}:{d(2)}", lambda: f"[{d(2)}]", lambda: f"{self.word()}::{self.word()}", lambda: f"{d(2)}-{d(2)}",
+        ])()
+
+    def token(self) -> str:
+        return self.chars("0123456789abcdef", 12, 41)
+
+
+def labelled_lines(n: int, width: int, seed: int, passages: list[str] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Lines of ``width`` characters and their tags: personal data among invented words, other numbers and, where given,
+    pieces of ``passages``, in which the spans of the patterns are labelled."""
+    draw = Draw(seed)
+    rng, order = draw.rng, {k: i for i, k in enumerate(KINDS)}
+
+    def passage() -> tuple[str, list[tuple[int, int, int]]]:
+        whole = draw.pick(passages)
+        at = int(rng.integers(max(1, len(whole) - 40)))
+        piece = whole[at : at + int(rng.integers(10, 60))].strip()
+        return piece, [(order[k], s, t) for k, s, t in base_spans(piece)]
+
     x, y = np.full((n, width), PAD, np.int32), np.zeros((n, width), np.int64)
     for row in range(n):
         text, spans, near = "", [], False
         size = width if rng.random() < 0.7 else int(rng.integers(width // 3, width))
         while len(text) < size:
-            draw = rng.random()
-            near = draw < (0.4 if near else 0.22)  # such data often stands together
+            chance = rng.random()
+            near = chance < (0.4 if near else 0.2)  # such data often stands together
             if near:
-                k = int(rng.integers(len(KINDS)))
-                piece = make[KINDS[k]]()
-                spans.append((k, len(text), len(text) + len(piece)))
+                piece, own = draw.personal()
+            elif chance < 0.42:
+                piece, own = draw.other(), []
+            elif passages and chance < 0.75:
+                piece, own = passage()
             else:
-                piece = pick(other)() if draw < 0.5 else word()
-            text += piece + pick([" ", " ", " ", ", ", ". ", "\n", ": ", "; "])
+                piece, own = draw.word(), []
+            spans += [(k, s + len(text), t + len(text)) for k, s, t in own]
+            text += piece + draw.pick([" ", " ", " ", ", ", ". ", "\n", ": ", "; ", "### ", "!! ", ") "])
         x[row, :size] = codes(text[:size])
         for k, s, t in spans:
             if t <= size:
@@ -254,40 +333,45 @@ class Tagger:
         return tags
 
 
-MODELS: dict[tuple, Tagger] = {}
-
-
-def train(*, lines: int = 1600, width: int = 72, dims: int = 10, hidden: int = 16, rounds: int = 12, batch: int = 32, rate: float = 0.03, seed: int = 8) -> Tagger:
-    """The tagger for these parameters; it does not depend on any input, so a process trains it once."""
-    key = (lines, width, dims, hidden, rounds, batch, rate, seed)
-    if key not in MODELS:
-        x, y = labelled_lines(lines, width, seed)
-        model, rng, step = Tagger.new(dims, hidden, seed), np.random.default_rng(seed), 0
-        first, second = ({k: np.zeros_like(v) for k, v in model.params.items()} for _ in range(2))
-        total = rounds * -(-lines // batch)
-        for _ in range(rounds):
-            order = rng.permutation(lines)
-            for at in range(0, lines, batch):
-                _, g = model.gradients(x[order[at : at + batch]], y[order[at : at + batch]])
-                step += 1
-                norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
-                now = rate * (1 - 0.9 * step / total) * min(1.0, 10 / max(norm, 1e-9))
-                for k, v in g.items():
-                    first[k] += 0.1 * (v - first[k])
-                    second[k] += 0.01 * (v * v - second[k])
-                    model.params[k] -= (now * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
-        MODELS[key] = model
-    return MODELS[key]
+def train(*, lines: int = 1600, width: int = 72, dims: int = 12, hidden: int = 16, rounds: int = 12, batch: int = 32, rate: float = 0.03, seed: int = 8, passages: list[str] | None = None) -> Tagger:
+    """A tagger for these parameters; every round has lines of its own."""
+    model, rng, step = Tagger.new(dims, hidden, seed), np.random.default_rng(seed), 0
+    first, second = ({k: np.zeros_like(v) for k, v in model.params.items()} for _ in range(2))
+    total = rounds * -(-lines // batch)
+    for turn in range(rounds):
+        x, y = labelled_lines(lines, width, (seed, turn), passages)
+        order = rng.permutation(lines)
+        for at in range(0, lines, batch):
+            _, g = model.gradients(x[order[at : at + batch]], y[order[at : at + batch]])
+            step += 1
+            norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
+            now = rate * (1 - 0.95 * step / total) * min(1.0, 10 / max(norm, 1e-9))
+            for k, v in g.items():
+                first[k] += 0.1 * (v - first[k])
+                second[k] += 0.01 * (v * v - second[k])
+                model.params[k] -= (now * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+    return model
+
+
+@lru_cache(maxsize=1)
+def load() -> Tagger:
+    """The tagger whose weights stand beside this module."""
+    with np.load(WEIGHTS) as kept:
+        return Tagger({k: kept[k] for k in kept.files})
 
 
 # ---------------------------------------------------------------- whole texts
 
 
-def windows(text: str, width: int = 128, overlap: int = 48, margin: int = 40) -> list[tuple[int, int]]:
-    """Windows (start, end) that cover every digit and at sign with ``margin`` characters around."""
+def windows(text: str, width: int = 128, overlap: int = 64, margin: int = 48) -> list[tuple[int, int]]:
+    """Windows (start, end) that cover every trigger with ``margin`` characters around."""
     runs: list[list[int]] = []
-    for found in re.finditer(r"[0-9@](?:[^0-9@]{0,%d}[0-9@])*" % (2 * margin), text):
-        runs.append([max(0, found.start() - margin), min(len(text), found.end() + margin)])
+    for found in TRIGGER.finditer(text):
+        start, end = max(0, found.start() - margin), min(len(text), found.end() + margin)
+        if runs and start <= runs[-1][1]:
+            runs[-1][1] = end
+        else:
+            runs.append([start, end])
     out = []
     for start, end in runs:
         while end - start > width:
@@ -297,18 +381,22 @@ def windows(text: str, width: int = 128, overlap: int = 48, margin: int = 40) ->
     return out
 
 
-def well_formed(kind: str, text: str, start: int, end: int) -> bool:
-    """Whether a span of the model has the form of its kind and stands free."""
-    span, digits = text[start:end], digits_of(text[start:end])
-    if start and (text[start - 1].isalnum() or text[start - 1] in "+-./=_#@$") or end < len(text) and (text[end].isalnum() or text[end] in "-_/@=" or text[end] in ".," and text[end + 1 : end + 2].isdigit()):
+def plausible(kind: str, text: str, start: int, end: int) -> bool:
+    """Whether a span of the model stands free and passes what any number or address of its kind must pass."""
+    span = text[start:end]
+    if start and text[start - 1].isalnum() or end < len(text) and text[end].isalnum():
         return False
     if kind == "email":
-        return re.fullmatch(r"[^\s@]+@[^\s@]+\.[^\s@.]{2,}", span) is not None
+        return re.search(r"[^\s@]\s?(?:@|[\[({<]\s?at\s?[\])}>])\s?[^\s@]+", span, re.I) is not None and re.search(r"\w\s?(?:\.|[\[({<]\s?dot\s?[\])}>])\s?\w", span, re.I) is not None
     if kind == "ip":
-        return re.fullmatch(r"[0-9]{1,3}(\.[0-9]{1,3}){3}", span) is not None
+        try:
+            return bool(ipaddress.ip_address(re.sub(r"\s|[\[({]|[\])}]", "", re.sub("dot", ".", span))))
+        except ValueError:
+            return False
+    digits = digits_of(span)
     if kind == "card":
-        return 13 <= len(digits) <= 19 and re.fullmatch(r"[0-9]+(?:[ -][0-9]{3,})*", span) is not None and luhn(digits)
-    return 9 <= len(digits) <= 15 and re.fullmatch(r"\+?(?:[0-9]+[ .-])?\(?[0-9]+\)?(?:[ .-]?[0-9]+)+", span) is not None and len(re.findall("[0-9]+", span)) >= 3 and (span[0] in "+(" or len(re.findall("[0-9]+", span)) >= 4 or re.fullmatch(r"[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}", span) is not None)
+        return 13 <= len(digits) <= 19 and luhn(digits) and not any(c.isalpha() for c in span)
+    return 7 <= len(digits) <= 15 and not any(c.isalpha() for c in span)
 
 
 def model_spans(texts: list[str], bases: list[list[tuple[str, int, int]]], model: Tagger, width: int = 128) -> list[list[tuple[str, int, int]]]:
@@ -340,7 +428,7 @@ def model_spans(texts: list[str], bases: list[list[tuple[str, int, int]]], model
     for text, base, votes in zip(texts, bases, found):
         taken, kept = sorted((s, t) for _, s, t in base), []
         for (s, t, k), _ in sorted(votes.items(), key=lambda v: (-v[1], v[0][0] - v[0][1], v[0])):
-            if all(t <= a or s >= b for a, b in taken) and well_formed(KINDS[k], text, s, t):
+            if all(t <= a or s >= b for a, b in taken) and plausible(KINDS[k], text, s, t):
                 taken.append((s, t))
                 kept.append((KINDS[k], s, t))
         out.append(kept)
@@ -358,7 +446,7 @@ def find(docs: DataFrame, model: Tagger, *, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             texts = [t or "" for t in rows["text"]]
-            marked = [i for i, t in enumerate(texts) if DIGIT_OR_AT.search(t)]
+            marked = [i for i, t in enumerate(texts) if TRIGGER.search(t)]
             bases = [base_spans(texts[i]) for i in marked]
             more = model_spans([texts[i] for i in marked], bases, model)
             spans: list[list[dict]] = [[] for _ in texts]
@@ -369,3 +457,20 @@ def find(docs: DataFrame, model: Tagger, *, id_col: str = "doc_id", text_col: st
 
     schema = "doc_id long, spans array<struct<kind:string,start:long,end:long,base:boolean>>"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, schema)
+
+
+def passages_of(path: str, most: int = 2000) -> list[str]:
+    """Texts to train on: of the rows of a table whose crc32(doc_id as text) mod 5 is not 0, ``most`` at most, first ids first."""
+    import zlib
+
+    import pyarrow.dataset as ds
+
+    rows = ds.dataset(path).to_table(columns=["doc_id", "text"]).sort_by("doc_id").to_pylist()
+    return [r["text"] for r in rows if r["text"] and zlib.crc32(str(r["doc_id"]).encode()) % 5][:most]
+
+
+if __name__ == "__main__":
+    import sys
+
+    tagger = train(lines=6000, width=96, dims=16, hidden=32, rounds=14, batch=32, rate=0.02, passages=passages_of(sys.argv[1]))
+    np.savez_compressed(WEIGHTS, **tagger.params)

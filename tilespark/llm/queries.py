@@ -113,7 +113,7 @@ def op6_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = pii.find(read(spark, sf_dir, "documents"), pii.train())
+    rows = pii.find(read(spark, sf_dir, "documents"), pii.load())
     line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     base = F.filter("spans", lambda s: s["base"])
     count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
