@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 
@@ -65,6 +66,30 @@ def test_links_against_brute_force(spark, part_rows):
     assert len(true) > 2000
 
 
+def test_any_four_bits_leave_a_key_equal():
+    keys, rng = S.Keys(4), random.Random(2)
+    assert len(keys.masks) == 35 and sum(keys.block_masks) == (1 << 64) - 1 and min(m.bit_count() for m in keys.masks) >= 27
+    first = keys.first()
+    for _ in range(3000):
+        differ = sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4)))
+        same = sum(1 << i for i, m in enumerate(keys.block_masks) if not differ & m)
+        assert [k for k, m in enumerate(keys.masks) if not differ & m][0] == first[same]
+
+
+def test_batches_may_end_anywhere():
+    """Shards of two rows, of many, and tiles of a cut one, in batches of every size."""
+    rng, keys = np.random.default_rng(8), S.Keys(4)
+    center = rng.integers(0, 1 << 44, 40, dtype=np.int64)
+    fp = np.unique(np.r_[center, center ^ 1 << 60, center[0] ^ np.arange(200) << 46])
+    rows = pd.DataFrame({"choice": 0, "fp": fp, "doc": np.arange(len(fp)), "tile": 0, "shard": fp & keys.masks[0]})
+    rows = rows.sort_values(["shard", "fp"], ignore_index=True).drop(columns="shard")
+    whole = {tuple(r) for f in S._shards(keys)(iter([rows])) for r in f.to_numpy().tolist()}
+    assert whole
+    for size in (1, 7, 64):
+        got = {tuple(r) for f in S._shards(keys)(rows.iloc[at : at + size] for at in range(0, len(rows), size)) for r in f.to_numpy().tolist()}
+        assert components(range(len(fp)), got) == components(range(len(fp)), whole)
+
+
 def test_tree_walk_equals_brute_force():
     rng = np.random.default_rng(3)
     x = rng.integers(0, 1 << 63, 700, dtype=np.uint64)

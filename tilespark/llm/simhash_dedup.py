@@ -1,17 +1,23 @@
 """Operator 10: near duplicates by SimHash fingerprints and vantage-point trees.
 
-Fingerprints that differ in at most ``bits`` bits agree on at least one of ``bits + 1`` blocks. There is one sharding tree
-for each block, whose metric is the Hamming distance within the block: in at least one tree the two lie at distance 0, so
-the triangle bound lets both fall into the same shard, and no shard needs to look into another. Within a shard a
-vantage-point tree over the whole fingerprint finds the pairs: points are parted by their distance from a vantage point at
-the median radius, a branch is pruned where the triangle bound excludes it, and what lies within ``bits`` of the boundary
-is searched on both sides. Shards that grow large are cut into parts, and every pair of parts is searched, so no task gets a
-large group and no pair is missed. Only links that join two classes of a shard leave it.
+Sharding is by blocks of bits (banding), not by vantage points: fingerprints are nearly uniform, so trees that shard them by
+distance must copy most points into both branches (the README has the figures). A fingerprint is cut into ``bits`` + 3
+blocks; two that differ in at most ``bits`` bits agree on three of them at least. There is one set of shards for every
+choice of three blocks, a shard being the fingerprints that agree on all three (27 bits or more for four differing bits),
+so the copies of a fingerprint, 35, do not grow with the input, nor do shards need to look into one another.
+
+Within a shard a vantage-point tree over the whole fingerprint finds the pairs: points are parted by their distance from a
+vantage point at the median radius, a branch is pruned where the triangle bound excludes it, and what lies within ``bits``
+of the boundary is searched on both sides. Shards of a few rows are compared directly, many at once. Shards that grow large
+are cut into parts, and every pair of parts is searched, so no task gets a large group and no pair is missed. Only links
+that join two classes of a shard leave it, and only from the first shard that holds both ends.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import chain, combinations
 
 import numpy as np
 import pandas as pd
@@ -24,6 +30,8 @@ from .graph import connected_components
 SEED = 42
 SHINGLE = 4
 LEAF = 96
+#: Shards of up to so many rows are compared directly.
+FEW = 32
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -121,31 +129,78 @@ def search(x: np.ndarray, a: np.ndarray, b: np.ndarray | None, bits: int, classe
             work += [(a[inner_a & (da > radius - bits)], b[outer_b & (db <= radius + bits)]), (a[outer_a & (da <= radius + bits)], b[inner_b & (db > radius - bits)])]
 
 
-def _shards(bits: int):
-    """Rows sorted by (shard, part_a, part_b) to the links of each; batches may end within a shard."""
-
-    def links(rows: pd.DataFrame) -> list[tuple[int, int]]:
-        x, doc, side = rows["fp"].to_numpy().astype(np.int64).view(np.uint64), rows["doc"].to_numpy(), rows["side"].to_numpy()
-        if len(x) < 2:
-            return []
-        classes = Classes(len(x))
-        if (side == 0).all():
-            search(x, np.arange(len(x)), None, bits, classes)
-        else:
-            search(x, np.flatnonzero(side == 0), np.flatnonzero(side == 1), bits, classes)
-        return [(int(doc[i]), int(doc[j])) for i, j in classes.links]
+@dataclass(frozen=True)
+class Keys:
+    """The choices of ``agree`` out of ``bits + agree`` blocks."""
+
+    bits: int
+    agree: int = 3
+
+    @property
+    def choices(self) -> list[tuple[int, ...]]:
+        return list(combinations(range(self.bits + self.agree), self.agree))
+
+    @property
+    def block_masks(self) -> list[int]:
+        n = self.bits + self.agree
+        edges = [64 * i // n for i in range(n + 1)]
+        return [(1 << hi) - (1 << lo) for lo, hi in zip(edges[:-1], edges[1:])]
+
+    @property
+    def masks(self) -> list[int]:
+        return [sum(self.block_masks[b] for b in choice) for choice in self.choices]
+
+    def first(self) -> np.ndarray:
+        """For each set of blocks, as bits, the first choice within it; -1 where there is none."""
+        sets = [sum(1 << b for b in choice) for choice in self.choices]
+        return np.array([next((i for i, s in enumerate(sets) if s & x == s), -1) for x in range(1 << (self.bits + self.agree))])
+
+
+def _shards(keys: Keys):
+    """Rows sorted by (choice, shard, tile) to the links of each; batches may end within a shard."""
+    masks, blocks, first, bits = np.array(keys.masks, np.uint64), [np.uint64(m) for m in keys.block_masks], keys.first(), keys.bits
+
+    def own(choice: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether no earlier choice brings i and j together as well."""
+        differ = x[i] ^ x[j]
+        same = sum(((differ & m) == 0).astype(np.int64) << k for k, m in enumerate(blocks))
+        return first[same] == choice[i]
+
+    def links(choice: np.ndarray, x: np.ndarray, tile: np.ndarray, doc: np.ndarray, starts: np.ndarray) -> pd.DataFrame:
+        ends = np.r_[starts[1:], len(x)]
+        found = [np.zeros((0, 2), np.int64)]
+        small = ends - starts <= FEW
+        at = np.flatnonzero(np.repeat(small, ends - starts))
+        end = np.repeat(ends, ends - starts)
+        step = 1
+        while len(at := at[at + step < end[at]]):
+            near = at[np.bitwise_count(x[at] ^ x[at + step]) <= bits]
+            found.append(np.stack((near, near + step), 1))
+            step += 1
+        for s, t in zip(starts[~small].tolist(), ends[~small].tolist()):
+            classes, side = Classes(t - s), tile[s:t] & 1
+            if side.any():
+                search(x[s:t], np.flatnonzero(side == 0), np.flatnonzero(side == 1), bits, classes)
+            else:
+                search(x[s:t], np.arange(t - s), None, bits, classes)
+            found.append(np.array(classes.links, np.int64).reshape(-1, 2) + s)
+        i, j = np.concatenate(found).T
+        kept = own(choice, x, i, j)
+        return pd.DataFrame({"a": doc[i[kept]], "b": doc[j[kept]]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
-        for rows in batches:
-            rows = rows if rest is None else pd.concat((rest, rows), ignore_index=True)
-            key = rows[["shard", "tile"]].to_numpy()
-            cuts = np.r_[0, np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1]
-            out = [x for s, t in zip(cuts[:-1], cuts[1:]) if t - s > 1 for x in links(rows.iloc[s:t])]
-            rest = rows.iloc[cuts[-1] :]
-            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-        if rest is not None:
-            yield pd.DataFrame(links(rest), columns=["a", "b"], dtype="int64")
+        for last, rows in chain(((False, rows) for rows in batches), [(True, None)]):
+            rows = rest if rows is None else rows if rest is None else pd.concat((rest, rows), ignore_index=True)
+            if rows is None or not len(rows):
+                continue
+            choice, x, tile = rows["choice"].to_numpy(), rows["fp"].to_numpy().astype(np.int64).view(np.uint64), rows["tile"].to_numpy()
+            shard, pair = x & masks[choice], tile >> 1
+            starts = np.flatnonzero(np.r_[True, (choice[1:] != choice[:-1]) | (shard[1:] != shard[:-1]) | (pair[1:] != pair[:-1])])
+            stop = len(rows) if last else starts[-1]
+            if stop:
+                yield links(choice[:stop], x[:stop], tile[:stop], rows["doc"].to_numpy()[:stop], starts[starts < stop])
+            rest = rows.iloc[stop:]
 
     return run
 
@@ -163,19 +218,21 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 def near_links(points: DataFrame, *, bits: int = 4, part_rows: int = 1000) -> DataFrame:
     """Links (a, b) that join the classes of ``points`` (fp distinct, doc)."""
-    width = -(-64 // (bits + 1))
-    blocks = [(k, k * width, min(64, (k + 1) * width)) for k in range(bits + 1)]
-    value = [F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for _, lo, hi in blocks]
-    shards = points.select("fp", "doc", F.posexplode(F.array(*value)).alias("tree", "value")).select("fp", "doc", (F.col("tree").cast("long") * (1 << 32) + F.col("value")).alias("shard"))
-    large = shards.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > part_rows).select(F.col("shard").alias("shard_"), F.ceil(F.col("n") / part_rows).cast("int").alias("parts"))
+    keys = Keys(bits)
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    shard = F.array(*(F.col("fp").bitwiseAND(F.lit(signed(m))) for m in keys.masks))
+    shards = points.select("fp", "doc", F.posexplode(shard).alias("choice", "shard"))
+    large = shards.groupBy("choice", "shard").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > part_rows).select("choice", "shard", F.ceil(F.col("n") / part_rows).cast("int").alias("parts"))
     large = shared_checkpoint(large)
-    dealt = shards.join(large, F.col("shard") == F.col("shard_"), "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = shards.join(large, ["choice", "shard"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    # part p meets part q in the tile (min, max): as side 0 if it is the smaller one
-    tiles = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(
-        (F.least(F.col("part"), q).cast("long") * F.col("parts") + F.greatest(F.col("part"), q)).alias("tile"), (F.col("part") > q).cast("int").alias("side")))
-    rows = dealt.withColumn("part", part).withColumn("t", F.explode(tiles)).select("shard", "t.tile", "t.side", "fp", "doc")
-    return rows.repartition("shard", "tile").sortWithinPartitions("shard", "tile", "fp").mapInPandas(_shards(bits), "a long, b long")
+    # part p meets part q in the tile (min, max), whose last bit is the side: 0 for the smaller one
+    tiles = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: (
+        (F.least(F.col("part"), q).cast("long") * F.col("parts") + F.greatest(F.col("part"), q)) * 2 + (F.col("part") > q).cast("long")))
+    rows = dealt.withColumn("part", part).select("choice", "shard", "fp", "doc", F.explode(tiles).alias("tile"))
+    pair = F.shiftright("tile", 1)
+    rows = rows.repartition("choice", "shard", pair).sortWithinPartitions("choice", "shard", pair, "fp").drop("shard")
+    return rows.mapInPandas(_shards(keys), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, bits: int = 4, part_rows: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
