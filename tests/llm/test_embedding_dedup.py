@@ -49,10 +49,40 @@ def test_against_brute_force(spark, rows):
     assert got == brute(rows)
 
 
+def points_of(spark, rows, leaf_rows=64):
+    return E.sized(E.usable(spark.createDataFrame(rows, ROW), "vec_id", "embedding", "label")[0], leaf_rows)
+
+
 def test_audit_measures_recall(spark, rows):
-    points = E.usable(spark.createDataFrame(rows, ROW), "vec_id", "embedding", "label").selectExpr("*", "xxhash64(label, size(vec)) AS space")
-    none = spark.createDataFrame([], "u long, v long")
-    assert E.audit(points, none, 0.93, 1000) == 0.0 and E.audit(points, none, 1.1, 1000) == 1.0
+    points = points_of(spark, rows)
+    picked = E.sample(points, 10_000)
+    assert len(picked) == points.count()
+    true = E.true_links(points, picked, 0.93).join(points.select("u", "cls"), "u")
+    nothing, none = spark.createDataFrame([], "u long, v long"), spark.createDataFrame([], "u long")
+    assert E.missed(true, nothing, none, 0.95) and not E.missed(true, true, none, 0.95) and not E.missed(true, nothing, points, 0.95)
+
+
+def test_planted_partners_are_evidence_without_any_link(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=16).tolist(), 0, "clash", 1) for i in range(600)]
+    points = points_of(spark, rows, 8)
+    picked = E.sample(points, 256)
+    assert 150 < len(picked) < 400
+    assert not E.missed_planted(picked, 1, 0.93, 0.99, 0.95, 5) and E.missed_planted(picked, 1, 0.93, 0.3, 0.95, 5)
+
+
+@pytest.mark.parametrize("bits", [0, 3, 10])
+def test_trees_bring_pairs_together(bits):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(2000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    away = rng.normal(size=x.shape)
+    away -= (away * x).sum(1, keepdims=True) * x
+    y = 0.93 * x + np.sqrt(1 - 0.93**2) * away / np.linalg.norm(away, axis=1, keepdims=True)
+    depth, met = np.full(len(x), bits), np.zeros(len(x), bool)
+    for t in range(E.trees_for(bits, 0.93, 0.99)):
+        met |= E.leaf_codes(x, depth, t, 5) == E.leaf_codes(y, depth, t, 5)
+    assert met.mean() > 0.975
 
 
 def test_empty(spark, rows):
@@ -66,29 +96,42 @@ def test_links_across_dense_groups(spark):
     centers = np.zeros((2, 64))
     centers[:, 0], centers[0, 1], centers[1, 1] = 1, 0.17, -0.17
     rows = [(2 * i + c, [float(x) for x in centers[c] + rng.normal(size=64) * 0.004], 0, "clash", 1) for c in (0, 1) for i in range(n)]
-    got = sorted(map(tuple, E.near_duplicates(spark.createDataFrame(rows, ROW), k=5, trees=1, audits=1).collect()))
-    assert got == brute(sorted(rows)) and sum(r[3] for r in got) == 1
+    for part_rows in (16, 512):
+        got = sorted(map(tuple, E.near_duplicates(spark.createDataFrame(rows, ROW), k=5, part_rows=part_rows).collect()))
+        assert got == brute(sorted(rows)) and sum(r[3] for r in got) == 1
 
 
 def test_exact_where_the_target_is_not_met(spark, rows):
     """With a target that no audit can meet every link is found, however poor the lists are."""
-    got = E.near_duplicates(spark.createDataFrame(rows, ROW), k=1, trees=1, rounds=0, most_tries=1, leaf_rows=1, target=1.1)
+    got = E.near_duplicates(spark.createDataFrame(rows, ROW), k=1, rounds=0, most_tries=1, leaf_rows=1, together=0.01, target=1.1)
     assert sorted(map(tuple, got.collect())) == brute(rows)
 
 
+def test_further_trees_where_the_audit_fails(spark, rows):
+    """Too few trees at first: the planted partners show it, and later attempts add others."""
+    got = sorted(map(tuple, E.near_duplicates(spark.createDataFrame(rows, ROW), leaf_rows=4, together=0.6).collect()))
+    want = brute(rows)
+    assert sum(r[1] for r in got) >= 0.95 * sum(r[1] for r in want)
+
+
 def test_depth_follows_each_label(spark):
-    points = spark.createDataFrame([(i, 1, [1.0]) for i in range(4000)] + [(9000 + i, 2, [1.0]) for i in range(100)], "u long, space long, vec array<float>")
-    assert {r["space"]: r["bits"] for r in E.sized(points, 64).collect()} == {1: 6, 2: 1}
+    points = E.sized(spark.createDataFrame([(i, "1", [float(i + 1)]) for i in range(4000)] + [(9000 + i, "2", [1.0]) for i in range(100)] + [(1, "2", [1.0, 2.0])], "u long, label string, vec array<float>"), 64)
+    assert {(r["label"], len(r["vec"])): r["bits"] for r in points.collect()} == {("1", 1): 6, ("2", 1): 1, ("2", 2): 0}
+    assert points.select("space").distinct().count() == 3
 
 
-def test_evidence_in_every_size_class(spark):
-    """Rare links in a class of small labels, beside a large label without any."""
-    rng = np.random.default_rng(4)
-    rows = [(i, rng.normal(size=16).tolist(), 0, "clash", 1) for i in range(600)] + [(600 + i, rng.normal(size=16).tolist(), 1, "clash", 1) for i in range(20)]
-    rows[-1] = (619, rows[-2][1][:15] + [rows[-2][1][15] + 0.01], 1, "clash", 1)
-    points = E.sized(E.usable(spark.createDataFrame(rows, ROW), "vec_id", "embedding", "label").selectExpr("*", "xxhash64(label, size(vec)) AS space"), 64)
-    large, small = (points.filter(f"label = {x}").first()["cls"] for x in (0, 1))
-    true, unproven = E.evidence(points, 0.93, 4, 2, 100)
-    assert sorted(map(tuple, true.collect())) == [(618, 619, small), (619, 618, small)] and unproven == {large}
-    nothing, none = spark.createDataFrame([], "u long, v long"), spark.createDataFrame([], "u long")
-    assert E.missed(true, nothing, none, 0.98) == {small} and E.missed(true, true, none, 0.98) == set()
+def test_odd_ids(spark):
+    """Null ids, an id with two vectors, and a vector with null ids only."""
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    rows = [(None, a, 0, "", 1), (5, a, 0, "", 1), (5, b, 0, "", 1), (3, b, 0, "", 1), (None, c, 0, "", 1), (None, c, 0, "", 1)]
+    got = E.near_duplicates(spark.createDataFrame(rows, ROW)).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(None, 1, 5, False), (5, 1, 5, True), (5, 1, 3, False), (3, 1, 3, True), (None, 1, None, True), (None, 1, None, True)]))
+
+
+def test_doubles_stay_doubles(spark):
+    def partner(cos):
+        return [cos, (1 - cos * cos) ** 0.5, 0.0]
+
+    rows = [(1, [1.0, 0.0, 0.0], 0), (2, partner(0.93 + 1e-9), 0), (3, [0.0, 0.0, 1.0], 1), (4, [(1 - (0.93 - 1e-9) ** 2) ** 0.5, 0.0, 0.93 - 1e-9], 1), (5, [1e200, 0.0], 2), (6, [2e200, 0.0], 2)]
+    got = {r["vec_id"]: r["n_links"] for r in E.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: 1, 2: 1, 3: 0, 4: 0, 5: 1, 6: 1}
