@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 
 from tilespark.api import bake, extract_features, read_index, read_layer, read_osm_pbf, scan_bounds
 from tilespark.operators.tiling import selected_tiles
-from tilespark.plans.bake import bake_layers, nested_tiles
+from tilespark.operators.resolve import needed_nodes
+from tilespark.plans.bake import bake_layers, nested_tiles, resolve_shapes
 from tilespark.functions.lod import lod_table
 from tilespark.streaming.viewport import drawn, lod_or_last
 from tilespark.schema import OSM_NODE, OSM_RELATION, OSM_WAY
 from tilespark.sources.osm import encode_pbf
+from tilespark.sources.store import put_file
+from tilespark.sources.tiles import index_path, index_rows
 
 
 def town():
@@ -64,6 +67,31 @@ def test_bake_and_rebake(spark, elements, tmp_path):
     assert document["tile_grid"]["tile_size_m"] == 500 and read_index(spark, root, "town").first()["region"] == "town"
 
 
+def test_bake_on_a_uri_keeps_old_origins(spark, elements, tmp_path):
+    root = f"file:{tmp_path}/maps"
+    bake(elements, root, "town", tile_size=500)
+    rows = [r.asDict(recursive=True) for r in index_rows(spark, root, "town").collect()]
+    moved = [{**r, "origin_x_m": 7.0} if r["id"] == 1 else r for r in rows]
+    document = json.load(open(tmp_path / "maps/map/town/index.json"))
+    put_file(spark, index_path(root, "town"), json.dumps({**document, "tiles": moved}).encode())
+    again = {t["id"]: t for t in bake(elements, root, "town", tile_size=500, tile_ids=[0]).first()["tiles"]}
+    assert again[1]["origin_x_m"] == 7.0 and again[0]["origin_x_m"] == rows[0]["origin_x_m"] and len(again) == len(rows)
+    assert not [n for n in os.listdir(tmp_path / "maps/map/town") if n.startswith("_draft") or n.endswith(".tmp")]
+    put_file(spark, index_path(root, "town"), b'{"tiles": [{"id": "no number"')
+    with pytest.raises(Exception):
+        bake(elements, root, "town", tile_size=500)
+
+
+def test_nodes_are_joined_once(spark, elements):
+    """Areas, buildings and roads come from one join with the nodes, and only needed nodes are exchanged."""
+    shapes = resolve_shapes(elements["node"], elements["way"], elements["relation"])
+    assert {r["layer"] for r in shapes.collect()} == {"area", "building", "road"}
+    refs = spark.createDataFrame([(1,), (3,), (10**12,)], "node_id long")
+    nodes = spark.range(5000).select(F.col("id"))
+    kept = {r["id"] for r in needed_nodes(nodes, refs).collect()}
+    assert {1, 3} <= kept and len(kept) < 10
+
+
 def test_selection(spark, elements):
     scan = scan_bounds(elements["node"], 500)
     ids = lambda **kw: sorted(r["tile_id"] for r in selected_tiles(scan.grid, spark, **kw).collect())
@@ -96,3 +124,13 @@ def test_pbf_round_trip(spark, tmp_path):
     assert sorted((r["id"], round(r["lat"], 7), round(r["lon"], 7), [tuple(t) for t in r["tags"]]) for r in found["node"].collect()) == sorted((i, round(a, 7), round(b, 7), t) for i, a, b, t in nodes)
     assert sorted((r["id"], r["refs"], [tuple(t) for t in r["tags"]]) for r in found["way"].collect()) == sorted(ways)
     assert [(r["id"], [tuple(m) for m in r["members"]], [tuple(t) for t in r["tags"]]) for r in found["relation"].collect()] == relations
+
+
+def test_pbf_of_many_blocks(spark, tmp_path):
+    nodes = [(i * 3 - 5000, 20 + i / 1000, -90 + i / 1000, [("ref", str(i)), ("name", "ä" * (i % 4))] if i % 7 == 0 else []) for i in range(5000)]
+    ways = [(10**10 + i, [i * 7, i, -i, 2 * i][: i % 5], [("highway", "service")] * (i % 2)) for i in range(900)]
+    path = tmp_path / "many.osm.pbf"
+    path.write_bytes(encode_pbf(nodes, ways, [], block=640))
+    found = {k: v for k, v in read_osm_pbf(spark, str(path)).items()}
+    assert sorted((r["id"], round(r["lat"], 7), round(r["lon"], 7), [tuple(t) for t in r["tags"]]) for r in found["node"].collect()) == sorted((i, round(a, 7), round(b, 7), t) for i, a, b, t in nodes)
+    assert sorted((r["id"], r["refs"], [tuple(t) for t in r["tags"]]) for r in found["way"].collect()) == sorted(ways) and found["relation"].count() == 0

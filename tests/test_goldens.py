@@ -4,12 +4,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from tilespark.functions import classify as C
-from tilespark.functions.geometry import segments_meet, simplify_preserve, snap_ring, stitch_rings, union_rings, valid_ring
+from tilespark.functions.geometry import register, segments_meet, simplify_preserve, snap_ring, stitch_rings, union_rings, valid_ring
 from tilespark.functions.grid import Grid, parse_tile_ids, tile_ids_of_ranges
 from tilespark.functions.lod import Lod, lod_count
 from tilespark.functions.project import mercator_point, mercator_x, mercator_y
 from tilespark.schema import LOD_DISTANCES_M, OSM_WAY, ROAD_CLASS, TERRAIN
-from tilespark.streaming.viewport import viewer_start, with_view
+from tilespark.streaming.viewport import load_evict, viewer_start, with_view
 
 GRID = Grid.from_lat_lon(20.5, 88.0, 26.5, 92.5, 100_000)
 
@@ -123,3 +123,34 @@ def test_union():
     assert union_rings([SQUARE, shift(4, 0)], 1.0) == [[(0.0, 0.0), (8.0, 0.0), (8.0, 4.0), (0.0, 4.0), (0.0, 0.0)]]
     frame = [[(0, 0), (6, 0), (6, 1), (0, 1), (0, 0)], [(0, 0), (1, 0), (1, 6), (0, 6), (0, 0)], [(5, 0), (6, 0), (6, 6), (5, 6), (5, 0)], [(0, 5), (6, 5), (6, 6), (0, 6), (0, 5)]]
     assert union_rings(frame, 1.0) == [[(0.0, 0.0), (6.0, 0.0), (6.0, 6.0), (0.0, 6.0), (0.0, 0.0)]]  # the hole is filled
+
+
+def test_kernels_by_name(spark):
+    register(spark)
+    square = "named_struct('xs', array(0D, 2D, 2D, 0D, 0D), 'ys', array(0D, 0D, 2D, 2D, 0D))"
+    moved = "named_struct('xs', array(1D, 3D, 3D, 1D, 1D), 'ys', array(0D, 0D, 2D, 2D, 0D))"
+    row = spark.sql(f"""SELECT union_rings(array({square}, {moved}), 1D) AS u, snap_ring(array(0.2D, 4.1D, 4D, 0.2D), array(0D, 0D, 3.9D, 0D), 2D) AS s,
+      drop_repeats(array(1D, 1D, 2D), array(1D, 1D, 1D)) AS d, is_valid_ring(array(0D, 1D, 1D, 0D), array(0D, 0D, 1D, 0D)) AS v, stitch_rings(array(array(1L, 2L, 3L), array(3L, 4L, 1L))) AS r""").first()
+    assert len(row["u"]) == 1 and set(zip(row["u"][0]["xs"], row["u"][0]["ys"])) == {(0, 0), (3, 0), (3, 2), (0, 2)}
+    assert (row["s"]["xs"], row["s"]["ys"]) == ([0, 4, 4, 0], [0, 0, 4, 0]) and (row["d"]["xs"], row["d"]["ys"]) == ([1, 2], [1, 1])
+    assert row["v"] and len(row["r"]) == 1 and set(row["r"][0]) == {1, 2, 3, 4}
+
+
+def test_simplification_is_evaluated_once(spark):
+    """One evaluation in the plan, though a filter and several fields read its result."""
+    from tilespark.plans.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    for name in ("simplify_vw", "building_dissolve"):
+        plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("simplify_udf(") == 1, name
+
+
+def test_failed_opens_are_tried_again(spark):
+    rows = [(1, 1, [5, 6]), (1, 2, [5, 6, 7]), (1, 3, [6]), (1, 4, []), (1, 5, [5, 6])]
+    views = spark.createDataFrame([(u, e, e, 0, v) for u, e, v in rows], "user_id long, event_id long, ts long, lod int, visible array<long>")
+    available = spark.createDataFrame([(5,), (6,)], "tile_id long")
+    opens = ~((F.col("event_id") == 1) & (F.col("tile_id") == 6))
+    got = sorted(tuple(r) for r in load_evict(views, "user_id", ["ts"], "event_id", available, opens).select("event_id", "action", "tile_id").collect())
+    assert got == [(1, "load", 5), (2, "load", 6), (3, "evict", 5), (4, "evict", 6), (5, "load", 5), (5, "load", 6)]
+    assert {r["tile_id"] for r in load_evict(views, "user_id", ["ts"], "event_id").collect()} == {5, 6, 7}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tilespark.functions.geometry import drop_repeats, ring_area, simplify_preserve, snap_ring, stitch_rings, union_rings, valid_ring
 from tilespark.functions.grid import Grid
 from tilespark.operators.tiling import assign_tiles
+from tilespark.sources.osm import _encode, packed
 
 point = st.tuples(st.integers(0, 40).map(float), st.integers(0, 40).map(float))
 few = settings(max_examples=60, deadline=None, suppress_health_check=list(HealthCheck))
@@ -53,6 +54,58 @@ def test_union_area_lies_between_the_largest_and_the_sum(shapes):
         assert total <= box + 1e-9
 
 
+def inside(x, y, ring):
+    return sum((ay > y) != (by > y) and x < ax + (y - ay) * (bx - ax) / (by - ay) for (ax, ay), (bx, by) in zip(ring, ring[1:])) % 2 == 1
+
+
+def flooded(open_cells, corners):
+    """The open cells that are reached from outside the lattice."""
+    front, seen = [(-1, -1)], {(-1, -1)}
+    while front:
+        x, y = front.pop()
+        for dx in (-1, 0, 1):
+            for dy in (-1, 0, 1):
+                cell = (x + dx, y + dy)
+                if (corners or not dx or not dy) and cell not in seen and cell in open_cells:
+                    seen.add(cell)
+                    front.append(cell)
+    return seen
+
+
+@settings(max_examples=150, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.integers(0, 11), st.integers(0, 11), st.integers(1, 6), st.integers(1, 6)), min_size=1, max_size=10))
+def test_union_of_boxes_cell_by_cell(boxes):
+    """Axis-parallel buildings: the union covers their cells and the holes among them, and nothing else."""
+    n = 18
+    covered = {(x, y) for a, b, w, h in boxes for x in range(a, a + w) for y in range(b, b + h)}
+    open_cells = {(x, y) for x in range(-1, n + 1) for y in range(-1, n + 1)} - covered
+    outside = flooded(open_cells, False)
+    if outside == flooded(open_cells, True):  # else parts meet in a corner only, and what is a hole depends on the reading
+        rings = [[(a, b), (a + w, b), (a + w, b + h), (a, b + h), (a, b)] for a, b, w, h in boxes]
+        got = union_rings([[(x * 2.0, y * 2.0) for x, y in r] for r in rings], 2.0)
+        filled = {(x, y) for x in range(n) for y in range(n) if any(inside(2 * x + 1, 2 * y + 1, r) for r in got)}
+        assert filled == {(x, y) for x in range(n) for y in range(n)} - outside
+        assert sum(ring_area(r) for r in got) == 4 * len(filled)
+
+
+@few
+@given(st.lists(st.lists(point, min_size=3, max_size=5, unique=True), min_size=1, max_size=6))
+def test_union_covers_what_the_rings_cover(shapes):
+    rings = [r for r in ([*s, s[0]] for s in shapes) if valid_ring(r)]
+    got = union_rings(rings, 1.0) if rings else []
+    for x in range(0, 40, 3):
+        for y in range(0, 40, 3):
+            at = (x + 0.3719, y + 0.6133)
+            assert not any(inside(*at, r) for r in rings) or any(inside(*at, r) for r in got)
+
+
+@few
+@given(st.lists(st.integers(0, (1 << 63) - 1), max_size=40), st.booleans())
+def test_varints_all_at_once(values, zigzag):
+    data = b"".join(_encode(1, [v])[2:] for v in values)
+    assert packed(data, zigzag).tolist() == [(v >> 1) ^ -(v & 1) if zigzag else v for v in values]
+
+
 @few
 @given(st.lists(st.lists(st.integers(1, 9), min_size=2, max_size=5), max_size=6))
 def test_stitched_rings_are_closed_and_made_of_member_edges(segments):

@@ -397,12 +397,43 @@ def simplify_shape(points: list[Point], layer: str, lod: int, epsilon: float, sn
 
 @F.pandas_udf(SHAPE)
 def simplify_udf(xs: pd.Series, ys: pd.Series, layer: pd.Series, lod: pd.Series, epsilon: pd.Series, snap_m: pd.Series) -> pd.DataFrame:
-    out = [to_shape(simplify_shape(shape_points(x, y), *rest)) if x is not None and y is not None else None for x, y, *rest in zip(xs, ys, layer, lod, epsilon, snap_m)]
+    return _shapes(xs, ys, simplify_shape, layer, lod, epsilon, snap_m)
+
+
+#: Not that it were random: so marked, Catalyst neither copies it into a filter on its result nor evaluates it once more for
+#: every field that is read.
+simplify_once = simplify_udf.asNondeterministic()
+
+
+@F.pandas_udf(SHAPE)
+def drop_repeats_udf(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
+    return _shapes(xs, ys, drop_repeats)
+
+
+@F.pandas_udf(SHAPE)
+def snap_ring_udf(xs: pd.Series, ys: pd.Series, grid: pd.Series) -> pd.DataFrame:
+    return _shapes(xs, ys, snap_ring, grid)
+
+
+def _shapes(xs: pd.Series, ys: pd.Series, kernel, *more: pd.Series) -> pd.DataFrame:
+    out = [to_shape(kernel(shape_points(x, y), *rest)) if x is not None and y is not None else None for x, y, *rest in zip(xs, ys, *more)]
     return pd.DataFrame({"xs": [o and o["xs"] for o in out], "ys": [o and o["ys"] for o in out]})
 
 
+@F.udf(T.ArrayType(SHAPE), useArrow=True)
+def union_rings_udf(shapes, grid):
+    """union_rings over array<struct<xs,ys>>; rings that are not valid on the grid are left out."""
+    if shapes is None or grid is None or grid <= 0:
+        return None
+    rings = [snap_ring(shape_points(r["xs"], r["ys"]), grid) for r in shapes if r is not None]
+    return [to_shape(r) for r in union_rings([r for r in rings if r], grid)]
+
+
 def register(spark) -> None:
-    """The kernels under names for SQL: stitch_rings, is_valid_ring, simplify_shape."""
+    """The kernels under names for SQL: stitch_rings, is_valid_ring, simplify_shape, drop_repeats, snap_ring, union_rings."""
     spark.udf.register("stitch_rings", stitch_udf)
     spark.udf.register("is_valid_ring", valid_ring_udf)
     spark.udf.register("simplify_shape", simplify_udf)
+    spark.udf.register("drop_repeats", drop_repeats_udf)
+    spark.udf.register("snap_ring", snap_ring_udf)
+    spark.udf.register("union_rings", union_rings_udf)

@@ -34,6 +34,14 @@ def upsert_manifest(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(new.select("id"), "id", "left_anti").unionByName(new)
 
 
+def with_old_origin(rows: DataFrame, previous: DataFrame) -> DataFrame:
+    """``rows`` with the origin that ``previous`` has for their id, where it has one: a tile keeps the origin it was baked
+    with, whatever the grid is now."""
+    old = previous.select(F.col("id").alias("old_"), F.col("origin_x_m").alias("old_x_"), F.col("origin_y_m").alias("old_y_"))
+    joined = rows.join(old, F.col("id") == F.col("old_"), "left")
+    return joined.withColumns({"origin_x_m": F.coalesce("old_x_", "origin_x_m"), "origin_y_m": F.coalesce("old_y_", "origin_y_m")}).select(rows.columns)
+
+
 def recover_manifest(specs: DataFrame, on_disk: DataFrame, previous: DataFrame) -> DataFrame:
     """Rows of the tiles found on disk, else of the previous manifest; tiles known to neither have none."""
     disk, before = on_disk.select("id", F.struct(*on_disk.columns).alias("disk")), previous.select("id", F.struct(*previous.columns).alias("before"))

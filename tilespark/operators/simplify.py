@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import simplify_udf
+from ..functions.geometry import simplify_once
 from ..functions.lod import poi_visible, road_visible, road_width
 from ..functions.project import box_area, box_diagonal
 
@@ -20,7 +20,7 @@ def at_levels(features: DataFrame, lods: DataFrame) -> DataFrame:
 
 
 def _simplified(rows: DataFrame, layer: str) -> DataFrame:
-    shape = simplify_udf("xs", "ys", F.lit(layer), "lod", "epsilon", "snap_m")
+    shape = simplify_once("xs", "ys", F.lit(layer), "lod", "epsilon", "snap_m")
     rows = rows.withColumn("shape", shape).filter(F.col("shape.xs").isNotNull())
     return rows.withColumns({"xs": F.col("shape.xs"), "ys": F.col("shape.ys")}).drop("shape").withColumns({
         "box_x0": F.array_min("xs"), "box_y0": F.array_min("ys"), "box_x1": F.array_max("xs"), "box_y1": F.array_max("ys")})

@@ -12,14 +12,16 @@ from ..functions.grid import Grid
 from ..functions.lod import Lod, lod_count, lod_table, total_chunks
 from ..functions.project import mercator_x, mercator_y, quantize_points, quantized_bounds
 from ..operators.dissolve import dissolve_dense
-from ..operators.manifest import entity_counts, manifest_rows, recover_manifest
+from ..operators.manifest import entity_counts, manifest_rows, recover_manifest, with_old_origin
 from ..operators.resolve import member_segments, resolve_points, stitched_rings, with_envelope
 from ..operators.simplify import simplify_areas, simplify_buildings, simplify_pois, simplify_roads
 from ..operators.tiling import assign_tiles, selected_tiles
 from ..schema import QUANTIZATION_SCALE
 from ..sources import tiles as T
+from ..sources.store import remove
 
 ENVELOPE = ["min_x", "min_y", "max_x", "max_y"]
+SHAPES = "feature_id bigint, ring_no int, terrain int, road_class int, width_m double, xs array<double>, ys array<double>, min_x double, min_y double, max_x double, max_y double, layer string"
 
 
 @dataclass
@@ -44,8 +46,9 @@ def scan_bounds(nodes: DataFrame, tile_size: int = 100_000) -> Scan:
     return Scan((b["min_lat"], b["min_lon"], b["max_lat"], b["max_lon"]), box, Grid.from_bounds(*box, tile_size), chunks, Lod.levels(lod_count(chunks)))
 
 
-def extract_features(nodes: DataFrame, ways: DataFrame, relations: DataFrame) -> dict[str, DataFrame]:
-    """Areas, buildings, roads and pois in mercator metres; the first three with xs, ys, all with their envelope.
+def resolve_shapes(nodes: DataFrame, ways: DataFrame, relations: DataFrame) -> DataFrame:
+    """(feature_id, ring_no, layer, terrain, road_class, width_m, xs, ys and envelope) of areas, buildings and roads in
+    mercator metres: one join with the nodes for all three.
 
     A way is what its tags say or nothing: one that fails the test of its layer does not fall through to another. A tagged
     way that is also an outer member makes two areas.
@@ -60,7 +63,11 @@ def extract_features(nodes: DataFrame, ways: DataFrame, relations: DataFrame) ->
     every = kept.select("feature_id", F.lit(0).alias("ring_no"), "refs", "layer", "terrain", "road_class", "width_m").unionByName(
         rings.select("feature_id", "ring_no", "refs", F.lit("area").alias("layer"), "terrain", F.lit(None).cast("int").alias("road_class"), F.lit(None).cast("double").alias("width_m")))
     every = every.withColumn("key", F.struct("feature_id", "ring_no", "layer", "terrain", "road_class", "width_m"))
-    shapes = with_envelope(resolve_points(every, points, "key", 2).select("key.*", "xs", "ys"))
+    return with_envelope(resolve_points(every, points, "key", 2).select("key.*", "xs", "ys"))
+
+
+def split_features(shapes: DataFrame, nodes: DataFrame) -> dict[str, DataFrame]:
+    """Areas, buildings, roads and pois; the first three of resolved ``shapes``, all with xs, ys and their envelope."""
     areal = F.size("xs") >= 4
     pois = nodes.withColumn("kind", C.poi_kind(F.col("tags"))).filter(F.col("kind").isNotNull())
     x, y = mercator_x(F.col("lon")), mercator_y(F.col("lat"))
@@ -72,6 +79,11 @@ def extract_features(nodes: DataFrame, ways: DataFrame, relations: DataFrame) ->
     }
 
 
+def extract_features(nodes: DataFrame, ways: DataFrame, relations: DataFrame) -> dict[str, DataFrame]:
+    """Areas, buildings, roads and pois in mercator metres, straight from the elements."""
+    return split_features(resolve_shapes(nodes, ways, relations), nodes)
+
+
 def bake_layers(features: dict[str, DataFrame], grid: Grid, lods: DataFrame, tiles: DataFrame | None = None) -> dict[str, DataFrame]:
     """Flat rows of each layer by tile and level, quantized; a feature with a point out of range is dropped."""
     left, bottom = grid.origin_of(F.col("tile_id"))
@@ -126,11 +138,25 @@ def bake(
     spark = elements["node"].sparkSession
     scan = scan_bounds(elements["node"], tile_size)
     tiles = selected_tiles(scan.grid, spark, tile_ids, lat_lon_box)
-    layers = bake_layers(extract_features(elements["node"], elements["way"], elements["relation"]), scan.grid, lod_table(spark, len(scan.levels)), tiles)
-    T.write_layers(layers, root, region)
+    before = T.index_rows(spark, root, region)
+    before = None if before is None else spark.createDataFrame(before.collect(), before.schema)  # read before it is replaced; a row for each tile of the map
+    # the four layers read the resolved shapes, not the elements again; part files by layer, so each reads its own
+    folder = T.draft_path(root, region)
+    try:
+        resolve_shapes(elements["node"], elements["way"], elements["relation"]).write.partitionBy("layer").parquet(folder)
+        shapes = spark.read.schema(SHAPES).parquet(folder)
+        T.write_layers(bake_layers(split_features(shapes, elements["node"]), scan.grid, lod_table(spark, len(scan.levels)), tiles), root, region)
+    finally:
+        remove(spark, folder)
     entities = T.baked_entities(spark, root, region)
     stored = entities.select("tile_id").distinct().unionByName(tiles.select("tile_id")).distinct()
     on_disk = manifest_rows(entity_counts(entities, stored), scan.grid, T.tile_sizes(entities))
     specs = scan.grid.specs(spark)
-    T.write_index(build_index(spark, scan, region, source, recover_manifest(specs, on_disk, on_disk.limit(0))), root, region)
+    if before is None:
+        rows = recover_manifest(specs, on_disk, on_disk.limit(0))
+    else:
+        # tiles that were not baked now keep the origin they were baked with
+        kept = with_old_origin(on_disk.join(tiles.select(F.col("tile_id").alias("id")), "id", "left_anti"), before)
+        rows = recover_manifest(specs, kept.unionByName(on_disk.join(tiles.select(F.col("tile_id").alias("id")), "id", "left_semi")), before)
+    T.write_index(build_index(spark, scan, region, source, rows), root, region)
     return T.read_index(spark, root, region)

@@ -5,7 +5,6 @@ Doubles are compared as whole centimetres (or other whole units), since engines
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -13,18 +12,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import classify as C
-from ..functions.geometry import simplify_udf, valid_ring_udf
+from ..functions.geometry import simplify_once, valid_ring_udf
 from ..functions.grid import Grid, tile_ids_of_ranges
 from ..functions.lod import Lod, lod_for_radius, lod_table, poi_visible, road_visible, road_width
-from ..functions.project import box_area, box_diagonal, centimetres, mercator_x, mercator_y, quantize_points, snap, to_world, without_repeats
+from ..functions.project import box_area, box_diagonal, centimetres, mercator_x, mercator_y, quantize_points, quantized_bounds, snap, to_world, without_repeats
 from ..operators import manifest, resolve, tiling
 from ..operators.dissolve import dissolve_dense, with_bucket
 from ..operators.simplify import at_levels, simplify_buildings
 from ..schema import DENSE_BUILDINGS, LOD_DISTANCES_M, LOD_TOLERANCES_M, PLACES, ROAD_CLASS, ROAD_COLOR, ROAD_HIGHWAYS, ROAD_LAST_LOD, ROAD_WIDTH_M, TERRAIN, TERRAIN_COLOR, TERRAIN_PRIORITY, TERRAIN_TAGS
 from ..sources import osm, tiles
+from ..sources.store import put_file, shared_folder
 from ..sources.views import LAT, LON, VIEWS, view, with_views
 from ..streaming import viewport
-from .bake import bake_layers, nested_tiles
+from .bake import bake_layers, build_index, nested_tiles, scan_bounds
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -135,8 +135,8 @@ def cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder, in the shared one where the session names it."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='tiles-')}/{uuid.uuid4().hex}"
+    """A new folder in the shared one."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 # ---------------------------------------------------------------- projection, grid, levels
@@ -293,11 +293,10 @@ def closed_way_filter(spark, sf_dir):
 
 @query(with_views("rel_member", "rel_way_ref") + " SELECT m.rel_id, m.pos AS member_pos, r.pos AS ref_pos, r.node_id FROM rel_member m JOIN rel_way_ref r ON m.member_id = r.way_id WHERE m.mtype = 'way' AND m.role IN ('outer', '')")
 def relation_members(spark, sf_dir):
-    segments = resolve.member_segments(relations(spark, sf_dir), relation_ways(spark, sf_dir))
-    # positions among the members found: the absent member 2 leaves a gap that the segments close
-    rows = segments.select("rel_id", F.posexplode("segments").alias("i", "refs"), F.size("segments").alias("n")).select("rel_id", "i", "n", F.posexplode("refs").alias("j", "node_id"))
-    place = F.when((F.col("n") == 2) & (F.col("i") == 1), 3).otherwise(F.col("i") + 1)
-    return rows.select("rel_id", place.cast("bigint").alias("member_pos"), (F.col("j") + 1).cast("bigint").alias("ref_pos"), "node_id")
+    found = resolve.member_segments(relations(spark, sf_dir), relation_ways(spark, sf_dir))
+    rows = found.select("rel_id", F.explode(F.arrays_zip("segments", "places")).alias("s"))
+    rows = rows.select("rel_id", (F.col("s.places") + 1).cast("bigint").alias("member_pos"), F.posexplode("s.segments").alias("j", "node_id"))
+    return rows.select("rel_id", "member_pos", (F.col("j") + 1).cast("bigint").alias("ref_pos"), "node_id")
 
 
 @query("SELECT s_suppkey + 400000000 AS rel_id, CAST(0 AS INT) AS ring_no, CAST(p.i AS INT) AS pos, s_suppkey * 10 + [5, 6, 1, 2, 3, 4, 5][p.i + 1] AS node_id FROM supplier, range(7) p(i) WHERE s_suppkey % 5 <> 0")
@@ -362,6 +361,23 @@ def tile_road_counts(spark, sf_dir):
     return tiling.assign_tiles(roads, GRID).groupBy("tile_id", "road_class").agg(F.count(F.lit(1)).alias("n"))
 
 
+_BOX = (21.2, 89.1, 22.9, 90.4)
+
+
+@query(f"""WITH t AS (SELECT CAST(t AS BIGINT) AS tile_id FROM range({GRID.count}) r(t)),
+b AS (SELECT {_COL(mx(f'{_BOX[1]}e0'), GRID)} AS c0, {_ROW(my(f'{_BOX[0]}e0'), GRID)} AS r0, {_COL(mx(f'{_BOX[3]}e0'), GRID)} AS c1, {_ROW(my(f'{_BOX[2]}e0'), GRID)} AS r1)
+SELECT 'ids' AS chosen_by, tile_id FROM t WHERE tile_id IN (3, 4, 5, 17) UNION ALL SELECT 'box', tile_id FROM t, b WHERE tile_id % {GRID.cols} BETWEEN c0 AND c1 AND tile_id // {GRID.cols} BETWEEN r0 AND r1
+UNION ALL SELECT 'all', tile_id FROM t""")
+def tile_selection(spark, sf_dir):
+    """Ids go before a box, a box before everything; unknown ids choose nothing."""
+    chosen = {"ids": {"tile_ids": [5, 3, 4, 17, 3, GRID.count + 7], "lat_lon_box": _BOX}, "box": {"lat_lon_box": _BOX}, "all": {}}
+    out = None
+    for name, how in chosen.items():
+        rows = tiling.selected_tiles(GRID, spark, **how).select(F.lit(name).alias("chosen_by"), "tile_id")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 # ---------------------------------------------------------------- levels
 
 
@@ -409,6 +425,13 @@ def quantize_roads(spark, sf_dir):
     return quantized(spark, sf_dir)
 
 
+@query(_QUANTIZED + " SELECT tile_id, way_id, min(qx) AS min_x, min(qy) AS min_y, max(qx) AS max_x, max(qy) AS max_y FROM q GROUP BY tile_id, way_id")
+def quantized_box(spark, sf_dir):
+    rows = tiling.assign_tiles(resolve.with_envelope(resolve.point_arrays(points(spark, sf_dir, "road_pt"), "way_id")).select("way_id", "xs", "ys", "min_x", "min_y", "max_x", "max_y"), GRID)
+    left, bottom = GRID.origin_of(F.col("tile_id"))
+    return rows.select("tile_id", "way_id", quantized_bounds(quantize_points(F.col("xs"), F.col("ys"), left, bottom)).alias("b")).filter("b is not null").select("tile_id", "way_id", "b.*")
+
+
 @query(_QUANTIZED + " SELECT tile_id, way_id, pos, CAST(CAST(x0 + qx / 100e0 AS FLOAT) * 4 AS BIGINT) AS x4, CAST(CAST(y0 + qy / 100e0 AS FLOAT) * 4 AS BIGINT) AS y4 FROM q")
 def dequantize(spark, sf_dir):
     left, bottom = GRID.origin_of(F.col("tile_id"))
@@ -461,7 +484,7 @@ def building_dissolve(spark, sf_dir):
 @query()
 def simplify_vw(spark, sf_dir):
     rows = at_levels(resolve.point_arrays(points(spark, sf_dir, "road_pt"), "way_id"), lod_table(spark, 7))
-    shape = simplify_udf("xs", "ys", F.lit("road"), "lod", "epsilon", "snap_m")
+    shape = simplify_once("xs", "ys", F.lit("road"), "lod", "epsilon", "snap_m")
     return rows.withColumn("s", shape).filter(F.col("s.xs").isNotNull()).select("way_id", "lod", F.size("xs").alias("n_before"), F.size("s.xs").alias("n_after"))
 
 
@@ -506,6 +529,25 @@ def manifest_upsert(spark, sf_dir):
     return merged.select("id", "grid_x", "grid_y", "file", "file_size_bytes", F.col("origin_x_m").cast("bigint").alias("origin_x"), "entity_counts.roads", "entity_counts.pois")
 
 
+@query(with_views("poi", more=f"""b AS (SELECT min({mx('lon')}) AS x0, min({my('lat')}) AS y0, max({mx('lon')}) AS x1, max({my('lat')}) AS y1, min(lat) AS a0, max(lon) AS o1 FROM poi),
+g AS (SELECT *, floor(x0 / 50000) * 50000 AS ox, floor(y0 / 50000) * 50000 AS oy, ceil(greatest((x1 - x0) * (y1 - y0) / 1e6, 1)) AS chunks FROM b),
+n AS (SELECT *, CAST(greatest(ceil((x1 - ox) / 50000), 1) AS BIGINT) AS cols, CAST(greatest(ceil((y1 - oy) / 50000), 1) AS BIGINT) AS tile_rows FROM g)""") + f"""
+SELECT CAST(1 AS INT) AS version, 'region' AS region, CAST(chunks AS BIGINT) AS chunks, cols * tile_rows AS tile_count, greatest(CAST(ceil(log2(chunks / 1000)) AS INT) + 1, 2) AS lod_count, CAST(ox AS BIGINT) AS origin_x, CAST(oy AS BIGINT) AS origin_y,
+  {cm('x0')} AS min_x_cm, {cm('y1')} AS max_y_cm, CAST(floor(a0 * 1e7 + 0.5e0) AS BIGINT) AS min_lat_e7, CAST(floor(o1 * 1e7 + 0.5e0) AS BIGINT) AS max_lon_e7,
+  (SELECT string_agg(i, ',' ORDER BY i) FROM range(cols * tile_rows) r(i) WHERE i % 3 = 1) AS tile_ids FROM n""")
+def index_document(spark, sf_dir):
+    """The index over every third tile, whose rows arrive in any order."""
+    found = scan_bounds(view(spark, sf_dir, "poi").select("lat", "lon"), 50_000)
+    some = found.grid.specs(spark).select("tile_id").filter("tile_id % 3 = 1")
+    none = spark.createDataFrame([], "tile_id bigint, lod int, layer string")
+    rows = manifest.manifest_rows(manifest.entity_counts(none, some), found.grid).orderBy(F.xxhash64("id"))
+    made, e7 = build_index(spark, found, "region", "source", rows), lambda c: F.floor(F.col(c) * 1e7 + 0.5).cast("bigint")
+    return made.select(
+        "version", "region", F.col("total_chunks_estimate").alias("chunks"), F.col("total_tile_count").alias("tile_count"), "lod_count", F.col("tile_grid.origin_x_m").cast("bigint").alias("origin_x"), F.col("tile_grid.origin_y_m").cast("bigint").alias("origin_y"),
+        centimetres(F.col("world_bounds_mercator.min_x")).alias("min_x_cm"), centimetres(F.col("world_bounds_mercator.max_y")).alias("max_y_cm"), e7("world_bounds_lat_lon.min_lat").alias("min_lat_e7"), e7("world_bounds_lat_lon.max_lon").alias("max_lon_e7"),
+        F.array_join(F.transform("tiles", lambda t: t["id"].cast("string")), ",").alias("tile_ids"))
+
+
 @query(with_views("road_pt", "road", "poi", more=", ".join([
     envelopes("env", "road_pt"), _CLASSED, _POI_ENV.replace("env AS", "p_env AS"), tile_rows(BIG), LOD_ROWS,
     f"r AS (SELECT t.tile_id, lod FROM env e JOIN cls c ON c.way_id = e.way_id JOIN tiles t ON {meets(BIG)}, lods WHERE road_class IS NOT NULL AND lod <= {LAST_LOD_CASE})",
@@ -612,19 +654,25 @@ def zoom_fold(spark, sf_dir):
     return viewport.zoom_fold(inputs, "user_id", ["ts", "event_id"], 0.625, 0.0390625, 100.0).select("user_id", e6("target_scale").alias("target_e6"), e6("scale").alias("scale_e6"), "frames")
 
 
-_DELTAS = _CAMERA + ", " + _VISIBLE + """, o AS (SELECT user_id, event_id, lag(event_id) OVER w AS before, lead(event_id) OVER w AS after FROM cam WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
-SELECT v.user_id, v.event_id, 'load' AS action, v.tile_id FROM vis v JOIN o ON o.event_id = v.event_id LEFT JOIN vis p ON p.event_id = o.before AND p.tile_id = v.tile_id WHERE p.tile_id IS NULL
-UNION ALL SELECT v.user_id, o.after, 'evict', v.tile_id FROM vis v JOIN o ON o.event_id = v.event_id LEFT JOIN vis p ON p.event_id = o.after AND p.tile_id = v.tile_id WHERE o.after IS NOT NULL AND p.tile_id IS NULL"""
+# a fifth of the tiles are not baked, and every third open fails
+_DELTAS = _CAMERA + ", " + _VISIBLE + """, f AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM cam),
+w AS (SELECT f.user_id, f.event_id, f.i, v.tile_id, f.i - row_number() OVER (PARTITION BY f.user_id, v.tile_id ORDER BY f.i) AS run FROM vis v JOIN f ON f.event_id = v.event_id WHERE v.tile_id % 5 <> 0),
+r AS (SELECT user_id, tile_id, run, min(i) FILTER (WHERE (event_id + tile_id) % 3 <> 0) AS a, max(i) + 1 AS b FROM w GROUP BY user_id, tile_id, run)
+SELECT r.user_id, f.event_id, 'load' AS action, r.tile_id FROM r JOIN f ON f.user_id = r.user_id AND f.i = r.a
+UNION ALL SELECT r.user_id, f.event_id, 'evict', r.tile_id FROM r JOIN f ON f.user_id = r.user_id AND f.i = r.b WHERE r.a IS NOT NULL"""
+
+
+def _available(spark: SparkSession) -> DataFrame:
+    return GRID.specs(spark).select("tile_id").filter("tile_id % 5 <> 0")
 
 
-def deltas(frames: DataFrame) -> DataFrame:
-    load = frames.select("user_id", "event_id", F.lit("load").alias("action"), F.explode("load").alias("tile_id"))
-    return load.unionByName(frames.select("user_id", "event_id", F.lit("evict").alias("action"), F.explode("evict").alias("tile_id")))
+def _opens() -> Column:
+    return (F.col("event_id") + F.col("tile_id")) % 3 != 0
 
 
 @query(_DELTAS)
 def tile_load_evict(spark, sf_dir):
-    return deltas(viewport.load_evict(viewport.with_view(cameras(spark, sf_dir), GRID, LOD_DISTANCES_M), "user_id", ["ts", "event_id"]))
+    return viewport.load_evict(viewport.with_view(cameras(spark, sf_dir), GRID, LOD_DISTANCES_M), "user_id", ["ts", "event_id"], "event_id", _available(spark), _opens())
 
 
 @query(_DELTAS)
@@ -635,22 +683,53 @@ def tile_load_evict_stream(spark, sf_dir):
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     rows = spark.sql(VIEWS["camera"].replace("FROM events", "FROM {events}"), events=events)
     rows = rows.select("user_id", "event_id", "ts", mercator_x(F.col("lon")).alias("x"), mercator_y(F.col("lat")).alias("y"), "scale")
-    frames = viewport.load_evict_stream(viewport.with_view(rows, GRID, LOD_DISTANCES_M).select("user_id", "ts", "event_id", "lod", "visible"))
+    seen = viewport.with_view(rows, GRID, LOD_DISTANCES_M).select("user_id", "ts", "event_id", "lod", "visible")
+    frames = viewport.load_evict_stream(viewport.desired(seen, _available(spark), _opens()))
     run = frames.writeStream.format("parquet").option("path", f"{folder}/frames").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
-    return deltas(spark.read.schema(viewport.FRAME).parquet(f"{folder}/frames"))
+    done = spark.read.schema(viewport.FRAME).parquet(f"{folder}/frames")
+    load = done.select("user_id", "event_id", F.lit("load").alias("action"), F.explode("load").alias("tile_id"))
+    return load.unionByName(done.select("user_id", "event_id", F.lit("evict").alias("action"), F.explode("evict").alias("tile_id")))
+
+
+@query(with_views("camera", more=f"cam AS (SELECT user_id, event_id, ts, {mx('lon')} AS x, {my('lat')} AS y, scale FROM camera)") + f"""
+SELECT event_id, {cm('CASE WHEN event_id % 4 = 0 THEN x ELSE event_id * 0.5e0 END')} AS x_cm, {cm('CASE WHEN event_id % 4 = 0 THEN y ELSE event_id * -0.25e0 END')} AS y_cm, CAST(scale * 1000 AS BIGINT) AS scale_e3 FROM cam""")
+def follow_camera(spark, sf_dir):
+    """Every fourth camera has no player."""
+    seen = cameras(spark, sf_dir)
+    players = seen.filter("event_id % 4 <> 0").select("event_id", (F.col("event_id") * 0.5).alias("x"), (F.col("event_id") * -0.25).alias("y"))
+    return viewport.follow(seen, players, ["event_id"]).select("event_id", centimetres(F.col("x")).alias("x_cm"), centimetres(F.col("y")).alias("y_cm"), (F.col("scale") * 1000).cast("bigint").alias("scale_e3"))
+
+
+@query(with_views("road_pt", "road", more=", ".join([
+    envelopes("env", "road_pt"), _CLASSED, tile_rows(BIG), LOD_ROWS,
+    f"r AS (SELECT t.tile_id, lod, count(*) AS n FROM env e JOIN cls c ON c.way_id = e.way_id JOIN tiles t ON {meets(BIG)}, lods WHERE road_class IS NOT NULL AND lod <= {LAST_LOD_CASE} GROUP BY t.tile_id, lod)",
+    "p AS (SELECT *, row_number() OVER (PARTITION BY tile_id ORDER BY lod) - 1 AS place, count(*) OVER (PARTITION BY tile_id) AS places FROM r)"])) + f"""
+SELECT tile_id, CAST(w AS INT) AS wanted, lod AS drawn, CAST(n AS INT) AS n_roads FROM p, range({N_LODS} + 3) t(w) WHERE place = least(w, places - 1)""")
+def drawn_level(spark, sf_dir):
+    """The level that is drawn of a tile for every level wanted, also beyond its last one."""
+    roads = at_levels(boxes(spark, sf_dir, "road_pt").join(classed_roads(spark, sf_dir), "way_id"), lod_table(spark, N_LODS)).filter(road_visible(F.col("road_class"), F.col("lod")))
+    nested = nested_tiles({"roads": tiling.assign_tiles(roads, BIG).select("tile_id", "lod", "way_id")}, ("roads",))
+    rows = nested.withColumn("wanted", F.explode(F.sequence(F.lit(0), F.lit(N_LODS + 2)))).withColumn("l", viewport.lod_or_last(F.col("lods"), F.col("wanted")))
+    return rows.select("tile_id", "wanted", F.col("l.lod").alias("drawn"), F.size("l.roads").alias("n_roads"))
 
 
 # ---------------------------------------------------------------- files
 
 
-def _small_extract(spark: SparkSession, sf_dir: str) -> tuple[list, list, list]:
-    """Nations as nodes, regions as ways and relations: 25 and 5 rows at any scale."""
+def _extract(spark: SparkSession, sf_dir: str) -> tuple[list, list, list]:
+    """Customers as nodes, nations as ways through all of their customers, regions as relations. The writers of the two
+    formats run on the driver, so this is a fixture for reading, no way to export."""
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").orderBy("c_custkey").select("c_custkey", "c_nationkey", "c_name").collect()
     nations = spark.read.parquet(f"{sf_dir}/nation.parquet").orderBy("n_nationkey").collect()
     regions = spark.read.parquet(f"{sf_dir}/region.parquet").orderBy("r_regionkey").collect()
-    nodes = [(n["n_nationkey"], 20.5 + n["n_nationkey"] / 8, 88 + n["n_nationkey"] / 8, [("name", n["n_name"]), ("place", "town")][: 1 + n["n_nationkey"] % 2]) for n in nations]
-    ways = [(r["r_regionkey"] + 100, [n["n_nationkey"] for n in nations if n["n_regionkey"] == r["r_regionkey"]], [("highway", "service"), ("name", r["r_name"])]) for r in regions]
-    return nodes, ways, [(r["r_regionkey"] + 200, [("way", r["r_regionkey"] + 100, "outer"), ("node", r["r_regionkey"], "")], [("type", "multipolygon")]) for r in regions]
+    nodes = [(c[0], 20.5 + c[0] % 1000 / 125, 88 + c[0] % 777 / 125, [("name", c[2]), ("place", "town")][: c[0] % 3]) for c in customers]
+    refs: dict[int, list[int]] = {n["n_nationkey"]: [] for n in nations}
+    for c in customers:
+        refs[c[1]].append(c[0])
+    ways = [(n["n_nationkey"] + 100, refs[n["n_nationkey"]], [("highway", "service"), ("name", n["n_name"])]) for n in nations]
+    members = lambda r: [("way", n["n_nationkey"] + 100, "outer") for n in nations if n["n_regionkey"] == r] + [("node", r, "")]
+    return nodes, ways, [(r["r_regionkey"] + 200, members(r["r_regionkey"]), [("type", "multipolygon")]) for r in regions]
 
 
 def _flat(found: dict[str, DataFrame]) -> DataFrame:
@@ -661,33 +740,28 @@ def _flat(found: dict[str, DataFrame]) -> DataFrame:
     return node.unionByName(way).unionByName(rel)
 
 
-_FLAT = """SELECT 'node' AS element, CAST(n_nationkey AS BIGINT) AS id, concat(CAST(floor((20.5e0 + n_nationkey / 8e0) * 1e7 + 0.5e0) AS BIGINT), ' ', CAST(floor((88 + n_nationkey / 8e0) * 1e7 + 0.5e0) AS BIGINT)) AS body,
-  concat('name=', n_name, CASE WHEN n_nationkey % 2 = 1 THEN ',place=town' ELSE '' END) AS tags FROM nation
-UNION ALL SELECT 'way', r_regionkey + 100, (SELECT string_agg(n_nationkey, ' ' ORDER BY n_nationkey) FROM nation WHERE n_regionkey = r_regionkey), concat('highway=service,name=', r_name) FROM region
-UNION ALL SELECT 'relation', r_regionkey + 200, concat('way:', r_regionkey + 100, ':outer node:', r_regionkey, ':'), 'type=multipolygon' FROM region"""
+_FLAT = """SELECT 'node' AS element, CAST(c_custkey AS BIGINT) AS id, concat(CAST(floor((20.5e0 + c_custkey % 1000 / 125e0) * 1e7 + 0.5e0) AS BIGINT), ' ', CAST(floor((88 + c_custkey % 777 / 125e0) * 1e7 + 0.5e0) AS BIGINT)) AS body,
+  CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN concat('name=', c_name) ELSE concat('name=', c_name, ',place=town') END AS tags FROM customer
+UNION ALL SELECT 'way', n_nationkey + 100, coalesce((SELECT string_agg(c_custkey, ' ' ORDER BY c_custkey) FROM customer WHERE c_nationkey = n_nationkey), ''), concat('highway=service,name=', n_name) FROM nation
+UNION ALL SELECT 'relation', r_regionkey + 200, concat((SELECT string_agg(concat('way:', n_nationkey + 100, ':outer'), ' ' ORDER BY n_nationkey) FROM nation WHERE n_regionkey = r_regionkey), ' node:', r_regionkey, ':'), 'type=multipolygon' FROM region"""
 
 
 def _put(spark: SparkSession, name: str, data: bytes) -> str:
-    """Write a small file through Spark's own file system, wherever the scratch folder is."""
     path = f"{scratch(spark)}/{name}"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target)
-    out.write(bytearray(data))
-    out.close()
+    put_file(spark, path, data)
     return path
 
 
 @query(_FLAT)
 def osm_pbf_read(spark, sf_dir):
-    return _flat(osm.read_osm_pbf(spark, _put(spark, "extract.osm.pbf", osm.encode_pbf(*_small_extract(spark, sf_dir), block=10))))
+    return _flat(osm.read_osm_pbf(spark, _put(spark, "extract.osm.pbf", osm.encode_pbf(*_extract(spark, sf_dir), block=1000))))
 
 
 @query(_FLAT)
 def osm_xml_read(spark, sf_dir):
     from xml.sax.saxutils import quoteattr as q
 
-    nodes, ways, rels = _small_extract(spark, sf_dir)
+    nodes, ways, rels = _extract(spark, sf_dir)
     tag = lambda ts: "".join(f"<tag k={q(k)} v={q(v)}/>" for k, v in ts)
     body = [f'<node id="{i}" lat="{lat!r}" lon="{lon!r}">{tag(t)}</node>' for i, lat, lon, t in nodes]
     body += [f'<way id="{i}">{"".join(f"<nd ref={q(str(r))}/>" for r in refs)}{tag(t)}</way>' for i, refs, t in ways]

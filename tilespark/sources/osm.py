@@ -11,6 +11,8 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -81,28 +83,24 @@ def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         yield key >> 3, value
 
 
-def packed(data: bytes, zigzag: bool = False) -> list[int]:
-    out, at = [], 0
-    while at < len(data):
-        value, at = _varint(data, at)
-        out.append(_signed(value) if zigzag else value)
-    return out
-
-
-def running(values: list[int]) -> list[int]:
-    out, total = [], 0
-    for v in values:
-        total += v
-        out.append(total)
-    return out
+def packed(data: bytes, zigzag: bool = False) -> np.ndarray:
+    """The varints of a packed field, all at once."""
+    raw = np.frombuffer(data, np.uint8)
+    stops = np.flatnonzero(raw < 128)
+    starts = np.r_[0, stops[:-1] + 1][: len(stops)]
+    out = np.zeros(len(stops), np.uint64)
+    for k in range(int((stops - starts).max(initial=-1)) + 1):
+        more = starts + k <= stops
+        out[more] |= (raw[starts[more] + k] & np.uint8(127)).astype(np.uint64) << np.uint64(7 * k)
+    return ((out >> np.uint64(1)) ^ (~(out & np.uint64(1)) + np.uint64(1))).view(np.int64) if zigzag else out.view(np.int64)
 
 
-def decode_block(data: bytes, element: str) -> Iterator[tuple]:
-    """Rows of one kind of element of a primitive block."""
-    strings, groups, granularity, lat_offset, lon_offset = [], [], 100, 0, 0
+def decode_block(data: bytes, element: str) -> Iterator[pa.RecordBatch]:
+    """One kind of element of a primitive block, a batch for each group that has it."""
+    strings, groups, granularity, lat_offset, lon_offset = pa.array([], pa.string()), [], 100, 0, 0
     for number, value in fields(data):
         if number == 1:
-            strings = [v.decode("utf-8") for n, v in fields(value) if n == 1]
+            strings = pa.array([v for n, v in fields(value) if n == 1], pa.binary()).cast(pa.string())
         elif number == 2:
             groups.append(value)
         elif number == 17:
@@ -111,35 +109,73 @@ def decode_block(data: bytes, element: str) -> Iterator[tuple]:
             lat_offset = _int64(value)
         elif number == 20:
             lon_offset = _int64(value)
-    degrees = lambda v, offset: (offset + granularity * v) * 1e-9
+    degrees = lambda v, offset: (offset + granularity * np.asarray(v, np.int64)) * 1e-9
     for group in groups:
-        for number, value in fields(group):
-            if element == "node" and number == 1:
-                m = dict(fields(value))
-                yield _signed(m[1]), degrees(_signed(m[8]), lat_offset), degrees(_signed(m[9]), lon_offset), _tags(m, strings)
-            elif element == "node" and number == 2:
-                m = dict(fields(value))
-                ids, lats, lons = (running(packed(m.get(k, b""), True)) for k in (1, 8, 9))
-                keys, at = packed(m.get(10, b"")), 0
-                for i, node in enumerate(ids):
-                    tags = []
-                    while at < len(keys) and keys[at]:
-                        tags.append((strings[keys[at]], strings[keys[at + 1]]))
-                        at += 2
-                    at += 1
-                    yield node, degrees(lats[i], lat_offset), degrees(lons[i], lon_offset), tags
-            elif element == "way" and number == 3:
-                m = dict(fields(value))
-                yield _int64(m[1]), running(packed(m.get(8, b""), True)), _tags(m, strings)
-            elif element == "relation" and number == 4:
-                m = dict(fields(value))
-                kinds = ("node", "way", "relation")
-                members = zip(packed(m.get(10, b"")), running(packed(m.get(9, b""), True)), packed(m.get(8, b"")))
-                yield _int64(m[1]), [(kinds[k], ref, strings[role]) for k, ref, role in members], _tags(m, strings)
-
-
-def _tags(message: dict, strings: list[str]) -> list[tuple[str, str]]:
-    return [(strings[k], strings[v]) for k, v in zip(packed(message.get(2, b"")), packed(message.get(3, b"")))]
+        messages = [dict(fields(value)) for number, value in fields(group) if number == {"node": 1, "way": 3, "relation": 4}[element]]
+        if element == "node":
+            if messages:
+                ids, lats, lons = ([_signed(m[k]) for m in messages] for k in (1, 8, 9))
+                yield _batch("node", pa.array(ids), pa.array(degrees(lats, lat_offset)), pa.array(degrees(lons, lon_offset)), _tags(messages, strings))
+            for number, value in fields(group):
+                if number == 2:
+                    m = dict(fields(value))
+                    ids, lats, lons = (np.cumsum(packed(m.get(k, b""), True)) for k in (1, 8, 9))
+                    yield _batch("node", pa.array(ids), pa.array(degrees(lats, lat_offset)), pa.array(degrees(lons, lon_offset)), _dense_tags(packed(m.get(10, b"")), len(ids), strings))
+        elif messages and element == "way":
+            refs = [np.cumsum(packed(m.get(8, b""), True)) for m in messages]
+            yield _batch("way", pa.array([_int64(m[1]) for m in messages], pa.int64()), _lists(refs, pa.array(np.concatenate(refs))), _tags(messages, strings))
+        elif messages:
+            kinds, roles = ([packed(m.get(k, b"")) for m in messages] for k in (10, 8))
+            refs = [np.cumsum(packed(m.get(9, b""), True)) for m in messages]
+            names = pa.array(["node", "way", "relation"]).take(pa.array(np.concatenate(kinds)))
+            members = pa.StructArray.from_arrays([names, pa.array(np.concatenate(refs)), strings.take(pa.array(np.concatenate(roles)))], ["type", "ref", "role"])
+            yield _batch("relation", pa.array([_int64(m[1]) for m in messages], pa.int64()), _lists(refs, members), _tags(messages, strings))
+
+
+ARROW_TAGS = pa.list_(pa.struct([("k", pa.string()), ("v", pa.string())]))
+ARROW = {
+    "node": pa.schema([("id", pa.int64()), ("lat", pa.float64()), ("lon", pa.float64()), ("tags", ARROW_TAGS)]),
+    "way": pa.schema([("id", pa.int64()), ("refs", pa.list_(pa.int64())), ("tags", ARROW_TAGS)]),
+    "relation": pa.schema([("id", pa.int64()), ("members", pa.list_(pa.struct([("type", pa.string()), ("ref", pa.int64()), ("role", pa.string())]))), ("tags", ARROW_TAGS)]),
+}
+
+
+def _batch(element: str, *columns: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, ARROW[element])], schema=ARROW[element])
+
+
+def _lists(parts: list[np.ndarray], values: pa.Array) -> pa.ListArray:
+    """``values`` cut into lists as long as the parts."""
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), values)
+
+
+def _pairs(keys: np.ndarray, values: np.ndarray, strings: pa.Array) -> pa.StructArray:
+    return pa.StructArray.from_arrays([strings.take(pa.array(keys)), strings.take(pa.array(values))], ["k", "v"])
+
+
+def _tags(messages: list[dict], strings: pa.Array) -> pa.ListArray:
+    keys, values = ([packed(m.get(k, b"")) for m in messages] for k in (2, 3))
+    return _lists(keys, _pairs(np.concatenate(keys), np.concatenate(values), strings))
+
+
+def _dense_tags(flat: np.ndarray, n: int, strings: pa.Array) -> pa.ListArray:
+    """Tags of dense nodes: key, value, key, value ..., a zero after each node; nothing at all where no node has any."""
+    if not len(flat):
+        counts, pairs = np.zeros(n, np.int64), np.zeros((0, 2), np.int64)
+    else:
+        ends = np.flatnonzero(flat == 0)
+        sizes = np.diff(np.r_[-1, ends]) - 1
+        if (sizes % 2).any():  # a zero that is a value, the string at place 0, follows its key and makes a size odd
+            ends, at = [], 0
+            for _ in range(n):
+                while flat[at]:
+                    at += 2
+                ends.append(at)
+                at += 1
+            ends = np.array(ends)
+        counts = (np.diff(np.r_[-1, ends[:n]]) - 1) // 2
+        pairs = np.delete(flat[: ends[n - 1]], ends[: n - 1]).reshape(-1, 2) if n else np.zeros((0, 2), np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), _pairs(pairs[:, 0], pairs[:, 1], strings))
 
 
 def _open(path: str):
@@ -194,7 +230,7 @@ class PbfReader(DataSourceReader):
                     size += length
         return runs
 
-    def read(self, partition: BlobRun) -> Iterator[tuple]:
+    def read(self, partition: BlobRun) -> Iterator[pa.RecordBatch]:
         with _open(self.path) as file:
             for at, length in partition.places:
                 file.seek(at)

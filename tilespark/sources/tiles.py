@@ -6,13 +6,14 @@ A layer is a Parquet table partitioned by level and tile, so that a viewport rea
 from __future__ import annotations
 
 import json
-import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.manifest import LAYERS
 from ..schema import MAP_INDEX
+from .store import file_system, put_file
 
 
 def region_path(root: str, region: str) -> str:
@@ -27,12 +28,17 @@ def index_path(root: str, region: str) -> str:
     return f"{region_path(root, region)}/index.json"
 
 
+def draft_path(root: str, region: str) -> str:
+    """A new folder beside the tiles, on the same store, for what one run needs only."""
+    return f"{region_path(root, region)}/_draft-{uuid.uuid4().hex}"
+
+
 def write_layers(layers: dict[str, DataFrame], root: str, region: str) -> None:
-    """Write all layers; tiles that are not among the rows stay as they are. Rows of a tile and level go to one file, and
-    large ones are split by Spark's own limit on records for each file."""
+    """Write all layers; tiles that are not among the rows stay as they are. Rows of a tile and level go to few files: the
+    hint lets Spark part a tile that is large and put small ones into one task, which a plain repartition does not."""
     for name in LAYERS:
-        rows = layers[name]
-        rows.repartition("lod", "tile_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", 1_000_000).partitionBy("lod", "tile_id").parquet(layer_path(root, region, name))
+        rows = layers[name].hint("rebalance", "lod", "tile_id")
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", 1_000_000).partitionBy("lod", "tile_id").parquet(layer_path(root, region, name))
 
 
 def read_layer(spark: SparkSession, root: str, region: str, layer: str) -> DataFrame:
@@ -59,13 +65,17 @@ def write_index(index: DataFrame, root: str, region: str) -> str:
     """The one-row index as pretty JSON, put in place at once."""
     path = index_path(root, region)
     document = json.loads(index.select(F.to_json(F.struct(*index.columns), {"ignoreNullFields": "false"})).first()[0])
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    draft = f"{path}.{os.getpid()}.tmp"
-    with open(draft, "w") as file:
-        json.dump(document, file, indent=2)
-    os.replace(draft, path)
+    put_file(index.sparkSession, path, json.dumps(document, indent=2).encode())
     return path
 
 
+def index_rows(spark: SparkSession, root: str, region: str) -> DataFrame | None:
+    """The tiles of the index, a row each; null if there is no index. One that cannot be read is an error."""
+    target, store = file_system(spark, index_path(root, region))
+    if not store.exists(target):
+        return None
+    return spark.read.schema(MAP_INDEX).option("mode", "FAILFAST").json(index_path(root, region), multiLine=True).select(F.explode("tiles").alias("t")).select("t.*")
+
+
 def read_index(spark: SparkSession, root: str, region: str) -> DataFrame:
     return spark.read.schema(MAP_INDEX).json(index_path(root, region), multiLine=True)

@@ -70,31 +70,67 @@ def zoom_fold(inputs: DataFrame, viewer: str, order: list[str], start: float, lo
     return inputs.groupBy(viewer).agg(frames.alias("f")).select(viewer, F.aggregate("f", begin, step).alias("s"), F.size("f").cast("bigint").alias("frames")).select(viewer, F.col("s.target").alias("target_scale"), F.col("s.scale").alias("scale"), "frames")
 
 
-def load_evict(views: DataFrame, viewer: str, order: list[str]) -> DataFrame:
-    """Adds load and evict: what each frame adds to the tiles of the frame before, and takes away."""
-    before = F.coalesce(F.lag("visible").over(Window.partitionBy(viewer).orderBy(*order)), F.array().cast("array<bigint>"))
-    return views.withColumn("before", before).withColumns({"load": F.array_except("visible", "before"), "evict": F.array_except("before", "visible")}).drop("before")
+def desired(views: DataFrame, available: DataFrame | None = None, opens: Column | None = None) -> DataFrame:
+    """Rows of ``views`` once for each visible tile, as tile_id, and whether it can be opened in this frame; tile_id is null
+    for tiles that are not baked, and in the one row of a frame that sees none. ``available`` (tile_id): the tiles there are, all if not given.
+    ``opens``: over a row with tile_id, whether opening succeeds; always if not given."""
+    rows = views.withColumn("tile_id", F.explode_outer("visible")).drop("visible")
+    if available is not None:
+        there = available.select(F.col("tile_id").alias("there_")).distinct()
+        rows = rows.join(there, F.col("tile_id") == F.col("there_"), "left").withColumn("tile_id", F.col("there_")).drop("there_")
+    return rows.withColumn("opens", F.lit(True) if opens is None else F.coalesce(opens, F.lit(False)))
+
+
+def load_evict(views: DataFrame, viewer: str, order: list[str], frame: str, available: DataFrame | None = None, opens: Column | None = None) -> DataFrame:
+    """(viewer, frame, action, tile_id): what each frame loads, and what it evicts.
+
+    A tile is wanted as long as it is visible and available. Of every run of frames that want it, the first one that can
+    open it loads it, so a failed open is tried again in the next frame; the frame after the run evicts it if it was loaded.
+    """
+    by_frame = Window.partitionBy(viewer).orderBy(*order)
+    frames = views.select(viewer, frame, F.row_number().over(by_frame).alias("i"))
+    wanted = desired(views, available, opens).filter("tile_id is not null").select(viewer, frame, "tile_id", "opens").join(frames, [viewer, frame])
+    run = F.col("i") - F.row_number().over(Window.partitionBy(viewer, "tile_id").orderBy("i"))
+    runs = wanted.withColumn("run", run).groupBy(viewer, "tile_id", "run").agg(F.min(F.when(F.col("opens"), F.col("i"))).alias("first"), F.max("i").alias("last")).filter("first is not null")
+    event = lambda action, i: F.struct(F.lit(action).alias("action"), i.alias("i"))
+    events = runs.select(viewer, "tile_id", F.explode(F.array(event("load", F.col("first")), event("evict", F.col("last") + 1))).alias("e")).select(viewer, "tile_id", "e.*")
+    return events.join(frames, [viewer, "i"]).select(viewer, frame, "action", "tile_id")  # no frame after the last one
 
 
 FRAME = "user_id bigint, event_id bigint, lod int, load array<bigint>, evict array<bigint>"
 
 
-def load_evict_stream(views: DataFrame) -> DataFrame:
-    """The same over a stream of (user_id, ts, event_id, lod, visible): state is the set of tiles that a viewer holds. Rows
-    of a micro-batch are put in order first; one row is one frame."""
+def load_evict_stream(wanted: DataFrame, forget_after_ms: int | None = None) -> DataFrame:
+    """The same as a stream of ``desired`` rows (user_id, ts, event_id, lod, tile_id, opens): state is the set of tiles that
+    a viewer holds. Frames of a micro-batch are put in order first; all rows of a frame have to be in one micro-batch, as
+    ``desired`` leaves them. A viewer without a frame for ``forget_after_ms`` is forgotten; by default none is."""
 
     def frames(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         loaded = set(state.get[0]) if state.exists else set()
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         out = []
-        for r in rows.itertuples():
-            visible = {int(v) for v in r.visible}
-            out.append((key[0], r.event_id, r.lod, sorted(visible - loaded), sorted(loaded - visible)))
-            loaded = visible
+        for (_, event, lod), rows in pd.concat(list(batches)).groupby(["ts", "event_id", "lod"], sort=True):
+            there = rows[rows["tile_id"].notna()]
+            visible = {int(v) for v in there["tile_id"]}
+            new = {int(v) for v in there.loc[there["opens"], "tile_id"]} - loaded
+            out.append((key[0], event, lod, sorted(new), sorted(loaded - visible)))
+            loaded = (loaded & visible) | new
         state.update((sorted(loaded),))
+        if forget_after_ms is not None:
+            state.setTimeoutDuration(forget_after_ms)
         yield pd.DataFrame(out, columns=["user_id", "event_id", "lod", "load", "evict"])
 
-    return views.groupBy("user_id").applyInPandasWithState(frames, FRAME, "tiles array<bigint>", "append", "NoTimeout")
+    timeout = "NoTimeout" if forget_after_ms is None else "ProcessingTimeTimeout"
+    return wanted.groupBy("user_id").applyInPandasWithState(frames, FRAME, "tiles array<bigint>", "append", timeout)
+
+
+def follow(cameras: DataFrame, players: DataFrame, key: list[str]) -> DataFrame:
+    """``cameras`` (key, x, y ...) with the position of the player of the same key; one without a player stays where it is."""
+    where = players.select(*key, F.col("x").alias("player_x"), F.col("y").alias("player_y"))
+    rows = cameras.join(where, key, "left").withColumns({"x": F.coalesce("player_x", "x"), "y": F.coalesce("player_y", "y")})
+    return rows.drop("player_x", "player_y")
 
 
 def segments(points: DataFrame, key: list[str], order: str = "pos") -> DataFrame:
