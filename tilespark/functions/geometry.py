@@ -230,6 +230,15 @@ def _touching(rings: list[list[tuple]]) -> list[list[list[tuple]]]:
     return list(groups.values())
 
 
+def _plus(start: int | Fraction, part: int | Fraction, whole: int | Fraction) -> int | Fraction:
+    """start + part / whole, as an integer wherever it is one: those are many times faster."""
+    if type(start) is type(part) is type(whole) is int:
+        quotient, rest = divmod(part, whole)
+        return start + Fraction(part, whole) if rest else start + quotient
+    out = start + Fraction(part, whole)
+    return out.numerator if out.denominator == 1 else out
+
+
 def _cuts(a: tuple, b: tuple, c: tuple, d: tuple) -> list[tuple]:
     """Points of the segment ab where it meets cd."""
     dx, dy, ex, ey = b[0] - a[0], b[1] - a[1], d[0] - c[0], d[1] - c[1]
@@ -242,7 +251,7 @@ def _cuts(a: tuple, b: tuple, c: tuple, d: tuple) -> list[tuple]:
             return []
         if t in (0, cross):
             return [b if t else a]
-        return [d if u else c] if u in (0, cross) else [(a[0] + Fraction(t * dx, cross), a[1] + Fraction(t * dy, cross))]
+        return [d if u else c] if u in (0, cross) else [(_plus(a[0], t * dx, cross), _plus(a[1], t * dy, cross))]
     if _side(*a, *b, *c):
         return []
     inside = lambda p: min(a[0], b[0]) <= p[0] <= max(a[0], b[0]) and min(a[1], b[1]) <= p[1] <= max(a[1], b[1])

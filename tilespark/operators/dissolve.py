@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import shape_points, union_rings, valid_ring
+from .resolve import kernel_partitions
 
 KEYS = ["tile_id", "lod", "bucket_x", "bucket_y"]
 OUT = ["tile_id", "lod", "xs", "ys"]
@@ -72,4 +73,4 @@ def dissolve_dense(buildings: DataFrame) -> DataFrame:
     one group holds. Below level 2 nothing merges.
     """
     rows = with_bucket(buildings, counted=False).select(*KEYS, "xs", "ys", "snap_m", "min_building_box", "dense")
-    return rows.repartition(*KEYS).sortWithinPartitions(*KEYS).mapInPandas(merge_buckets, "tile_id bigint, lod int, xs array<double>, ys array<double>")
+    return rows.repartition(kernel_partitions(rows.sparkSession), *KEYS).sortWithinPartitions(*KEYS).mapInPandas(merge_buckets, "tile_id bigint, lod int, xs array<double>, ys array<double>")

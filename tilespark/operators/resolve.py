@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.classify import outer_members
@@ -25,6 +25,12 @@ def stitched_rings(segments: DataFrame) -> DataFrame:
     return segments.select("rel_id", F.posexplode(stitch_udf("segments")).alias("ring_no", "refs"))
 
 
+def kernel_partitions(spark: SparkSession) -> int:
+    """Partitions for work by geometry kernels, which is heavy for few bytes: Spark keeps a number that is given, while it
+    would put small partitions of its own together."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+
 #: Words of the bitmap of needed nodes, whatever their number.
 NEEDED_WORDS = 1 << 18
 
@@ -46,6 +52,7 @@ def resolve_points(features: DataFrame, nodes: DataFrame, key: str, least: int)
     points, is dropped whole. ``features``: key, refs. ``nodes``: id, x, y."""
     refs = features.select(key, F.posexplode("refs").alias("pos", "node_id"))
     found = refs.join(needed_nodes(nodes, refs).select(F.col("id").alias("node_id"), "x", "y"), "node_id", "left")
+    found = found.repartition(kernel_partitions(features.sparkSession), key)
     points = found.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.count("x").alias("known"), F.sort_array(F.collect_list(F.struct("pos", "x", "y"))).alias("points"))
     return points.filter((F.col("n") == F.col("known")) & (F.col("n") >= least)).select(key, F.transform("points", lambda p: p["x"]).alias("xs"), F.transform("points", lambda p: p["y"]).alias("ys"))
 
@@ -53,6 +60,7 @@ def resolve_points(features: DataFrame, nodes: DataFrame, key: str, least: int)
 def point_arrays(points: DataFrame, key: str) -> DataFrame:
     """(key, xs, ys) of rows (key, pos, x, y)."""
     ordered = F.sort_array(F.collect_list(F.struct("pos", "x", "y")))
+    points = points.repartition(kernel_partitions(points.sparkSession), key)
     return points.groupBy(key).agg(ordered.alias("p")).select(key, F.transform("p", lambda p: p["x"]).alias("xs"), F.transform("p", lambda p: p["y"]).alias("ys"))
 
 
