@@ -20,8 +20,8 @@ from .common import SPACE, WORD, let, shared_checkpoint, unused
 FIELD = "<*>"
 #: A token that holds a digit. Begins only where a token begins, so it never scans a token twice.
 VARIABLE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
-#: Words of the bitmap that tells which leaves may be open; its size is the same for any input.
-FILTER_WORDS = 1 << 18
+#: Words of a bitmap that tells which keys are wanted; its size is the same for any input.
+FILTER_WORDS = 1 << 17
 TEMPLATE = ("template", "check")
 TEMPLATE_OF_P = tuple(f"p.{c}" for c in TEMPLATE)
 
@@ -60,33 +60,37 @@ def place_in_tree(docs: DataFrame, depth: int, min_tokens: int, open_from: int,
     return rows.select("doc_id", "row_id", "line_no", "p.leaf", *TEMPLATE_OF_P, *["p.line"] * with_line)
 
 
-def lines_of_leaves(docs: DataFrame, wanted: DataFrame, depth: int, min_tokens: int, open_from: int) -> DataFrame:
-    """The parsed lines that may lie in a leaf of ``wanted``, by a broadcast bitmap; a few others pass too."""
-    word, bit = F.pmod(F.col("leaf"), F.lit(FILTER_WORDS)), F.expr("shiftleft(1L, cast(shiftrightunsigned(leaf, 20) & 63 as int))")
-    bitmap = wanted.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))  # FILTER_WORDS rows at most
-    parsed = place_in_tree(docs, depth, min_tokens, open_from, with_line=True).withColumn("word", word).withColumn("bit", bit)
-    return parsed.join(F.broadcast(bitmap), "word").filter(F.col("bits").bitwiseAND(F.col("bit")) != 0)
+def may_match(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose ``key`` may be among the keys of ``wanted``, by a broadcast bitmap of fixed size; a few others pass
+    too, more as the bitmap fills, so an exact join has to follow. It spares that join's shuffle all other rows."""
+    word, bit = F.pmod(F.col(key), F.lit(FILTER_WORDS)), F.expr(f"shiftleft(1L, cast(shiftrightunsigned({key}, 20) & 63 as int))")
+    bitmap = wanted.groupBy(word.alias("word_")).agg(F.bit_or(bit).alias("bits_"))  # FILTER_WORDS rows at most
+    met = rows.withColumn("bit_", bit).join(F.broadcast(bitmap), word == F.col("word_"))
+    return met.filter(F.col("bits_").bitwiseAND(F.col("bit_")) != 0).drop("word_", "bits_", "bit_")
 
 
-def one_place_cuts(places: DataFrame) -> DataFrame:
-    """(template, check, cut) of templates that equal another one of the leaf in all places but one. Each template stands once
-    under every place, with a hash of the rest, so no pair of templates is formed."""
+def one_place_cuts(lines: DataFrame) -> DataFrame:
+    """(t, cut) of templates that equal another one of the leaf in all places but one. Each template stands once under every
+    place, with a hash of the rest, so no pair of templates is formed."""
+    rest = lambda token, place: F.xxhash64("leaf", place, F.col("whole").bitwiseXOR(token))
+    places = lines.select("t", "first_doc", "last_doc", F.explode(F.transform("hashes", rest)).alias("rest"))
     groups = places.groupBy("rest").agg(F.min("first_doc").alias("cut"), F.count(F.lit(1)).alias("m")).filter("m > 1")
     groups = shared_checkpoint(groups.select("rest", "cut"))
-    return places.join(groups, "rest").filter("last_doc > cut").select(*TEMPLATE, "cut")
+    return may_match(places, "rest", groups).select("t", "last_doc", "rest").join(groups, "rest").filter("last_doc > cut").select("t", "cut")
 
 
-def rare_token_cuts(places: DataFrame, constant_share: float) -> DataFrame:
-    """(template, check, cut) of templates that are equal once the tokens that no other template of the leaf has at their
-    place are variable fields."""
+def rare_token_cuts(lines: DataFrame, constant_share: float) -> DataFrame:
+    """(t, cut) of templates that are equal once the tokens that no other template of the leaf has at their place are
+    variable fields."""
+    places = lines.select("t", "first_doc", "last_doc", F.explode("hashes").alias("token"))
     constant = places.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("first_doc").alias("a"), F.max("last_doc").alias("b")).filter("m > 1 and a < b")
-    constant = shared_checkpoint(constant.select("token", F.lit(True).alias("fixed")))
-    marked = places.join(constant, "token", "left").groupBy(*TEMPLATE, "leaf", "first_doc", "last_doc").agg(
-        F.count(F.lit(1)).alias("n"), F.count("fixed").alias("n_fixed"), F.bit_xor(F.when(F.col("fixed"), F.col("token"))).alias("parts"))
-    marked = marked.filter((F.col("n_fixed") < F.col("n")) & (F.col("n_fixed") >= constant_share * F.col("n")))
-    general = shared_checkpoint(marked.select(*TEMPLATE, "first_doc", "last_doc", F.xxhash64("leaf", "n", "parts").alias("general")))
+    constant = shared_checkpoint(constant.select("token"))
+    fixed = may_match(places, "token", constant).select("t", "token").join(constant, "token").groupBy("t").agg(F.count(F.lit(1)).alias("n_fixed"), F.bit_xor("token").alias("parts"))
+    size = F.size("hashes")
+    marked = lines.join(fixed, "t").filter((F.col("n_fixed") < size) & (F.col("n_fixed") >= constant_share * size))
+    general = shared_checkpoint(marked.select("t", "first_doc", "last_doc", F.xxhash64("leaf", "n_fixed", "parts").alias("general")))
     cuts = shared_checkpoint(general.groupBy("general").agg(F.min("first_doc").alias("cut")))
-    return general.join(cuts, "general").filter("last_doc > cut").select(*TEMPLATE, "cut")
+    return general.join(cuts, "general").filter("last_doc > cut").select("t", "cut")
 
 
 def variant_cuts(docs: DataFrame, templates: DataFrame, *, depth: int, min_tokens: int, open_from: int, constant_share: float) -> DataFrame:
@@ -94,18 +98,18 @@ def variant_cuts(docs: DataFrame, templates: DataFrame, *, depth: int, min_token
     any of the variants.
 
     Templates that recur exactly take part like all others, each as one row, so that more copies of a variant never part
-    it from the others. A bitmap of fixed size over the open leaves is broadcast, so that of all other lines few travel; a
-    fuller bitmap lets more lines pass, and the join that follows is exact.
+    it from the others.
     """
     leaves = templates.filter("leaf is not null").groupBy("leaf").agg(F.count(F.lit(1)).alias("m"), F.min("first_doc").alias("a"), F.max("last_doc").alias("b")).filter("m > 1 and a < b").select("leaf")
     wanted = shared_checkpoint(templates.join(leaves, "leaf").select("leaf", *TEMPLATE, "first_doc", "last_doc"))
-    lines = lines_of_leaves(docs, wanted, depth, min_tokens, open_from).groupBy(*TEMPLATE).agg(F.max("line").alias("line"))
+    parsed = may_match(place_in_tree(docs, depth, min_tokens, open_from, with_line=True), "leaf", wanted)
+    texts = parsed.groupBy(*TEMPLATE).agg(F.max("line").alias("line"))
     hashes = F.transform(F.split("line", " "), lambda token, place: F.xxhash64("leaf", place, token))
-    lines = lines.join(wanted, [*TEMPLATE]).select(*TEMPLATE, "leaf", "first_doc", "last_doc", hashes.alias("hashes"))
     whole = F.aggregate("hashes", F.lit(0).cast("long"), lambda a, b: a.bitwiseXOR(b))
-    places = lines.withColumn("whole", whole).select(*TEMPLATE, "leaf", "first_doc", "last_doc", "whole", F.posexplode("hashes").alias("place", "token"))
-    places = shared_checkpoint(places.withColumn("rest", F.xxhash64("leaf", "place", F.col("whole").bitwiseXOR(F.col("token")))).drop("whole", "place"))
-    return one_place_cuts(places).unionByName(rare_token_cuts(places, constant_share)).groupBy(*TEMPLATE).agg(F.min("cut").alias("cut"))
+    lines = texts.join(wanted, [*TEMPLATE]).select(*TEMPLATE, "leaf", "first_doc", "last_doc", hashes.alias("hashes"))
+    lines = shared_checkpoint(lines.withColumns({"whole": whole, "t": F.monotonically_increasing_id()}))
+    cuts = one_place_cuts(lines).unionByName(rare_token_cuts(lines, constant_share)).groupBy("t").agg(F.min("cut").alias("cut"))
+    return lines.select("t", *TEMPLATE).join(cuts, "t").drop("t")
 
 
 def drop_recurring_lines(
@@ -129,7 +133,7 @@ def drop_recurring_lines(
     cuts = variant_cuts(small, templates, depth=depth, min_tokens=min_tokens, open_from=open_from, constant_share=constant_share)
     early = F.least("first_doc", "cut")  # of two values the one that is not null
     known = shared_checkpoint(templates.join(cuts, [*TEMPLATE], "left").select(*TEMPLATE, early.alias("early"), "last_doc").filter("last_doc > early"))
-    found = keys.drop("leaf").join(known, [*TEMPLATE]).filter("doc_id > early")
+    found = may_match(keys.drop("leaf"), "template", known).join(known, [*TEMPLATE]).filter("doc_id > early")
     id_, row, drops = unused(docs, "id_", "row_", "drops_")
     dropped = found.groupBy(F.col("doc_id").alias(id_), F.col("row_id").alias(row)).agg(F.collect_set("line_no").alias(drops))
     lines = F.split(text, "\n", -1)
