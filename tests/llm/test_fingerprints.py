@@ -57,6 +57,12 @@ def test_groups_merge_like_their_union(spark):
         assert merged[g] == own
 
 
+def test_groups_without_hashes_and_of_copies(spark):
+    rows = spark.createDataFrame([(0, []), (1, None), (2, [5, 1]), (2, [5, 1]), (None, [3])] + [(3, [i, i + 1]) for i in range(500)], "g int, s array<long>")
+    merged = {r["g"]: r["s"] for r in FP.merge_groups(rows, ["g"], "s", 4).collect()}
+    assert merged == {0: [], 1: [], 2: [1, 5], None: [3], 3: [0, 1, 2, 3]}
+
+
 def test_awkward(awkward, nothing):
     rows = FP.fingerprint_edits(awkward).collect()
     assert len(rows) == len(awkward_rows()) and all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in rows)

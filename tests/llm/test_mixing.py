@@ -71,3 +71,15 @@ def test_awkward(awkward, nothing):
     assert len(rows) == len(awkward_rows()) and all(r["taken"] <= 2 * r["size"] for r in rows)
     assert M.mix_sources(nothing).count() == 0
     assert {r["taken"] for r in M.mix_sources(awkward.filter("doc_id IN (30, 31, 32)")).collect()} == {0}
+
+
+def test_many_rows_alike_are_parted(spark):
+    """One id and size for most rows: no block holds them all, and the target is met all the same."""
+    docs = spark.createDataFrame([(7, "four words of text", "en", "a", 0)] * 900 + [(i, "some other words " * (i % 9 + 1), "en", "a", 0) for i in range(100)], DOCS).repartition(4)
+    rows = M.mix_sources(docs, block_rows=64).collect()
+    total = sum(r["size"] for r in rows)
+    assert len(rows) == 1000 and abs(sum(r["taken"] for r in rows) - 1.5 * total) <= 27 and {r["copies"] for r in rows} <= {1, 2}
+    sized = docs.selectExpr("doc_id", "source", "cast(size(split(text, ' ')) as long) AS size")
+    parted = M.part_repeats(sized, 64)
+    assert parted.filter("turn <> 0").select("turn").distinct().count() >= 899 and parted.count() == 1000
+    assert M.part_repeats(sized, 1000).filter("turn <> 0").count() == 0

@@ -79,3 +79,11 @@ def test_like_documents_are_neighbours():
     assert changes < 12
     assert P.hashed_counts("abcdefgh" * 50, block=64).tolist() == P.hashed_counts("abcdefgh" * 50).tolist()
     assert zlib.crc32(b"") == 0
+
+
+def test_rows_alike_are_dealt_to_several_ranges(spark):
+    docs = spark.createDataFrame([(7, "the same words in every row " * 20, "en", "s", 0)] * 600 + [(i, f"others {i}", "en", "s", 0) for i in range(8, 20)], DOCS).repartition(5)
+    rows = P.pack(docs, PATH).collect()
+    whole = {r["doc_id"]: r["doc_tokens"] for r in rows}
+    assert sum(r["length"] for r in rows) == 600 * whole[7] + sum(n for i, n in whole.items() if i != 7)
+    assert len({r["sequence_id"] >> 40 for r in rows if r["doc_id"] == 7}) > 1

@@ -114,6 +114,18 @@ def test_documents(spark):
     assert got == components(fp, linked) and got[201] == 200 and got[101] == 1
 
 
+def test_query(spark):
+    from tilespark.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = QUERIES["op10_simhash_dedup"](spark, sf).collect()
+    assert {r["doc_id"]: r["fingerprint"] for r in rows} == {i: f"{by_hand(t):016x}" for i, t in texts.items()}
+    fp = {r["doc_id"]: int(r["fingerprint"], 16) for r in rows}
+    linked = [(a, b) for a in fp for b in fp if a < b and (fp[a] ^ fp[b]).bit_count() <= 4]
+    assert {r["doc_id"]: r["component_id"] for r in rows} == components(fp, linked)
+
+
 def test_awkward(awkward, nothing):
     rows = S.near_duplicates(awkward).collect()
     assert len(rows) == len(awkward_rows()) and len({r["component_id"] for r in rows if r["doc_id"] in (30, 31, 32)}) == 1

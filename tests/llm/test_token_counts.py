@@ -31,6 +31,25 @@ def test_trie_equals_brute_force():
     assert len(trie) < sum(map(len, trie.terminal)) + 1  # prefixes are shared
 
 
+def test_very_long_words(monkeypatch):
+    """Words that reach beyond the trie, alone and with a prefix in common, against the same brute force."""
+    pieces, rng = T.load_pieces(PATH), random.Random(6)
+    monkeypatch.setattr(T, "DEEP", 12)
+    trie = T.ForwardTrie(pieces)
+    start = "".join(rng.choice("abcdetionsr") for _ in range(30))
+    for n in (11, 12, 13, 40, 400):
+        for _ in range(10):
+            word = T.MARK + start[: rng.randint(0, 30)] + "".join(rng.choice("abcdeéß漢tionsr") for _ in range(n))
+            assert trie.insert(word) == brute(pieces, trie.worst, word)
+    assert max(map(len, trie.terminal), default=0) <= 12 and len(trie) < 12 * 60
+
+
+def test_one_huge_word_leaves_the_trie_small(spark):
+    docs = spark.createDataFrame([(0, "ab" * 300_000 + " tion", "en", "s", 0), (1, "ab tion", "en", "s", 0)], DOCS)
+    got = {r["doc_id"]: r["n_tokens"] for r in T.token_counts(docs, PATH, max_nodes=100).collect()}
+    assert got[0] > 50_000 and got[1] == sum(brute(T.load_pieces(PATH), T.ForwardTrie(T.load_pieces(PATH)).worst, T.MARK + w) for w in ("ab", "tion"))
+
+
 def test_counts(spark):
     rng = random.Random(5)
     texts = [prose(rng, rng.randint(0, 50)) for _ in range(40)]

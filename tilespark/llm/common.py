@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import sys
-import tempfile
-import types
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import shared_folder
+
 #: The word of the contracts: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -18,18 +16,24 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Bound what one Arrow batch can hold, so that very long texts do not meet in one Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+#: Rows and bytes of one Arrow batch.
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what one Arrow batch can hold, so that very long texts do not meet in one Python worker.
+
+    Spark reads these settings when a plan runs, which is after the operator has returned, so they stay in the session; all
+    operators set the same ones."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the folder named in spark.checkpoint.dir; a private one only where none is set."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """Cut the lineage through the shared folder."""
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -37,17 +41,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def worker_cache() -> dict:
-    """A dictionary that lives as long as the Python process: what one task has built there, the next one finds."""
-    return sys.modules.setdefault("tilespark_worker_cache", types.ModuleType("tilespark_worker_cache")).__dict__
-
-
 def id_remainder(doc_id: Column, modulus: int = 5) -> Column:
     """crc32 of the id as text, modulo; a null id counts as remainder 0 (held out, never learned from)."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % modulus, F.lit(0))
 
 
-
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z only, whatever the locale and the other letters."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -137,13 +137,13 @@ def usable(rows: DataFrame, id_col: str, vector_col: str, label_col: str) -> tup
 
 
 def sized(points: DataFrame, leaf_rows: int) -> DataFrame:
-    """``points`` with the number of their space (equal labels, equal numbers of components), the depth of its trees and
-    its size class."""
+    """``points`` with their space (equal labels, equal numbers of components; named after its smallest u), the depth of its
+    trees and its size class."""
     points = shared_checkpoint(points)
     bits = F.least(F.lit(MOST_BITS), F.greatest(F.lit(0), F.ceil(F.log2(F.col("size") / leaf_rows)))).cast("long")
     cls = F.floor(F.log2("size") / 2).cast("long")  # sizes within a factor of four
-    sizes = shared_checkpoint(points.groupBy(F.col("label").alias("label_"), F.size("vec").alias("dims_")).agg(F.count(F.lit(1)).alias("size")))
-    sizes = shared_checkpoint(sizes.select("label_", "dims_", F.monotonically_increasing_id().alias("space"), bits.alias("bits"), cls.alias("cls")))
+    sizes = points.groupBy(F.col("label").alias("label_"), F.size("vec").alias("dims_")).agg(F.count(F.lit(1)).alias("size"), F.min("u").alias("space"))
+    sizes = sizes.select("label_", "dims_", "space", bits.alias("bits"), cls.alias("cls"))
     joined = points.join(sizes, (F.col("label") == F.col("label_")) & (F.size("vec") == F.col("dims_")))
     return shared_checkpoint(joined.drop("label_", "dims_"))
 
@@ -154,6 +154,8 @@ def tiles(rows: DataFrame, keys: list[str], part_rows: int) -> DataFrame:
     own = [f"{k}_" for k in keys]
     large = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > part_rows)
     large = shared_checkpoint(large.select(*(F.col(k).alias(o) for k, o in zip(keys, own)), F.ceil(F.col("m") / part_rows).alias("parts")))
+    if large.isEmpty():
+        return rows.withColumns({"tile": F.lit(0).cast("long"), "pair": F.lit(0).cast("long")}).repartition(*keys).sortWithinPartitions(*keys, "u")
     on = [F.col(k) == F.col(o) for k, o in zip(keys, own)]
     dealt = rows.join(large, on, "left").drop(*own).withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("u", *keys), F.col("parts")))
@@ -173,14 +175,15 @@ def plant(points: DataFrame, *, attempt: int, k: int, threshold: float, reach: f
             for _, part in rows.groupby(rows["vec"].map(len)):
                 x, bits = matrix(part["vec"]), part["bits"].to_numpy()
                 own = many[bits]
-                for t in range(own.max()):
-                    here = own > t
-                    tree = attempt * 4096 + t
-                    leaf = leaf_codes(x[here], bits[here], tree, seed)
-                    yield pd.DataFrame({"u": part["u"][here], "space": part["space"][here], "vec": part["vec"][here], "leaf": leaf + (tree << 32)})
-
-    schema = f"u long, space long, vec {dict(points.dtypes)['vec']}, leaf long"
-    rows = tiles(points.select("u", "space", "vec", "bits").mapInPandas(leaves, schema), ["space", "leaf"], part_rows)
+                codes = np.zeros((len(part), own.max(initial=0)), np.int64)
+                for t in range(codes.shape[1]):
+                    here, tree = own > t, attempt * 4096 + t
+                    codes[here, t] = leaf_codes(x[here], bits[here], tree, seed) + (tree << 32)
+                yield part.drop(columns="bits").assign(leaves=[c[:n] for c, n in zip(codes, own)])
+
+    schema = f"u long, space long, vec {dict(points.dtypes)['vec']}, leaves array<long>"
+    rows = points.select("u", "space", "vec", "bits").mapInPandas(leaves, schema).select("u", "space", "vec", F.explode("leaves").alias("leaf"))
+    rows = tiles(rows, ["space", "leaf"], part_rows)
     return rows.mapInPandas(by_run(["space", "leaf", "pair"], lambda r: pairs_of(r, k, reach, threshold)), PAIRS)
 
 
@@ -253,12 +256,10 @@ def shares(true: DataFrame, links: DataFrame) -> DataFrame:
     return true.join(links.select("u", "v", F.lit(1).alias("hit")), ["u", "v"], "left").groupBy("u").agg((F.count("hit") / F.count(F.lit(1))).alias("share"))
 
 
-def missed(true: DataFrame, links: DataFrame, reached: DataFrame, target: float) -> set[int]:
-    """The size classes of ``true`` (u, v, cls) whose recall is below the target. Links of ``reached`` are compared exactly
-    and count as found."""
-    exact = reached.select("u")
-    true = true.join(exact.withColumn("in_", F.lit(True)), "u", "left").join(exact.select(F.col("u").alias("v"), F.lit(True).alias("also_")), "v", "left")
-    seen = true.filter("in_ is not null and also_ is not null").select("u", "v")
+def missed(true: DataFrame, links: DataFrame, full: DataFrame, target: float) -> set[int]:
+    """The size classes of ``true`` (u, v, cls) whose recall is below the target. Links of ``full``, whose components are
+    compared whole in the end, count as found."""
+    seen = true.join(full.select("u"), "u", "left_semi").select("u", "v")
     recall = shares(true.select("u", "v"), links.select("u", "v").unionByName(seen).distinct()).join(true.select("u", "cls").distinct(), "u").groupBy("cls").agg(F.avg("share").alias("r"))
     return {r["cls"] for r in recall.filter(F.col("r") < target).collect()}
 
@@ -289,7 +290,7 @@ def exact_links(points: DataFrame, members: DataFrame, threshold: float, part_ro
 
 def near_duplicates(
     rows: DataFrame, *, threshold: float = 0.93, k: int = 10, rounds: int = 2, together: float = 0.99, target: float = 0.95, audits: int = 256, most_tries: int = 4,
-    leaf_rows: int = 256, part_rows: int = 512, widen: float = 1.5, seed: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
+    leaf_rows: int = 256, part_rows: int = 512, widen: float = 1.5, settled: float = 0.001, seed: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) per row of ``rows``, whatever other columns it has.
 
@@ -300,7 +301,8 @@ def near_duplicates(
     equal. An empty table gives an empty table.
 
     Lists hold neighbours within ``widen`` times the angle of the threshold. ``together`` is the chance that the trees of
-    one attempt bring a pair at the threshold together, ``target`` the recall that the audit demands.
+    one attempt bring a pair at the threshold together, ``target`` the recall that the audit demands. Rounds end early when
+    one adds no more than the share ``settled`` of pairs.
     """
     small_batches(rows.sparkSession)
     points, every = usable(rows, id_col, vector_col, label_col)
@@ -308,35 +310,38 @@ def near_duplicates(
     reach = math.cos(min(math.pi / 2, widen * math.acos(max(-1.0, min(1.0, threshold)))))
     picked = sample(points, audits)
     true = shared_checkpoint(true_links(points, picked, threshold).join(points.select("u", "cls"), "u")) if picked else None
-    found, todo, failing = None, points, set()
+    found, todo, failing, full = None, points, set(), None
     for attempt in range(most_tries):
         size = k << attempt
         grown = plant(todo, attempt=attempt, k=size, threshold=threshold, reach=reach, together=together, part_rows=part_rows, seed=seed)
         found = shared_checkpoint(grown if found is None else grown.unionByName(found))
         for _ in range(rounds):
             more = refine(nearest(found, size), todo, size, reach, threshold)
-            found = shared_checkpoint(found.unionByName(more).groupBy("u", "v").agg(F.max("s").alias("s"), F.max("listed").alias("listed")))
+            before, found = found, shared_checkpoint(found.unionByName(more).groupBy("u", "v").agg(F.max("s").alias("s"), F.max("listed").alias("listed")))
+            if found.count() <= (1 + settled) * before.select("u", "v").distinct().count():
+                break
         near = found.filter(F.col("s") >= threshold)
         links = shared_checkpoint(near.select("u", "v").unionByName(near.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-        named = shared_checkpoint(connected_components(links.select(F.col("u").alias("a"), F.col("v").alias("b"))))
         # only a vector with as many links as its list holds can have lost some
-        full = links.groupBy("u").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") >= size).select(F.col("u").alias("node"))
-        dense = shared_checkpoint(full.join(named, "node").select("component").distinct())
-        reached = shared_checkpoint(named.join(dense, "component", "left_semi").select(F.col("node").alias("u"), "component"))
-        failing = missed_planted(picked, attempt + 1, threshold, together, target, seed) | (missed(true, links, reached, target) if picked else set())
-        if not failing and (attempt or reached.isEmpty()):
+        full = shared_checkpoint(links.groupBy("u").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") >= size).select("u"))
+        failing = missed_planted(picked, attempt + 1, threshold, together, target, seed) | (missed(true, links, full, target) if picked else set())
+        if not failing and (attempt or full.isEmpty()):
             break
-        again = points.filter(F.col("cls").isin(list(failing))) if failing else points.filter("false")
-        todo = shared_checkpoint(again.unionByName(points.join(reached.select("u"), "u", "left_semi").select(points.columns)).distinct())
-    # classes that miss the target after all are compared whole, full lists with all of their component
-    whole = points.filter(F.col("cls").isin(list(failing))).select("u", (F.col("space") * 2).alias("group")) if failing else None
-    members = reached.select("u", (F.col("component") * 2 + 1).alias("group"))
-    if whole is not None:
+        around = full.unionByName(links.join(full, "u").select(F.col("v").alias("u"))).distinct()
+        again = F.col("cls").isin(list(failing)) if failing else F.lit(False)
+        todo = shared_checkpoint(points.join(around.withColumn("around_", F.lit(True)), "u", "left").filter(again | F.col("around_")).select(points.columns))
+    named = shared_checkpoint(connected_components(links.select(F.col("u").alias("a"), F.col("v").alias("b"))))
+    # full lists are compared with all of their component, classes that miss the target after all are compared whole
+    dense = full.join(named, F.col("u") == F.col("node")).select("component").distinct()
+    members = named.join(dense, "component", "left_semi").select(F.col("node").alias("u"), (F.col("component") * 2 + 1).alias("group"))
+    if failing:
+        whole = points.filter(F.col("cls").isin(list(failing))).select("u", (F.col("space") * 2).alias("group"))
         members = members.join(whole.select("u"), "u", "left_anti").unionByName(whole)
     members = shared_checkpoint(members)
     exact = shared_checkpoint(exact_links(points, members, threshold, part_rows))
-    joins = links.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(exact.filter("v is not null").select(F.col("u").alias("a"), F.col("v").alias("b")))
-    named = shared_checkpoint(connected_components(joins))
+    if failing:  # else all that is found within a component was joined before
+        joins = links.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(exact.filter("v is not null").select(F.col("u").alias("a"), F.col("v").alias("b")))
+        named = shared_checkpoint(connected_components(joins))
     # links of members are counted above, all within their group; those of others come from the lists
     sparse = links.join(members.select("u"), "u", "left_anti").join(points.select(F.col("u").alias("v"), "n"), "v").select("u", F.col("n").alias("links"))
     counted = exact.select("u", "links").unionByName(sparse).groupBy("u").agg(F.sum("links").alias("links"))

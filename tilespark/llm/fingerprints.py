@@ -52,13 +52,14 @@ def containment(a: Column, b: Column, k: int = K) -> Column:
     return F.when(F.size(a) == 0, 1.0).otherwise(F.least(F.lit(1.0), j * (na + nb) / ((1 + j) * na)))
 
 
-def merge_groups(rows: DataFrame, keys: list[str], column: str, k: int = K, salts: int = 32) -> DataFrame:
-    """One sketch for each group, merged in two steps so that no task gets a large group whole."""
-    def join(lists: Column) -> Column:
-        return F.reduce(lists, F.array().cast("array<bigint>"), lambda x, y: merge(x, y, k))
-
-    salted = rows.groupBy(*keys, F.pmod(F.xxhash64(column), F.lit(salts)).alias("salt_")).agg(join(F.collect_list(column)).alias(column))
-    return salted.groupBy(*keys).agg(join(F.collect_list(column)).alias(column))
+def merge_groups(rows: DataFrame, keys: list[str], column: str, k: int = K) -> DataFrame:
+    """One sketch for each group: the ``k`` smallest of its distinct hashes. The limit by rank is applied before the
+    exchange too, so a task sees no more than ``k`` hashes of a group from each other task, however large the group is. A
+    group of empty or null sketches has an empty one."""
+    hashes = rows.select(*keys, F.explode_outer(column).alias("hash_")).distinct()
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("hash_").asc_nulls_last()))
+    least = hashes.withColumn("rank_", rank).filter(F.col("rank_") <= k)
+    return least.groupBy(*keys).agg(F.sort_array(F.collect_list("hash_")).alias(column))
 
 
 def to_hex(a: Column) -> Column:

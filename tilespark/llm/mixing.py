@@ -85,6 +85,18 @@ def _level(seed: int, fan: int):
     return run
 
 
+def part_repeats(sized: DataFrame, block_rows: int) -> DataFrame:
+    """``sized`` with ``turn``: 0, but for rows of an id and size that stand more than ``block_rows`` times in a source, which
+    one block could not hold: those are numbered apart by their place in the checkpoint."""
+    same = [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in ("source", "doc_id", "size")]
+    many = sized.groupBy(*(F.col(c).alias(f"{c}_") for c in ("source", "doc_id", "size"))).agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > block_rows)
+    many = shared_checkpoint(many.drop("m").withColumn("many", F.lit(True)))
+    if many.isEmpty():
+        return sized.withColumn("turn", F.lit(0).cast("long"))
+    placed = sized.withColumn("turn", F.monotonically_increasing_id()).join(many, same[0] & same[1] & same[2], "left")
+    return placed.select("doc_id", "source", "size", F.when(F.col("many"), F.col("turn")).otherwise(0).alias("turn"))
+
+
 def mix_sources(
     docs: DataFrame, *, budget: float = 1.5, weights: tuple[int, ...] = (5, 2, 1), cap: float = 2.0, seed: int = 7,
     block_rows: int = 1024, fan: int = 256, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
@@ -92,8 +104,9 @@ def mix_sources(
     """(doc_id, source, size, source_size, target, copies, taken): one row per row of ``docs``.
 
     Null texts have size 0; documents of size 0 are rounded without moving mass. A null source is a source of its own,
-    ranked last. Repeated rows are rounded separately. An empty table gives an empty result. Draws depend on the seed,
-    the source and the block of a document only, so reruns agree.
+    ranked last. Repeated rows are rounded separately. An empty table gives an empty result. Other columns are not looked
+    at, whatever their names. Draws depend on the seed, the source and the block of a document only, so reruns agree; of
+    rows that repeat more than ``block_rows`` times, on how Spark splits the input as well.
     """
     sized = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
@@ -101,8 +114,9 @@ def mix_sources(
     )
     sized = shared_checkpoint(sized)  # three small columns: the texts are read once
     targets = source_targets(sized, budget, weights, cap)
+    sized = part_repeats(sized, block_rows)
     blocks = F.ceil(F.col("n_docs") / block_rows)
-    spread: Column = F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), blocks).cast("long")
+    spread: Column = F.pmod(F.xxhash64("doc_id", "size", "turn", F.lit(seed)), blocks).cast("long")
     key = targets.withColumnRenamed("source", "source_")
     rows = sized.join(key, sized["source"].eqNullSafe(key["source_"]), "left").select(
         "doc_id", "source", "size", "source_size", "target",

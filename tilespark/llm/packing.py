@@ -14,13 +14,14 @@ import string
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, small_batches, worker_cache
+from .common import shuffle_partitions, small_batches
 
 AXES, BITS, HASHED = 3, 10, 4096
 PIECE = "doc_id long, start long, length long, token_bytes binary, doc_tokens long, sequence_id long, offset long, curve_key long"
@@ -96,7 +97,7 @@ class WordTokenizer:
     characters are encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -161,6 +162,12 @@ class WordTokenizer:
         return list(map(self.encode, texts))
 
 
+@lru_cache(maxsize=1)
+def word_tokenizer(path: str) -> WordTokenizer:
+    """The one tokenizer of a Python worker, with the words that its tasks have met."""
+    return WordTokenizer(path)
+
+
 def pack_partition(end_id: int, length: int, kind: str):
     """Rows (doc_id, part, curve_key, ids) in order to pieces."""
 
@@ -222,7 +229,8 @@ def pack(docs: DataFrame, tokenizer: str, *, length: int = 4096, end_id: int = 2
     """One row per piece: (doc_id, start, length, token_bytes, doc_tokens, sequence_id, offset, curve_key).
 
     ``length`` is a power of two. token_bytes holds the ids as little-endian 32-bit numbers. Null and empty texts are the
-    end id alone. Repeated rows are packed separately. An empty table gives no piece. The only driver state are the bounds
+    end id alone. Repeated rows are packed separately; so many that their key fills several ranges are dealt to all of them.
+    Other columns are not looked at, whatever their names. An empty table gives no piece. The only driver state are the bounds
     of the ranges, quantiles over the keys of all documents.
     """
     assert length & (length - 1) == 0, "the length must be a power of two"
@@ -239,16 +247,20 @@ def pack(docs: DataFrame, tokenizer: str, *, length: int = 4096, end_id: int = 2
             yield pd.DataFrame({"curve_key": np.repeat(curve_keys(texts, ids, table), [1 + len(t or "") // 4096 for t in texts])})
 
     found = docs.mapInPandas(keys, "curve_key long").agg(F.percentile_approx("curve_key", [i / n for i in range(1, n)] or [0.5], max(10_000, 20 * n))).first()[0]
-    bounds = np.array(sorted(set(found or [])), np.int64)
+    bounds = np.array(sorted(found or []), np.float64)
 
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, kept, name = directions(seed), worker_cache(), f"words of {tokenizer}"
-        words = kept[name] = kept.get(name) or WordTokenizer(tokenizer)
+        table, words, turn = directions(seed), word_tokenizer(tokenizer), 0
         for rows in batches:
             texts, ids = list(rows["text"]), [None if pd.isna(d) else int(d) for d in rows["doc_id"]]
             key = curve_keys(texts, ids, table)
-            yield pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "part": np.searchsorted(bounds, key).astype(np.int32), "curve_key": key, "ids": words.batch(texts)})
+            # a key that fills whole ranges is dealt to all of them in turn; quantiles are doubles, so keys compare as such
+            place = key.astype(np.float64)
+            low, high = np.searchsorted(bounds, place, "left"), np.searchsorted(bounds, place, "right")
+            part = np.where(high - low > 1, low + (turn + np.arange(len(key))) % (high - low + 1), low)
+            turn += len(key)
+            yield pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "part": part.astype(np.int32), "curve_key": key, "ids": words.batch(texts)})
 
     kind = WordTokenizer(tokenizer).kind.str
     dealt = docs.mapInPandas(tokens, "doc_id long, part int, curve_key long, ids binary").repartitionById(max(n, len(bounds) + 1), F.col("part"))
-    return dealt.sortWithinPartitions("part", "curve_key", "doc_id").mapInPandas(pack_partition(end_id, length, kind), PIECE)
+    return dealt.sortWithinPartitions("part", "curve_key", "doc_id", "ids").mapInPandas(pack_partition(end_id, length, kind), PIECE)
