@@ -68,26 +68,37 @@ class ForwardTrie:
     def insert(self, word: str) -> int:
         """Walk down, scoring only nodes that are new; the count of the word, kept for later. Beyond DEEP characters a word
         shares nothing with others: its rest is scored in passing, and nothing of it is kept."""
-        edges, scores, tokens = self.edges, self.score, self.tokens
-        path, node = [(0.0, 0)], 0
-        for depth, ch in enumerate(word[:DEEP], 1):
+        edges, scores, tokens, suffixes = self.edges, self.score, self.tokens, self.suffixes
+        path, node, depth = [0], 0, 0
+        for ch in word[:DEEP]:
+            depth += 1
             edge = node << 21 | ord(ch)
             child = edges.get(edge)
-            if child is None:
-                best, count = self.step(word, depth, path)
+            if child is None:  # the same as ``step``, on the scores of the nodes, since most of the time goes here
+                n = 1 if ch < "\x80" else len(ch.encode("utf-8", "surrogatepass"))
+                best, count = scores[node] + self.worst * n, tokens[node] + n
+                start = depth
+                while start:
+                    start -= 1
+                    piece = suffixes.get(word[start:depth], 0)
+                    if piece == 0:
+                        break
+                    if piece is not None and (s := scores[path[start]] + piece) > best:
+                        best, count = s, tokens[path[start]] + 1
                 child = edges[edge] = len(scores)
                 scores.append(best)
                 tokens.append(count)
             node = child
-            path.append((scores[node], tokens[node]))
+            path.append(node)
         if len(word) <= DEEP:
             self.terminal[word] = tokens[node]
             return tokens[node]
+        before = [(scores[i], tokens[i]) for i in path]
         for depth in range(DEEP + 1, len(word) + 1):
-            path.append(self.step(word, depth, path))
-            if len(path) > 4096 + self.longest:
-                del path[: -self.longest]
-        return path[-1][1]
+            before.append(self.step(word, depth, before))
+            if len(before) > 4096 + self.longest:
+                del before[: -self.longest]
+        return before[-1][1]
 
     def __len__(self) -> int:
         return len(self.score)
