@@ -66,6 +66,24 @@ def test_links_against_brute_force(spark, part_rows):
     assert len(true) > 2000
 
 
+def test_tasks_get_few_points(spark, monkeypatch):
+    """Also where all points come in one partition: each becomes 35 rows before they are counted."""
+    rng, counted = random.Random(15), []
+    points = [(rng.getrandbits(63), i) for i in range(1000)] + [(-1, 1000), (-2, 1001)]
+    keep = S.shared_checkpoint
+
+    def seen(df):
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        counted.extend(int(n) for n in re.findall(r"hashpartitioning\(fp\S*, (\d+)\)|REPARTITION_BY_NUM", plan) if n)
+        return keep(df)
+
+    monkeypatch.setattr(S, "shared_checkpoint", seen)
+    links = S.near_links(spark.createDataFrame(points, "fp long, doc long").coalesce(1), task_points=50)
+    assert [set(r) for r in links.collect()] == [{1000, 1001}]
+    assert S.spread(spark.createDataFrame(points, "fp long, doc long").coalesce(1), 50).rdd.getNumPartitions() == 21
+    assert counted == [21]
+
+
 def test_any_four_bits_leave_a_key_equal():
     keys, rng = S.Keys(4), random.Random(2)
     assert len(keys.masks) == 35 and sum(keys.block_masks) == (1 << 64) - 1 and min(m.bit_count() for m in keys.masks) >= 27

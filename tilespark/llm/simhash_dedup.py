@@ -216,9 +216,19 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, "doc_id long, fp long")
 
 
-def near_links(points: DataFrame, *, bits: int = 4, part_rows: int = 1000) -> DataFrame:
-    """Links (a, b) that join the classes of ``points`` (fp distinct, doc)."""
-    keys = Keys(bits)
+def spread(points: DataFrame, task_points: int) -> DataFrame:
+    """``points`` in tasks of about ``task_points`` rows; Spark keeps a number of partitions that is given."""
+    tasks = -(-points.count() // task_points)
+    return points.repartition(max(tasks, points.sparkSession.sparkContext.defaultParallelism), "fp")
+
+
+def near_links(points: DataFrame, *, bits: int = 4, part_rows: int = 1000, task_points: int = 20_000) -> DataFrame:
+    """Links (a, b) that join the classes of ``points`` (fp distinct, doc).
+
+    A point of a few bytes becomes a row for each of the 35 choices. AQE sees the bytes and would put half a million points
+    into one task, whose counts of shards then take all memory there is; so tasks get ``task_points`` of them.
+    """
+    keys, points = Keys(bits), spread(points, task_points)
     signed = lambda v: v - (1 << 64) if v >> 63 else v
     shard = F.array(*(F.col("fp").bitwiseAND(F.lit(signed(m))) for m in keys.masks))
     shards = points.select("fp", "doc", F.posexplode(shard).alias("choice", "shard"))
