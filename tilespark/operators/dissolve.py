@@ -26,7 +26,8 @@ def with_bucket(buildings: DataFrame, counted: bool = True) -> DataFrame:
 def merged(group: pd.DataFrame) -> list[tuple]:
     """Outer rings of the union of a bucket's buildings, but those that are too small for the level."""
     first, kept = group.iloc[0], []
-    for ring in union_rings([shape_points(x, y) for x, y in zip(group["xs"], group["ys"])], float(first["snap_m"])):
+    distinct = {(x.tobytes(), y.tobytes()): (x, y) for x, y in zip(map(np.asarray, group["xs"]), map(np.asarray, group["ys"]))}
+    for ring in union_rings([shape_points(x, y) for x, y in distinct.values()], float(first["snap_m"])):
         xs, ys = [p[0] for p in ring], [p[1] for p in ring]
         if valid_ring(ring) and (max(xs) - min(xs)) * (max(ys) - min(ys)) >= first["min_building_box"]:
             kept.append((first["tile_id"], first["lod"], xs, ys))
