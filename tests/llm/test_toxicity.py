@@ -107,3 +107,22 @@ def test_awkward(awkward, labelled):
     rows = T.with_score(awkward, model, "toxicity_").collect()
     assert len(rows) == len(awkward_rows()) and all(0 <= r["toxicity_"] <= 1 and r["score"] == "clash" for r in rows)
     assert len({r["toxicity_"] for r in rows if r["doc_id"] in (30, 31, 32)}) == 1
+
+
+def test_all_labelled_rows_teach(labelled, monkeypatch):
+    """By default, and those of very long texts too; several tasks agree on a model that is as good."""
+    docs, labels = labelled
+    monkeypatch.setattr(T, "TASK_ROWS", 120)
+    long = docs.filter("doc_id < 40").withColumns({"doc_id": F.col("doc_id") + 5000, "text": F.concat("text", F.lit(" zwölfmal" * 9000))})
+    more, marks = docs.unionByName(long), labels.unionByName(labels.filter("doc_id < 40").withColumn("doc_id", F.col("doc_id") + 5000))
+    counted, keep = [], T.fresh
+    monkeypatch.setattr(T, "fresh", lambda seen, n, seed: counted.append((int(n.sum()), int(seen.sum(0).max()))) or keep(seen, n, seed))
+    met, mean = [], T.meet
+    monkeypatch.setattr(T, "meet", lambda model, parts: met.append(sorted(n for n, _ in parts)) or mean(model, parts))
+    model = T.fit(more, marks)
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(4))
+    assert counted[0][0] == marks.filter(draw != 3).count() and all(sum(m) == counted[0][0] and len(m) > 1 for m in met) and len(met) == 6
+    at = T.Hasher()("zwölfmal")[0, 0]
+    assert model.language_words[at].max() > -2  # 360,000 of the words
+    rows = T.score(docs, model).join(labels, "doc_id").collect()
+    assert np.mean([(r["score"] >= 0.5) == (r["toxic"] == 1) for r in rows]) > 0.95
