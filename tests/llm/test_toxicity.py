@@ -126,3 +126,31 @@ def test_all_labelled_rows_teach(labelled, monkeypatch):
     assert model.language_words[at].max() > -2  # 360,000 of the words
     rows = T.score(docs, model).join(labels, "doc_id").collect()
     assert np.mean([(r["score"] >= 0.5) == (r["toxic"] == 1) for r in rows]) > 0.95
+
+
+def exchanged(node, column):
+    """Exchanges of a physical plan that the column passes through."""
+    below = node.children()
+    own = node.nodeName() == "Exchange" and f" {column}#" in node.output().mkString(" ", " ", "")
+    return own + sum(exchanged(below.apply(i), column) for i in range(below.size()))
+
+
+def test_words_are_exchanged_once(labelled, monkeypatch, spark):
+    """Where the labels are too many for a broadcast too: the training takes the partitions of the join. More rows
+    make more partitions, not more models."""
+    monkeypatch.setattr(T, "TASK_ROWS", 120)
+    monkeypatch.setattr(T, "TASKS", 2)
+    met, mean = [], T.meet
+    monkeypatch.setattr(T, "meet", lambda model, parts: met.append([n for n, _ in parts]) or mean(model, parts))
+    plans, keep = [], T.shared_checkpoint
+    monkeypatch.setattr(T, "shared_checkpoint", lambda df: plans.append(df._jdf.queryExecution().executedPlan().initialPlan()) or keep(df))
+    for most in ("-1", "10m"):
+        before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+        try:
+            T.fit(*labelled, rounds=1)
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    taught = labelled[1].filter(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(4)) != 3).count()
+    assert [len(m) for m in met] == [2, 2] and [sum(m) for m in met] == [taught, taught] and "(doc_id#" in plans[0].toString() and ", 5)" in plans[0].toString()
+    assert [exchanged(p, "x") for p in plans] == [1, 1] and plans[0].toString().count("MapInPandas") == 1

@@ -259,9 +259,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, per_class: int | None = None, rou
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     # texts without a label stay where they are, but for a few
     near = needed_nodes(texts.withColumn("id", F.col("doc_id")), usable.select(F.col("doc_id").alias("node_id"))).select("doc_id", "text", "lang")
-    tasks = max(1, min(TASKS, -(-usable.count() // TASK_ROWS)))
-    found = near.mapInPandas(hashed, "doc_id long, lang string, x binary").join(usable, "doc_id").withColumn("draw", draw).withColumn("keep", F.pmod("draw", F.lit(4)) != 3)
-    rows = shared_checkpoint(found.repartition(tasks, "draw"))
+    dealt = max(1, -(-usable.count() // TASK_ROWS))
+    tasks = min(TASKS, dealt)  # of the training; it takes whole partitions, whose number follows the rows
+    # both sides are dealt alike before the join, so that the words are exchanged once, whatever the join
+    words = near.mapInPandas(hashed, "doc_id long, lang string, x binary").repartition(dealt, "doc_id")
+    found = words.join(usable.repartition(dealt, "doc_id"), "doc_id").withColumn("draw", draw).withColumn("keep", F.pmod("draw", F.lit(4)) != 3)
+    rows = shared_checkpoint(found)
     shares = {(r["toxic"], r["keep"]): r["n"] for r in rows.groupBy("toxic", "keep").agg(F.count(F.lit(1)).alias("n")).collect()}
     n = np.array([shares.get((label, True), 0) + shares.get((label, False), 0) for label in (0, 1)])
     if not n.all():
