@@ -84,6 +84,26 @@ def test_tasks_get_few_points(spark, monkeypatch):
     assert counted == [21]
 
 
+def test_rows_of_shards_are_exchanged_once(spark, monkeypatch):
+    """Whatever Spark supposes of the sizes; only if there are too many large shards for a broadcast, twice, with equal links."""
+    rng = random.Random(16)
+    dense = rng.getrandbits(62)
+    points = [(rng.getrandbits(63), i) for i in range(500)] + [(dense ^ (1 << a) ^ (1 << b), 500 + 16 * a + b) for a in range(16) for b in range(a)]
+    frame = spark.createDataFrame(points, "fp long, doc long").repartition(3)
+    before, found = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), []
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for most, join in [(S.MOST_BROADCAST, "BroadcastHashJoin"), (0, "SortMergeJoin")]:
+            monkeypatch.setattr(S, "MOST_BROADCAST", most)
+            links = S.near_links(frame, part_rows=40)
+            plan = links._jdf.queryExecution().sparkPlan().toString()
+            assert {j for j in ("BroadcastHashJoin", "SortMergeJoin") if j in plan} == {join}
+            found.append(components([d for _, d in points], [tuple(r) for r in links.collect()]))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert found[0] == found[1] and len(set(found[0].values())) < 502
+
+
 def test_any_four_bits_leave_a_key_equal():
     keys, rng = S.Keys(4), random.Random(2)
     assert len(keys.masks) == 35 and sum(keys.block_masks) == (1 << 64) - 1 and min(m.bit_count() for m in keys.masks) >= 27

@@ -32,6 +32,8 @@ SHINGLE = 4
 LEAF = 96
 #: Shards of up to so many rows are compared directly.
 FEW = 32
+#: So many large shards at most are broadcast (some 20 MB); for more of them the rows of all shards are exchanged.
+MOST_BROADCAST = 1 << 18
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -226,7 +228,8 @@ def near_links(points: DataFrame, *, bits: int = 4, part_rows: int = 1000, task_
     """Links (a, b) that join the classes of ``points`` (fp distinct, doc).
 
     A point of a few bytes becomes a row for each of the 35 choices. AQE sees the bytes and would put half a million points
-    into one task, whose counts of shards then take all memory there is; so tasks get ``task_points`` of them.
+    into one task, whose counts of shards then take all memory there is; so tasks get ``task_points`` of them. The rows meet
+    the large shards, known and few by then, by a broadcast: left to the sizes that Spark supposes, they may all be exchanged.
     """
     keys, points = Keys(bits), spread(points, task_points)
     signed = lambda v: v - (1 << 64) if v >> 63 else v
@@ -234,7 +237,8 @@ def near_links(points: DataFrame, *, bits: int = 4, part_rows: int = 1000, task_
     shards = points.select("fp", "doc", F.posexplode(shard).alias("choice", "shard"))
     large = shards.groupBy("choice", "shard").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > part_rows).select("choice", "shard", F.ceil(F.col("n") / part_rows).cast("int").alias("parts"))
     large = shared_checkpoint(large)
-    dealt = shards.join(large, ["choice", "shard"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    known = F.broadcast(large) if large.count() <= MOST_BROADCAST else large
+    dealt = shards.join(known, ["choice", "shard"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     # part p meets part q in the tile (min, max), whose last bit is the side: 0 for the smaller one
     tiles = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: (
