@@ -63,6 +63,25 @@ def test_words_equal_whole_texts():
         assert np.frombuffer(ids, ours.kind).tolist() == model.encode(text, add_special_tokens=False).ids, ascii(text)
 
 
+def test_words_that_recur_stay_known():
+    """Words of seven letters are among the frequent ones; longer ones give way, to be learned again."""
+    ours = P.WordTokenizer(PATH, most=5)
+    ours.encode("sevenly eightlys one two three four")
+    ours.encode("another text")
+    assert "sevenly" in ours.known and "eightlys" not in ours.known
+    assert P.WordTokenizer(PATH).most >= 450_000
+
+
+@pytest.mark.parametrize("text", ["", "abc", "abcd", "abcde", "größer als ein Block, 漢字 " * 9])
+def test_counts_of_grams(text):
+    raw, wanted = text.encode(), np.zeros(P.HASHED)
+    for i in range(len(raw) - 3):
+        wanted[(int.from_bytes(raw[i : i + 4], "little") * 2654435761 & 0xFFFFFFFF) >> 20] += 1
+    for block in (1, 7, 1 << 20):
+        counts = P.hashed_counts(text, block=block)
+        assert counts is None if len(raw) < 4 else counts.tolist() == wanted.tolist()
+
+
 def test_hilbert_steps_are_unit_steps():
     cells = np.array([[a, b, c] for a in range(8) for b in range(8) for c in range(8)])
     keys = P.hilbert_key(cells, 3)

@@ -27,6 +27,8 @@ AXES, BITS, HASHED = 3, 10, 4096
 PIECE = "doc_id long, start long, length long, token_bytes binary, doc_tokens long, sequence_id long, offset long, curve_key long"
 #: White space for str.split() but not for the tokenizer.
 ODD_SPACE = "\x1c\x1d\x1e\x1f"
+#: Words of up to so many characters stay known when there are too many.
+SHORT_WORD = 7
 #: A point or comma that does not stand between a letter or number and white space.
 LOOSE_MARK = re.compile(r"[.,](?:(?<![^\W_].)|(?!\s|\Z))")
 HEAD_MARKS = string.punctuation.replace("'", "")
@@ -60,19 +62,18 @@ def directions(seed: int) -> np.ndarray:
     return np.random.default_rng(seed).normal(size=(HASHED, AXES))
 
 
-def hashed_counts(text: str | None, block: int = 1 << 20) -> np.ndarray | None:
+def hashed_counts(text: str | None, block: int = 1 << 16) -> np.ndarray | None:
     """Counts of the hashed byte 4-grams of a whole text; None if it has none."""
-    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    raw = (text or "").encode("utf-8", "surrogatepass")
     if len(raw) < 4:
         return None
-    counts = np.zeros(HASHED)
+    counts = np.zeros(HASHED, np.int64)
     for at in range(0, len(raw) - 3, block):
-        part = raw[at : at + block + 3].astype(np.uint32)
-        gram = part[:-3] | part[1:-2] << np.uint32(8) | part[2:-1] << np.uint32(16) | part[3:] << np.uint32(24)
-        gram *= np.uint32(2654435761)
+        # little-endian numbers that begin at every byte
+        gram = np.ndarray(min(block, len(raw) - 3 - at), "<u4", raw, at, 1) * np.uint32(2654435761)
         gram >>= np.uint32(20)
-        counts += np.bincount(gram, minlength=HASHED)
-    return counts
+        counts += np.bincount(gram.view(np.int32), minlength=HASHED)
+    return counts.astype(np.float64)
 
 
 def curve_keys(texts: list[str | None], doc_ids: list[int | None], table: np.ndarray) -> np.ndarray:
@@ -97,7 +98,7 @@ class WordTokenizer:
     characters are encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 450_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -153,7 +154,7 @@ class WordTokenizer:
         words = (text if LOOSE_MARK.search(text) else text.replace(".", " .").replace(",", " ,")).split()
         if new := set(words).difference(self.known):
             if len(self.known) > self.most:  # the short words are the frequent ones
-                self.known, self.marks = {w: v for w, v in self.known.items() if len(w) <= 6}, {"": b""}
+                self.known, self.marks = {w: v for w, v in self.known.items() if len(w) <= SHORT_WORD}, {"": b""}
                 new = set(words).difference(self.known)
             self.learn(new)
         return b"".join(map(self.known.__getitem__, words))
