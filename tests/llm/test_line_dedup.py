@@ -62,6 +62,23 @@ def test_variants_of_recurring_templates(spark):
     assert kept(spark, [line("Alice"), line("Alice"), other])[2] == other
 
 
+def test_templates_are_read_again_at_one_place_only(spark, monkeypatch):
+    """However many copies their lines have, in texts that are alike or not."""
+    counted, may_match = [], L.may_match
+
+    def seen(rows, key, wanted):
+        passed = may_match(rows, key, wanted)
+        if {"raw", "line"} & set(rows.columns):
+            counted.append(passed.count())
+        return passed
+
+    monkeypatch.setattr(L, "may_match", seen)
+    line = "user said that it is fine and {} will pay for it soon".format
+    texts = [f"{line('Alice')}\n{i} own\n{line('Robert')}" for i in range(20)] + [line("Alice"), line("Carol")] * 10
+    got = kept(spark, texts)
+    assert counted == [3] and got[0] == texts[0] and got[7] == "" and got[21] == ""
+
+
 def test_pipeline_generalises_recurring_templates(spark):
     import corpus_pipeline
 

@@ -28,36 +28,57 @@ TEMPLATE_OF_P = tuple(f"p.{c}" for c in TEMPLATE)
 
 def masked(line: Column) -> Column:
     """The tokens of a line with single blanks between them, those with a digit replaced."""
-    return single_blanks(line, F.regexp_replace(line, VARIABLE, FIELD))
+    return F.when(irregular(line), tidy(F.regexp_replace(line, VARIABLE, FIELD))).otherwise(line)
 
 
-def single_blanks(line: Column, fields: Column) -> Column:
-    fields = F.btrim(fields, F.lit(" \t\n\x0b\x0c\r"))
-    irregular = line.rlike(r"[0-9\x09\x0B-\x0D]") | line.contains("  ") | line.startswith(" ") | line.endswith(" ")
-    return F.when(irregular, F.regexp_replace(fields, SPACE, " ")).otherwise(line)
+def irregular(line: Column) -> Column:
+    """Whether a line has digits or anything but single blanks between its tokens; most lines have neither."""
+    return line.rlike(r"[0-9\x09\x0B-\x0D]") | line.contains("  ") | line.startswith(" ") | line.endswith(" ")
+
+
+def tidy(line: Column) -> Column:
+    return F.regexp_replace(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")), SPACE, " ")
 
 
 def comparable(line: Column) -> Column:
     """The masked line, or the line itself with single blanks where more than half of its tokens have a digit: such lines
     would be equal with little or nothing in common."""
     few = F.regexp_count(line, F.lit(VARIABLE)) * 2 <= F.regexp_count(line, F.lit(WORD))
-    return F.when(~line.rlike("[0-9]") | few, masked(line)).otherwise(single_blanks(line, line))
+    fields = F.when(~line.rlike("[0-9]"), line).when(few, F.regexp_replace(line, VARIABLE, FIELD)).otherwise(line)
+    return F.when(irregular(line), tidy(fields)).otherwise(line)
 
 
-def place_in_tree(docs: DataFrame, depth: int, min_tokens: int, open_from: int, with_line: bool = False) -> DataFrame:
-    """(doc_id, row_id, line_no, leaf, template, check) of the lines, and on demand the masked line. leaf is null below
-    ``open_from`` tokens, where no field can be generalised. row_id tells rows with equal ids but other texts apart;
-    template and check are 96 bits of hashes. Each line is parsed once, within the array of its text."""
+def parsed(raw: Column, depth: int, open_from: int, with_line: bool = False) -> Column:
+    """(n, leaf, template, check) of a line, and on demand the masked line; leaf is null below ``open_from`` tokens."""
 
     def parse(line: Column) -> Column:
         tokens = F.when(line == "", 0).otherwise(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
         leaf = F.when(tokens >= open_from, F.xxhash64(tokens, F.substring_index(line, " ", depth)))
         return F.struct(tokens.alias("n"), leaf.alias("leaf"), F.xxhash64(line).alias("template"), F.hash(line).alias("check"), *[line.alias("line")] * with_line)
 
-    parsed = F.transform(F.split("text", "\n", -1), lambda raw: let(comparable(raw), parse))
-    least = max(min_tokens, open_from if with_line else 1)
-    rows = docs.select("doc_id", "row_id", F.posexplode(parsed).alias("line_no", "p")).filter(F.col("p.n") >= least)
-    return rows.select("doc_id", "row_id", "line_no", "p.leaf", *TEMPLATE_OF_P, *["p.line"] * with_line)
+    return let(comparable(raw), parse)
+
+
+def place_in_tree(docs: DataFrame, depth: int, min_tokens: int, open_from: int) -> DataFrame:
+    """(doc_id, row_id, line_no, leaf, template, check) of the lines. leaf is null below ``open_from`` tokens, where no field
+    can be generalised. row_id tells rows with equal ids but other texts apart; template and check are 96 bits of hashes.
+    Each line is parsed once, within the array of its text."""
+    lines = F.transform(F.split("text", "\n", -1), lambda raw: parsed(raw, depth, open_from))
+    rows = docs.select("doc_id", "row_id", F.posexplode(lines).alias("line_no", "p")).filter(F.col("p.n") >= max(min_tokens, 1))
+    return rows.select("doc_id", "row_id", "line_no", "p.leaf", *TEMPLATE_OF_P)
+
+
+def spot() -> Column:
+    """A number of the place where a line stands."""
+    return F.xxhash64("doc_id", "row_id", "line_no")
+
+
+def template_lines(docs: DataFrame, wanted: DataFrame, depth: int, open_from: int) -> DataFrame:
+    """(template, check, line) of the templates of ``wanted``, each read at its ``spot`` alone, so that no copy of a line is
+    parsed again. A few other lines may be among them."""
+    raw = docs.select("doc_id", "row_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "raw")).withColumn("spot", spot())
+    rows = may_match(raw, "spot", wanted).select(F.explode(F.array(parsed(F.col("raw"), depth, open_from, with_line=True))).alias("p"))
+    return rows.groupBy(*(F.col(c) for c in TEMPLATE_OF_P)).agg(F.max("p.line").alias("line"))
 
 
 def may_match(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
@@ -93,7 +114,7 @@ def rare_token_cuts(lines: DataFrame, constant_share: float) -> DataFrame:
     return general.join(cuts, "general").filter("last_doc > cut").select("t", "cut")
 
 
-def variant_cuts(docs: DataFrame, templates: DataFrame, *, depth: int, min_tokens: int, open_from: int, constant_share: float) -> DataFrame:
+def variant_cuts(docs: DataFrame, templates: DataFrame, *, depth: int, open_from: int, constant_share: float) -> DataFrame:
     """(template, check, cut) of the templates that recur once fields are generalised; cut is the first document that has
     any of the variants.
 
@@ -101,9 +122,8 @@ def variant_cuts(docs: DataFrame, templates: DataFrame, *, depth: int, min_token
     it from the others.
     """
     leaves = templates.filter("leaf is not null").groupBy("leaf").agg(F.count(F.lit(1)).alias("m"), F.min("first_doc").alias("a"), F.max("last_doc").alias("b")).filter("m > 1 and a < b").select("leaf")
-    wanted = shared_checkpoint(templates.join(leaves, "leaf").select("leaf", *TEMPLATE, "first_doc", "last_doc"))
-    parsed = may_match(place_in_tree(docs, depth, min_tokens, open_from, with_line=True), "leaf", wanted)
-    texts = parsed.groupBy(*TEMPLATE).agg(F.max("line").alias("line"))
+    wanted = shared_checkpoint(templates.join(leaves, "leaf").select("leaf", *TEMPLATE, "first_doc", "last_doc", "spot"))
+    texts = template_lines(docs, wanted, depth, open_from)
     hashes = F.transform(F.split("line", " "), lambda token, place: F.xxhash64("leaf", place, token))
     whole = F.aggregate("hashes", F.lit(0).cast("long"), lambda a, b: a.bitwiseXOR(b))
     lines = texts.join(wanted, [*TEMPLATE]).select(*TEMPLATE, "leaf", "first_doc", "last_doc", hashes.alias("hashes"))
@@ -129,8 +149,8 @@ def drop_recurring_lines(
     small = docs.select(key.alias("doc_id"), text.alias("text")).withColumn("row_id", F.xxhash64("doc_id", "text"))
     open_from = next(n for n in count(2) if n - 1 >= constant_share * n)
     keys = shared_checkpoint(place_in_tree(small, depth, min_tokens, open_from))
-    templates = shared_checkpoint(keys.groupBy("leaf", *TEMPLATE).agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")))
-    cuts = variant_cuts(small, templates, depth=depth, min_tokens=min_tokens, open_from=open_from, constant_share=constant_share)
+    templates = shared_checkpoint(keys.groupBy("leaf", *TEMPLATE).agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.min(spot()).alias("spot")))
+    cuts = variant_cuts(small, templates, depth=depth, open_from=open_from, constant_share=constant_share)
     early = F.least("first_doc", "cut")  # of two values the one that is not null
     known = shared_checkpoint(templates.join(cuts, [*TEMPLATE], "left").select(*TEMPLATE, early.alias("early"), "last_doc").filter("last_doc > early"))
     found = may_match(keys.drop("leaf"), "template", known).join(known, [*TEMPLATE]).filter("doc_id > early")
